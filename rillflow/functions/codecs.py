@@ -26,15 +26,21 @@ def _avro_missing(error: AnalysisException) -> ConnectorMissing | AnalysisExcept
 
 
 def _decoded(
-    records: DataFrame, value: Column, key_as: str | None, expand: bool, drop_malformed: bool
+    records: DataFrame,
+    value: Column,
+    key_as: str | None,
+    expand: bool,
+    drop_malformed: bool,
+    metric: str | None,
 ) -> DataFrame:
     key = [] if key_as is None else [F.col("key").cast("string").alias(key_as)]
     rows = records.select(*key, value.alias("value"))
+    fields = rows.schema["value"].dataType.names
+    blank = reduce(Column.__and__, (F.col("value").getField(name).isNull() for name in fields))
+    if metric is not None:
+        rows = rows.observe(metric, F.count("*").alias("rows"), F.count_if(blank).alias("blank"))
     if drop_malformed:
-        names = rows.schema["value"].dataType.names
-        rows = rows.where(
-            reduce(Column.__or__, (F.col("value").getField(n).isNotNull() for n in names))
-        )
+        rows = rows.where(~blank)
     if not expand:
         return rows
     return rows.select(*([] if key_as is None else [key_as]), "value.*")
@@ -47,15 +53,21 @@ def decode_json(
     key_as: str | None = None,
     expand: bool = True,
     drop_malformed: bool = False,
+    metric: str | None = None,
 ) -> DataFrame:
     """Parse the JSON in ``value``: one column per field, or one struct if not ``expand``.
 
     Text that is not JSON gives nulls, and a field of the wrong type is null by itself. ``only``
     narrows the parse to the fields the caller uses. ``key_as`` keeps the key, as text.
     ``drop_malformed`` drops the rows in which every wanted field is null.
+
+    ``metric`` names an observation (in a stream: ``lastProgress.observedMetrics``) of how many
+    ``rows`` were decoded and how many of them are ``blank``: every wanted field null. It also keeps
+    Spark from copying later filters, each with a whole parse inside, below the decode, so that
+    every record is parsed once. Names must differ within one query.
     """
     value = F.from_json(F.col("value").cast("string"), ddl(fields, only))
-    return _decoded(records, value, key_as, expand, drop_malformed)
+    return _decoded(records, value, key_as, expand, drop_malformed, metric)
 
 
 def decode_avro(
@@ -64,12 +76,12 @@ def decode_avro(
     key_as: str | None = None,
     expand: bool = True,
     drop_malformed: bool = False,
+    metric: str | None = None,
 ) -> DataFrame:
     """Like ``decode_json`` for Avro bytes written with the record document ``schema``."""
     try:
-        return _decoded(
-            records, from_avro(F.col("value"), schema), key_as, expand, drop_malformed
-        )
+        value = from_avro(F.col("value"), schema)
+        return _decoded(records, value, key_as, expand, drop_malformed, metric)
     except AnalysisException as error:
         raise _avro_missing(error) from error
 

@@ -18,10 +18,13 @@ LOYALTY_NEEDS = ["InvoiceNumber", "CustomerCardNo", "TotalAmount"]
 
 
 def _line_items(invoices: DataFrame, header: Iterable[str]) -> DataFrame:
+    # A missing list explodes like an empty one. Spelt out, because for a bare column Spark adds a
+    # filter on its size and pushes that, with the parse of the whole record inside, below a decode.
+    items = F.coalesce("InvoiceLineItems", F.array())
     lines = invoices.select(
         *header,
         *(f"DeliveryAddress.{name}" for name in PLACE),
-        F.explode("InvoiceLineItems").alias("LineItem"),
+        F.explode(items).alias("LineItem"),
     )
     return lines.select(*header, *PLACE, *(f"LineItem.{name}" for name in ITEM))
 

@@ -14,8 +14,17 @@ from rillflow.functions.codecs import (
     encode_json,
 )
 from rillflow.operators.invoices import loyalty_notifications
-from rillflow.plans.jobs import card_rewards
+from rillflow.plans.jobs import (
+    card_rewards,
+    flat_items,
+    item_records,
+    notifications,
+    sensor_windows,
+    trade_windows,
+)
 from rillflow.schemas import INVOICE, PUBLISHED_ITEM, avro_schema, ddl
+from rillflow.streaming.runner import finish
+from rillflow.streaming.sinks import AVAILABLE_NOW, to_json_files
 
 SHORT = {
     "InvoiceNumber": "string",
@@ -71,6 +80,36 @@ def test_drop_malformed(spark):
     assert sorted(row.InvoiceNumber for row in kept.collect()) == ["1", "2", "3", "4"]
 
 
+def _parses(df):
+    """How often the physical plan parses JSON."""
+    return df._jdf.queryExecution().executedPlan().toString().count("from_json(")
+
+
+def test_each_record_is_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    records(spark, MIXED).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert _parses(flat_items(stored)) == 1
+    assert _parses(notifications(stored)) == 1
+    assert _parses(item_records(stored, "json")) == 1
+    assert _parses(card_rewards(stored, "json")) == 1
+    assert _parses(trade_windows(stored)) == 1
+    assert _parses(sensor_windows(stored)) == 1
+
+
+def test_decoded_records_are_observed(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    records(spark, MIXED).write.parquet(path)
+    stream = spark.readStream.schema("key binary, value binary").parquet(path)
+    decoded = decode_json(stream, SHORT, metric="seen", drop_malformed=True)
+    query = to_json_files(
+        decoded, str(tmp_path / "out"), str(tmp_path / "ckpt"), trigger=AVAILABLE_NOW
+    )
+    finish(query, 120)
+    assert query.recentProgress[0].observedMetrics["seen"].asDict() == {"rows": 6, "blank": 2}
+    assert spark.read.json(str(tmp_path / "out")).count() == 4
+
+
 def test_struct_and_narrow_decode(spark):
     nested = decode_json(records(spark, MIXED), SHORT, only=["TotalAmount"], expand=False)
     assert nested.schema.simpleString() == "struct<value:struct<TotalAmount:double>>"

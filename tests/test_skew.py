@@ -39,7 +39,7 @@ def test_a_large_order_is_spread_over_records(spark, skewed):
 
 
 def test_paging_changes_no_item(spark, skewed):
-    paged = jobs.flat_items(tables.invoice_records(spark, skewed, page_items=100))
+    paged = jobs.flat_items(tables.invoice_records(spark, skewed, page_items=100), metric="paged")
     whole = q_invoice_flatten(spark, skewed)
     assert paged.exceptAll(whole).isEmpty() and whole.exceptAll(paged).isEmpty()
     lineitem, orders = tables.table(spark, skewed, "lineitem"), tables.table(spark, skewed, "orders")
