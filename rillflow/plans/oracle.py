@@ -12,6 +12,14 @@ JSON_DECODE = """
 select event_id, cast(props->>'$.k' as integer) as k from events
 """
 
+DECODE_MALFORMED = """
+select 'events' as source, count(*) as row_count,
+       count(*) filter (where cast(props->>'$.k' as integer) is null) as blank_count
+from events
+union all
+select 'documents' as source, count(*) as row_count, count(*) as blank_count from documents
+"""
+
 TRADE_TOTALS = """
 with trades as (
   select time_bucket(interval '15 minutes', ts) as start, event_type,
@@ -25,6 +33,12 @@ from trades
 group by start
 """
 
+# Times on the wire are whole seconds.
+TRADE_TOTALS_APPEND = f"""
+select * from ({TRADE_TOTALS})
+where "end" <= (select date_trunc('second', max(ts)) - interval '1 hour' from events)
+"""
+
 # A 15-minute window starts every 5 minutes: each event lies in the three that began last.
 SENSOR_MAX = """
 with windows as (
@@ -37,7 +51,8 @@ from windows
 group by SensorID, start
 """
 
-# Times on the wire are whole seconds.
+SENSOR_MAX_UNDATED = f"select * from ({SENSOR_MAX}) where SensorID <> 'signup'"
+
 SENSOR_MAX_APPEND = f"""
 select * from ({SENSOR_MAX})
 where "end" <= (select date_trunc('second', max(ts)) - interval '30 minutes' from events)
@@ -133,8 +148,10 @@ select 'notification' as sink, count(distinct o_orderkey) as row_count from orde
 ORACLES: dict[str, str] = {
     "word_count": WORD_COUNT,
     "json_decode": JSON_DECODE,
+    "decode_malformed": DECODE_MALFORMED,
     "trade_totals": TRADE_TOTALS,
     "sensor_max": SENSOR_MAX,
+    "sensor_max_undated": SENSOR_MAX_UNDATED,
     "invoice_flatten": INVOICE_FLATTEN,
     "published_items": PUBLISHED_ITEMS,
     "loyalty_notifications": LOYALTY_NOTIFICATIONS,
@@ -143,8 +160,10 @@ ORACLES: dict[str, str] = {
     "sensor_max_update": SENSOR_MAX,
     "sensor_max_append": SENSOR_MAX_APPEND,
     "trade_totals_update": TRADE_TOTALS,
+    "trade_totals_append": TRADE_TOTALS_APPEND,
     "word_count_complete": WORD_COUNT,
     "file_flatten": INVOICE_FLATTEN,
+    "file_flatten_inferred": INVOICE_FLATTEN,
     "record_flatten": INVOICE_FLATTEN,
     "loyalty_stream": LOYALTY_NOTIFICATIONS,
     "publish_and_reward": PRIME_REWARDS,

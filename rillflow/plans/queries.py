@@ -52,6 +52,20 @@ def q_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("event_id").cast("bigint"), "k")
 
 
+def q_decode_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose and JSON in one topic: what is not a JSON object decodes to nulls and drops nothing."""
+    events = tables.table(spark, sf_dir, "events").select(
+        F.lit("events").alias("key"), F.col("props").alias("value")
+    )
+    prose = tables.table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("key"), F.col("text").alias("value")
+    )
+    decoded = decode_json(events.union(prose), {"k": "int"}, key_as="source", metric="mixed")
+    return decoded.groupBy("source").agg(
+        F.count("*").alias("row_count"), F.count_if(F.col("k").isNull()).alias("blank_count")
+    )
+
+
 def q_trade_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
     return jobs.trade_windows(tables.trade_records(tables.table(spark, sf_dir, "events")))
@@ -62,6 +76,16 @@ def q_sensor_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sensor_windows(tables.sensor_records(tables.table(spark, sf_dir, "events")))
 
 
+def q_sensor_max_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One kind of sensor sends times in another format: its readings enter no window."""
+    _utc(spark)
+    events = tables.table(spark, sf_dir, "events")
+    records = tables.sensor_records(events.where(F.col("event_type") != "signup"))
+    odd = events.where(F.col("event_type") == "signup")
+    undated = tables.sensor_records(odd, "dd/MM/yyyy HH:mm:ss")
+    return jobs.sensor_windows(records.union(undated))
+
+
 def q_invoice_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
     return jobs.flat_items(tables.invoice_records(spark, sf_dir))
@@ -137,6 +161,19 @@ def q_trade_totals_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_to_log(spark, "trade_totals_update", start, ["start", "end"])
 
 
+def q_trade_totals_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a bound on lateness, closed windows come out once and leave the state."""
+    _utc(spark)
+    work = scratch_dir(spark, "trade_totals_append")
+    records = tables.trade_records(tables.table_stream(spark, sf_dir, "events"))
+    sink = partial(to_update_log, path=f"{work}/log", mode="append")
+    query = jobs.total_trades(
+        records, f"{work}/checkpoint", sink, delay="1 hour", name=None, trigger=AVAILABLE_NOW
+    )
+    finish(query)
+    return spark.read.parquet(f"{work}/log").drop("batch_id")
+
+
 def q_word_count_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = tables.table_stream(spark, sf_dir, "documents").select(F.col("text").alias("value"))
     work = scratch_dir(spark, "word_count_complete")
@@ -152,10 +189,11 @@ def _written_records(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
     return replay_records(spark, f"{work}/records")
 
 
-def q_file_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON directory to JSON directory, archiving what has been read."""
+def _flatten_files(
+    spark: SparkSession, sf_dir: str, name: str, fields: dict[str, str] | None
+) -> DataFrame:
     _utc(spark)
-    work = scratch_dir(spark, "file_flatten")
+    work = scratch_dir(spark, name)
     tables.invoices(spark, sf_dir).write.json(f"{work}/in")
     query = jobs.flatten_files(
         spark,
@@ -163,7 +201,7 @@ def q_file_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{work}/out",
         f"{work}/checkpoint",
         archive_dir=f"{work}/archive",
-        fields=INVOICE,
+        fields=fields,
         name=None,
         trigger=AVAILABLE_NOW,
     )
@@ -171,6 +209,16 @@ def q_file_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out")
 
 
+def q_file_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON directory to JSON directory, archiving what has been read."""
+    return _flatten_files(spark, sf_dir, "file_flatten", INVOICE)
+
+
+def q_file_flatten_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the schema taken from the files, at the price of reading them once more."""
+    return _flatten_files(spark, sf_dir, "file_flatten_inferred", None)
+
+
 def q_record_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "record_flatten")
     records = _written_records(spark, sf_dir, work)
@@ -203,9 +251,8 @@ def q_publish_and_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec="json",
         segment=SEGMENT,
         total_type=EXACT,
-        encode=False,
     )
-    return _plain_rewards(_run_to_log(spark, "rewards", start, ["CustomerCardNo"]))
+    return decode_json(_run_to_log(spark, "rewards", start, ["key"]), REWARD)
 
 
 def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> DataFrame:
@@ -277,8 +324,10 @@ def q_sensor_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_count": q_word_count,
     "json_decode": q_json_decode,
+    "decode_malformed": q_decode_malformed,
     "trade_totals": q_trade_totals,
     "sensor_max": q_sensor_max,
+    "sensor_max_undated": q_sensor_max_undated,
     "invoice_flatten": q_invoice_flatten,
     "published_items": q_published_items,
     "loyalty_notifications": q_loyalty_notifications,
@@ -287,8 +336,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sensor_max_update": q_sensor_max_update,
     "sensor_max_append": q_sensor_max_append,
     "trade_totals_update": q_trade_totals_update,
+    "trade_totals_append": q_trade_totals_append,
     "word_count_complete": q_word_count_complete,
     "file_flatten": q_file_flatten,
+    "file_flatten_inferred": q_file_flatten_inferred,
     "record_flatten": q_record_flatten,
     "loyalty_stream": q_loyalty_stream,
     "publish_and_reward": q_publish_and_reward,

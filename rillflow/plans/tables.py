@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.schemas import INVOICE, TIME_FORMAT
+from rillflow.schemas import INVOICE, ITEM, TIME_FORMAT
 
 # Line items one invoice record may hold, and the most orders that may need several records.
 PAGE_ITEMS = 10_000
@@ -22,10 +22,6 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _wire_time(ts: str) -> Column:
-    return F.date_format(ts, TIME_FORMAT)
-
-
 def _record(key: Column, *fields: Column) -> list[Column]:
     return [
         key.cast("string").cast("binary").alias("key"),
@@ -33,10 +29,10 @@ def _record(key: Column, *fields: Column) -> list[Column]:
     ]
 
 
-def sensor_records(events: DataFrame) -> DataFrame:
+def sensor_records(events: DataFrame, time_format: str = TIME_FORMAT) -> DataFrame:
     """Each event as a reading of the sensor named by its type."""
-    fields = _wire_time("ts").alias("CreatedTime"), F.col("value").alias("Reading")
-    return events.select(*_record(F.col("event_type"), *fields))
+    time = F.date_format("ts", time_format).alias("CreatedTime")
+    return events.select(*_record(F.col("event_type"), time, F.col("value").alias("Reading")))
 
 
 def trade_records(events: DataFrame) -> DataFrame:
@@ -49,7 +45,7 @@ def trade_records(events: DataFrame) -> DataFrame:
     return events.select(
         *_record(
             F.col("event_id"),
-            _wire_time("ts").alias("CreatedTime"),
+            F.date_format("ts", TIME_FORMAT).alias("CreatedTime"),
             kind.alias("Type"),
             F.round(F.col("value") * 100).cast("int").alias("Amount"),
             F.col("user_id").cast("string").alias("BrokerCode"),
@@ -137,7 +133,9 @@ def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) ->
 
     An order too large for one record is spread over several with the same header, so that no task
     ever holds all items of one order: both sides are grouped and joined by order and page, and the
-    items are shuffled for that only once. An order without items keeps its invoice.
+    items are shuffled for that only once. They are shuffled before the grouping because collecting
+    a list shrinks nothing, so a first pass of it on the scanning side would be wasted. An order
+    without items keeps its invoice.
     """
     lineitem = table(spark, sf_dir, "lineitem")
     large = F.broadcast(large_orders(lineitem, page_items))
@@ -148,9 +146,10 @@ def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) ->
     items = (
         _with_part(numbered, table(spark, sf_dir, "part"))
         .join(large, "l_orderkey", "left")
-        .withColumn("page", F.pmod("row_no", pages))
+        .select("l_orderkey", F.pmod("row_no", pages).alias("page"), *_line_fields())
+        .repartition("l_orderkey", "page")
         .groupBy("l_orderkey", "page")
-        .agg(F.collect_list(F.struct(*_line_fields())).alias("InvoiceLineItems"))
+        .agg(F.collect_list(F.struct(*ITEM)).alias("InvoiceLineItems"))
     )
     headers = (
         _headers(spark, sf_dir)

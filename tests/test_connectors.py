@@ -7,7 +7,7 @@ import pytest
 from helpers import records
 from rillflow.functions.codecs import ConnectorMissing
 from rillflow.sources.kafka import kafka_records, kafka_source_options
-from rillflow.sources.sockets import socket_options
+from rillflow.sources.sockets import socket_lines, socket_options
 from rillflow.streaming.sinks import check_record, kafka_sink_options, to_kafka
 
 
@@ -29,6 +29,11 @@ def test_socket_options():
     assert socket_options("localhost", 9999) == {"host": "localhost", "port": "9999"}
 
 
+def test_socket_stream_is_declared_without_connecting(spark):
+    lines = socket_lines(spark)
+    assert lines.isStreaming and lines.dtypes == [("value", "string")]
+
+
 def _kafka_ready(spark):
     try:
         kafka_records(spark, "localhost:9092", "t")
