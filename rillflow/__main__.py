@@ -1,4 +1,4 @@
-"""Run one of the jobs: ``python -m rillflow JOB --checkpoint DIR ...`` or by ``spark-submit``."""
+"""Run one of the jobs: ``python -m rillflow JOB --checkpoint DIR ...``."""
 
 from __future__ import annotations
 
@@ -50,6 +50,9 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--slide", default="5 minutes", help="step between sliding windows")
     args.add_argument("--delay", help="how late an event may be; 'none' for ever")
     args.add_argument("--single-read", action="store_true", help="split in one query")
+    args.add_argument(
+        "--conf", action="append", default=[], metavar="KEY=VALUE", help="session setting"
+    )
     return args
 
 
@@ -81,14 +84,17 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
     if args.job in ("flatten-files", "flatten-records", "split-invoices") and not args.output:
         raise SystemExit(f"{args.job} needs --output")
     if args.job == "count-words":
-        by_socket = args.input is None
-        lines = socket_lines(spark, args.host, args.port) if by_socket else text_lines(spark, args.input)
+        if args.input:
+            lines = text_lines(spark, args.input)
+        else:
+            lines = socket_lines(spark, args.host, args.port)
         sink = partial(to_snapshots, path=args.output) if args.output else None
         return [jobs.count_words(lines, sink=sink, **common)]
     if args.job == "flatten-files":
         if not args.input:
             raise SystemExit("flatten-files needs --input")
-        return [jobs.flatten_files(spark, args.input, args.output, archive_dir=args.archive, **common)]
+        paths = {"path": args.input, "output": args.output, "archive_dir": args.archive}
+        return [jobs.flatten_files(spark, **paths, **common)]
     records = _records(spark, args)
     if args.job == "flatten-records":
         return [jobs.flatten_records(records, args.output, **common)]
@@ -113,7 +119,8 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = build_session(f"rillflow {args.job}")
+    settings = dict(setting.split("=", 1) for setting in args.conf)
+    spark = build_session(f"rillflow {args.job}", settings)
     queries = start(spark, args)
     if args.trigger == AVAILABLE_NOW:
         finish(queries)

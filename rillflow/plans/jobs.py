@@ -119,7 +119,7 @@ def count_words(
     name: str | None = "word count",
     trigger: str | None = None,
 ) -> StreamingQuery:
-    """Running count of every token, whole result each batch. Its state grows with the vocabulary."""
+    """Running count of every token, whole result each batch; its state only grows."""
     sink = sink or console_sink("complete")
     return sink(word_count(lines), checkpoint=checkpoint, name=name, trigger=trigger)
 
@@ -135,7 +135,7 @@ def flatten_files(
     name: str | None = "flatten files",
     trigger: str | None = MINUTE,
 ) -> StreamingQuery:
-    """A directory of JSON invoices to JSON line items; the schema is inferred without ``fields``."""
+    """JSON invoices in a directory to JSON line items; inferred schema without ``fields``."""
     invoices = json_dir(spark, path, fields, archive_dir, max_files)
     return to_json_files(flatten_invoices(invoices), output, checkpoint, name, trigger)
 

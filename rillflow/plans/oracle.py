@@ -113,7 +113,9 @@ l_extendedprice * (1 - l_discount) as TotalValue
 
 INVOICE_FLATTEN = f"select {_HEADER}, o_orderpriority as PaymentMethod, {_ITEM} {_ITEMS}"
 
-PUBLISHED_ITEMS = f"select {_HEADER}, cast(o_custkey as varchar) as CustomerCardNo, {_ITEM} {_ITEMS}"
+PUBLISHED_ITEMS = f"""
+select {_HEADER}, cast(o_custkey as varchar) as CustomerCardNo, {_ITEM} {_ITEMS}
+"""
 
 LOYALTY_NOTIFICATIONS = """
 select cast(o_orderkey as varchar) as InvoiceNumber, cast(o_custkey as varchar) as CustomerCardNo,

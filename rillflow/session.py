@@ -24,15 +24,20 @@ SCALE_CONF = {
 
 
 def build_session(app: str, conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with ``SCALE_CONF``; ``conf`` wins. The master is left to the caller.
+    """A session with ``conf``, and ``SCALE_CONF`` where neither that nor the cluster sets a key.
 
-    ``spark.sql.shuffle.partitions`` is fixed in a stateful query's checkpoint by its first batch,
-    so choose it before the first run.
+    The master is left to the caller. ``spark.sql.shuffle.partitions`` is fixed in a stateful
+    query's checkpoint by its first batch, so choose it before the first run.
     """
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SCALE_CONF, **(conf or {})}.items():
+    for key, value in (conf or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in SCALE_CONF.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

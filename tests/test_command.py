@@ -30,7 +30,9 @@ def stored(spark, tmp_path):
     def write(pairs):
         path = str(tmp_path / "records")
         records(spark, pairs).selectExpr(
-            *(name if name in ("key", "value") else f"cast(null as {kind}) as {name}" for name, kind in RECORD.items())
+            "key",
+            "value",
+            *(f"cast(null as {kind}) as {name}" for name, kind in list(RECORD.items())[2:]),
         ).write.parquet(path)
         return path
 
@@ -53,7 +55,8 @@ def test_count_words(spark, tmp_path, run):
 
 def test_flatten_files(spark, tmp_path, run):
     land_json(str(tmp_path / "in"), 0, [invoice("1", [1.0, 2.0])])
-    run("flatten-files", "--input", tmp_path / "in", "--output", tmp_path / "out", "--archive", tmp_path / "done")
+    folders = "--input", tmp_path / "in", "--output", tmp_path / "out", "--archive", tmp_path / "a"
+    run("flatten-files", *folders)
     assert spark.read.schema(ddl(FLAT_ITEM)).json(str(tmp_path / "out")).count() == 2
 
 
@@ -68,9 +71,10 @@ def test_notify(spark, tmp_path, run, stored):
 
 
 def test_publish_then_reward(spark, tmp_path, run, stored):
-    run("publish-items", "--codec", "json", "--records", stored(INVOICES), "--output", tmp_path / "items")
-    run("reward-cards", "--codec", "json", "--records", tmp_path / "items", "--output", tmp_path / "log")
-    rows = latest(spark.read.parquet(str(tmp_path / "log")), ["key"]).collect()
+    items, log = tmp_path / "items", tmp_path / "log"
+    run("publish-items", "--codec", "json", "--records", stored(INVOICES), "--output", items)
+    run("reward-cards", "--codec", "json", "--records", items, "--output", log)
+    rows = latest(spark.read.parquet(str(log)), ["key"]).collect()
     assert {row.key: json.loads(row.value)["AggregatedRewards"] for row in rows} == {"c": 8}
 
 

@@ -22,7 +22,8 @@ def test_source_options():
 
 
 def test_sink_options():
-    assert kafka_sink_options("h:9092", "out") == {"kafka.bootstrap.servers": "h:9092", "topic": "out"}
+    expected = {"kafka.bootstrap.servers": "h:9092", "topic": "out"}
+    assert kafka_sink_options("h:9092", "out") == expected
 
 
 def test_socket_options():

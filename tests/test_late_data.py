@@ -76,7 +76,11 @@ def test_update_mode_and_restart(spark, tmp_path):
     run(spark, folder)
     after = batches(spark, folder)
     new = [row for n in after if n not in before for row in after[n]]
-    assert sorted(new) == [("10:45", "11:00", 3.0), ("10:50", "11:05", 3.0), ("10:55", "11:10", 3.0)]
+    assert sorted(new) == [
+        ("10:45", "11:00", 3.0),
+        ("10:50", "11:05", 3.0),
+        ("10:55", "11:10", 3.0),
+    ]
 
 
 def test_append_mode(spark, tmp_path):

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
-    """The small tables with half as many line items again, all of them order 7, most of them copies."""
+    """The small tables with half as many line items again: all of order 7, most of them copies."""
     folder = str(tmp_path_factory.mktemp("skewed"))
     for name in ("orders", "customer", "part", "nation", "region"):
         tables.table(spark, SF, name).write.parquet(f"{folder}/{name}.parquet")
@@ -42,7 +42,8 @@ def test_paging_changes_no_item(spark, skewed):
     paged = jobs.flat_items(tables.invoice_records(spark, skewed, page_items=100), metric="paged")
     whole = q_invoice_flatten(spark, skewed)
     assert paged.exceptAll(whole).isEmpty() and whole.exceptAll(paged).isEmpty()
-    lineitem, orders = tables.table(spark, skewed, "lineitem"), tables.table(spark, skewed, "orders")
+    lineitem = tables.table(spark, skewed, "lineitem")
+    orders = tables.table(spark, skewed, "orders")
     known = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     assert paged.count() == known.count()
 
@@ -68,7 +69,9 @@ def test_large_orders_are_few(spark, skewed):
 def test_hot_card_reaches_the_shuffle_as_one_row_per_task(spark):
     items = spark.range(0, 300_000, numPartitions=6).select(
         F.lit("PRIME").alias("CustomerType"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("CustomerCardNo"),
+        F.when(F.col("id") % 3 == 0, "hot")
+        .otherwise(F.col("id").cast("string"))
+        .alias("CustomerCardNo"),
         F.lit(1.5).alias("TotalValue"),
     )
     rewards = prime_rewards(items).where("CustomerCardNo = 'hot'").first()

@@ -13,7 +13,7 @@ from rillflow.operators.aggregates import word_count
 from rillflow.operators.invoices import flatten_invoices
 from rillflow.plans import jobs
 from rillflow.schemas import FLAT_ITEM, INVOICE, PUBLISHED_ITEM, ddl
-from rillflow.sources.files import json_dir, text_lines
+from rillflow.sources.files import json_dir, replay_records, stored_records, text_lines
 from rillflow.streaming.fanout import fan_out
 from rillflow.streaming.runner import finish, wait_for_any
 from rillflow.streaming.sinks import (
@@ -55,8 +55,8 @@ def test_word_count_snapshots(spark, tmp_path):
     counted = read_snapshot(spark, out)
     assert counted.columns == ["value", "count"]
     assert {row.value: row["count"] for row in counted.collect()} == {"a": 2, "b": 3, "c": 2}
-    kept = sorted(row.batch_id for row in spark.read.parquet(out).select("batch_id").distinct().collect())
-    assert kept == [1, 2]
+    kept = spark.read.parquet(out).select("batch_id").distinct().collect()
+    assert sorted(row.batch_id for row in kept) == [1, 2]
 
 
 def test_console_prints_first_rows_only(spark, tmp_path, capsys):
@@ -102,7 +102,8 @@ def test_interval_and_default_trigger(spark, tmp_path):
     lines = text_lines(spark, lines_dir(tmp_path, "a\n", "b\n"))
     for number, trigger in enumerate([None, "1 second"]):
         out = str(tmp_path / f"out{number}")
-        query = to_json_files(lines, out, str(tmp_path / f"ckpt{number}"), f"copy {number}", trigger)
+        checkpoint = str(tmp_path / f"ckpt{number}")
+        query = to_json_files(lines, out, checkpoint, f"copy {number}", trigger)
         assert query.name == f"copy {number}"
         query.processAllAvailable()
         assert query.isActive
@@ -203,10 +204,7 @@ def test_published_items_to_rewards(spark, tmp_path):
     )
     published = spark.read.parquet(items)
     assert decode_json(published, PUBLISHED_ITEM).count() == 4
-    from rillflow.sources.files import replay_records, stored_records
-
     assert stored_records(spark, items).columns[:3] == ["key", "value", "topic"]
-    sink = partial(to_update_log, path=log)
     for encode in (False, True):
         target = partial(to_update_log, path=f"{log}-{encode}")
         finish(
@@ -228,7 +226,6 @@ def test_published_items_to_rewards(spark, tmp_path):
     encoded = latest(spark.read.parquet(f"{log}-True"), ["key"]).collect()
     assert [row.key for row in encoded] == ["c"]
     assert json.loads(encoded[0].value)["AggregatedRewards"] == 8
-    assert sink is not None
 
 
 @pytest.mark.parametrize("single_read", [False, True])
@@ -250,8 +247,9 @@ def test_fan_out_stops_all_when_one_cannot_start(spark, tmp_path):
     def broken(df):
         raise RuntimeError("no such branch")
 
+    branches = {"good": lambda df: df, "bad": broken}
     with pytest.raises(RuntimeError, match="no such branch"):
-        fan_out(lines, {"good": lambda df: df, "bad": broken}, str(tmp_path / "o"), str(tmp_path / "c"))
+        fan_out(lines, branches, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert [query for query in spark.streams.active if query.name == "good"] == []
 
 
@@ -313,7 +311,10 @@ def test_trades_with_delay_are_bounded(spark, tmp_path):
 
 
 def test_stream_in_ordered_batches_equals_table(spark, tmp_path):
-    rows = [reading(f"{9 + i // 60:02d}:{i % 60:02d}:00", float(i * 7 % 31), sensor=f"s{i % 3}") for i in range(0, 240, 4)]
+    rows = [
+        reading(f"{9 + i // 60:02d}:{i % 60:02d}:00", float(i * 7 % 31), sensor=f"s{i % 3}")
+        for i in range(0, 240, 4)
+    ]
     folder = str(tmp_path / "readings")
     for number in range(6):
         land_records(spark, folder, number, rows[number * 10 : number * 10 + 10])
