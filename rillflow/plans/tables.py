@@ -99,14 +99,14 @@ def _line_fields() -> list[Column]:
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer. Nations and regions are fixed lists of 25 and 5 rows."""
+    """Orders with their customer, nation and region."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    place = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     place = place.select("n_nationkey", "n_name", "r_name")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select("o_orderkey", *_header_fields())
     )
 

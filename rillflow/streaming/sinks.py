@@ -131,8 +131,8 @@ def latest(log: DataFrame, keys: Iterable[str]) -> DataFrame:
     """The newest row per key of an update log read with ``spark.read.parquet``."""
     keys = list(keys)
     rest = [name for name in log.columns if name not in keys and name != "batch_id"]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("row"))
-    return newest.select(*keys, "row.*")
+    # Column by column: numbers and times stay in a hash aggregation, which structs cannot.
+    return log.groupBy(*keys).agg(*(F.max_by(name, "batch_id").alias(name) for name in rest))
 
 
 def to_snapshots(
