@@ -60,7 +60,8 @@ where "end" <= (select date_trunc('second', max(ts)) - interval '30 minutes' fro
 
 SENSOR_LATE_DATA = """
 with span as (
-  select epoch_us(min(ts)) as first, (epoch_us(max(ts)) - epoch_us(min(ts))) // 4 as width
+  select epoch_us(min(ts)) as first,
+         greatest(1, (epoch_us(max(ts)) - epoch_us(min(ts))) // 4) as width
   from events
 ),
 arrivals as (

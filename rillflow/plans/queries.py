@@ -286,38 +286,33 @@ def q_fan_out_single_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sensor_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives, some a quarter of the whole time span late; the stream is restarted.
 
-    The time span is cut into slots. Events with a high ``k`` land with the slot after their own.
-    Each slot is written as one batch of files and the job is run to its end on what is there, from
-    the same checkpoint. By then windows are closed up to 30 minutes before the latest event seen.
+    The time span is cut into slots, and events with a high ``k`` arrive with the slot after their
+    own. The slots land one after the other, and after each the job runs to the end of what is
+    there, from the same checkpoint. By then windows are closed up to 30 minutes before the latest
+    event seen.
     """
     _utc(spark)
     events = tables.table(spark, sf_dir, "events")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    width = (last - first) // LATE_SLOTS
-    starts = [first + i * width for i in range(LATE_SLOTS)]
-    late = F.get_json_object("props", "$.k").cast("int") >= 90
-    work = scratch_dir(spark, "sensor_late_data")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    end = LATE_SLOTS - 1
+    width = F.lit(max(1, (last - first) // LATE_SLOTS))
+    own = F.least(F.call_function("div", micros - first, width), F.lit(end))
+    late = (F.get_json_object("props", "$.k").cast("int") >= 90).cast("int")
+    arrivals = events.withColumn("slot", F.least(own + late, F.lit(end)))
 
-    def slot(i: int) -> DataFrame:
-        """Rows whose time lies in slot ``i``: a plain range, so that the scan can skip files."""
-        time = F.col("ts")
-        lower = time >= F.lit(starts[i]).cast("timestamp_ntz")
-        if i + 1 == LATE_SLOTS:
-            return events.where(lower)
-        return events.where(lower & (time < F.lit(starts[i + 1]).cast("timestamp_ntz")))
-
-    for i in range(LATE_SLOTS):
-        arriving = slot(i) if i + 1 == LATE_SLOTS else slot(i).where(~late)
-        if i > 0:
-            arriving = arriving.union(slot(i - 1).where(late))
-        tables.sensor_records(arriving).write.mode("append").parquet(f"{work}/landing")
+    work = scratch_dir(spark, "sensor_late_data")
+    staged = f"{work}/staged"
+    tables.sensor_records(arrivals, keep=("slot",)).write.partitionBy("slot").parquet(staged)
+    sink = partial(to_update_log, path=f"{work}/log")
+    for slot in range(LATE_SLOTS):
+        landing = spark.read.parquet(staged).where(F.col("slot") == slot).drop("slot")
+        landing.write.mode("append").parquet(f"{work}/landing")
         records = replay_records(spark, f"{work}/landing")
-        sink = partial(to_update_log, path=f"{work}/log")
-        finish(
-            jobs.track_sensors(
-                records, f"{work}/checkpoint", sink, name=None, trigger=AVAILABLE_NOW
-            )
+        query = jobs.track_sensors(
+            records, f"{work}/checkpoint", sink, name=None, trigger=AVAILABLE_NOW
         )
+        finish(query)
     return latest(spark.read.parquet(f"{work}/log"), ["SensorID", "start", "end"])
 
 

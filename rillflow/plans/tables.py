@@ -29,10 +29,13 @@ def _record(key: Column, *fields: Column) -> list[Column]:
     ]
 
 
-def sensor_records(events: DataFrame, time_format: str = TIME_FORMAT) -> DataFrame:
-    """Each event as a reading of the sensor named by its type."""
+def sensor_records(
+    events: DataFrame, time_format: str = TIME_FORMAT, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Each event as a reading of the sensor named by its type, beside the columns to ``keep``."""
     time = F.date_format("ts", time_format).alias("CreatedTime")
-    return events.select(*_record(F.col("event_type"), time, F.col("value").alias("Reading")))
+    reading = _record(F.col("event_type"), time, F.col("value").alias("Reading"))
+    return events.select(*keep, *reading)
 
 
 def trade_records(events: DataFrame) -> DataFrame:
