@@ -51,7 +51,9 @@ from windows
 group by SensorID, start
 """
 
-SENSOR_MAX_UNDATED = f"select * from ({SENSOR_MAX}) where SensorID <> 'signup'"
+SENSOR_MAX_UNDATED = f"""
+select * from ({SENSOR_MAX}) where SensorID is distinct from 'signup'
+"""
 
 SENSOR_MAX_APPEND = f"""
 select * from ({SENSOR_MAX})

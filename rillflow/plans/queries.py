@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from rillflow.functions.codecs import decode_json, encode_json
 from rillflow.operators.aggregates import word_count
 from rillflow.plans import jobs, tables
-from rillflow.schemas import FLAT_ITEM, INVOICE, NOTIFICATION, PUBLISHED_ITEM, REWARD, ddl
+from rillflow.schemas import (
+    FLAT_ITEM,
+    INVOICE,
+    NOTIFICATION,
+    PUBLISHED_ITEM,
+    REWARD,
+    TIME_FORMAT,
+    ddl,
+)
 from rillflow.session import scratch_dir
 from rillflow.sources.files import replay_records
 from rillflow.streaming.runner import finish
@@ -79,11 +87,10 @@ def q_sensor_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sensor_max_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One kind of sensor sends times in another format: its readings enter no window."""
     _utc(spark)
+    odd = F.when(F.col("event_type") == "signup", F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+    time = odd.otherwise(F.date_format("ts", TIME_FORMAT))
     events = tables.table(spark, sf_dir, "events")
-    records = tables.sensor_records(events.where(F.col("event_type") != "signup"))
-    odd = events.where(F.col("event_type") == "signup")
-    undated = tables.sensor_records(odd, "dd/MM/yyyy HH:mm:ss")
-    return jobs.sensor_windows(records.union(undated))
+    return jobs.sensor_windows(tables.sensor_records(events, time))
 
 
 def q_invoice_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:

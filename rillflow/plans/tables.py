@@ -30,12 +30,12 @@ def _record(key: Column, *fields: Column) -> list[Column]:
 
 
 def sensor_records(
-    events: DataFrame, time_format: str = TIME_FORMAT, keep: tuple[str, ...] = ()
+    events: DataFrame, time: Column | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Each event as a reading of the sensor named by its type, beside the columns to ``keep``."""
-    time = F.date_format("ts", time_format).alias("CreatedTime")
-    reading = _record(F.col("event_type"), time, F.col("value").alias("Reading"))
-    return events.select(*keep, *reading)
+    time = F.date_format("ts", TIME_FORMAT) if time is None else time
+    fields = time.alias("CreatedTime"), F.col("value").alias("Reading")
+    return events.select(*keep, *_record(F.col("event_type"), *fields))
 
 
 def trade_records(events: DataFrame) -> DataFrame:
