@@ -50,17 +50,22 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--slide", default="5 minutes", help="step between sliding windows")
     args.add_argument("--delay", help="how late an event may be; 'none' for ever")
     args.add_argument("--single-read", action="store_true", help="split in one query")
-    args.add_argument(
-        "--conf", action="append", default=[], metavar="KEY=VALUE", help="session setting"
-    )
+    pairs = {"action": "append", "default": [], "metavar": "KEY=VALUE"}
+    args.add_argument("--option", help="source option, as maxOffsetsPerTrigger=100000", **pairs)
+    args.add_argument("--conf", help="session setting", **pairs)
     return args
 
 
+def _settings(pairs: list[str]) -> dict[str, str]:
+    return dict(pair.split("=", 1) for pair in pairs)
+
+
 def _records(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    options = _settings(args.option)
     if args.records:
-        return replay_records(spark, args.records)
+        return replay_records(spark, args.records, **options)
     topic = args.topic or JOBS[args.job][0]
-    return kafka_records(spark, args.servers, topic, args.starting)
+    return kafka_records(spark, args.servers, topic, args.starting, **options)
 
 
 def _record_sink(args: argparse.Namespace, mode: str) -> jobs.Sink:
@@ -85,7 +90,7 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
         raise SystemExit(f"{args.job} needs --output")
     if args.job == "count-words":
         if args.input:
-            lines = text_lines(spark, args.input)
+            lines = text_lines(spark, args.input, **_settings(args.option))
         else:
             lines = socket_lines(spark, args.host, args.port)
         sink = partial(to_snapshots, path=args.output) if args.output else None
@@ -94,7 +99,8 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
         if not args.input:
             raise SystemExit("flatten-files needs --input")
         paths = {"path": args.input, "output": args.output, "archive_dir": args.archive}
-        return [jobs.flatten_files(spark, **paths, **common)]
+        options = _settings(args.option)
+        return [jobs.flatten_files(spark, **paths, options=options, **common)]
     records = _records(spark, args)
     if args.job == "flatten-records":
         return [jobs.flatten_records(records, args.output, **common)]
@@ -119,8 +125,7 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    settings = dict(setting.split("=", 1) for setting in args.conf)
-    spark = build_session(f"rillflow {args.job}", settings)
+    spark = build_session(f"rillflow {args.job}", _settings(args.conf))
     queries = start(spark, args)
     if args.trigger == AVAILABLE_NOW:
         finish(queries)

@@ -132,11 +132,12 @@ def flatten_files(
     archive_dir: str | None = None,
     fields: dict[str, str] | None = None,
     max_files: int | None = None,
+    options: dict[str, str] | None = None,
     name: str | None = "flatten files",
     trigger: str | None = MINUTE,
 ) -> StreamingQuery:
     """JSON invoices in a directory to JSON line items; inferred schema without ``fields``."""
-    invoices = json_dir(spark, path, fields, archive_dir, max_files)
+    invoices = json_dir(spark, path, fields, archive_dir, max_files, **(options or {}))
     return to_json_files(flatten_invoices(invoices), output, checkpoint, name, trigger)
 
 

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Session settings the jobs rely on at scale. UTC: event times on the wire carry no zone, and the
-# parse takes the session's. AQE: splits skewed joins and merges small shuffle partitions.
+# parse takes the session's. AQE: splits skewed joins and merges small shuffle partitions; it splits
+# early, since what follows a join here is costly per byte (encoding and parsing).
 # RocksDB: keeps keyed state off the JVM heap, which matters for the aggregations that have no
 # event time to expire by (word counts, rewards per card); its changelog keeps each commit as
 # small as the batch's changes.
@@ -16,6 +17,7 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -29,13 +31,14 @@ def build_session(app: str, conf: dict[str, str] | None = None) -> SparkSession:
     The master is left to the caller. ``spark.sql.shuffle.partitions`` is fixed in a stateful
     query's checkpoint by its first batch, so choose it before the first run.
     """
+    conf = conf or {}
     builder = SparkSession.builder.appName(app)
-    for key, value in (conf or {}).items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    given = spark.sparkContext.getConf()
+    cluster = spark.sparkContext.getConf()
     for key, value in SCALE_CONF.items():
-        if not given.contains(key):
+        if key not in conf and not cluster.contains(key):
             spark.conf.set(key, value)
     return spark
 

@@ -11,7 +11,7 @@ from helpers import clock, invoice, land_json, records, reading, trade
 from rillflow.__main__ import JOBS, parser, start
 from rillflow.functions.codecs import ConnectorMissing
 from rillflow.schemas import FLAT_ITEM, RECORD, ddl
-from rillflow.session import SCALE_CONF, scratch_dir
+from rillflow.session import SCALE_CONF, build_session, scratch_dir
 from rillflow.streaming.runner import finish
 from rillflow.streaming.sinks import latest, read_snapshot
 
@@ -55,9 +55,11 @@ def test_count_words(spark, tmp_path, run):
 
 def test_flatten_files(spark, tmp_path, run):
     land_json(str(tmp_path / "in"), 0, [invoice("1", [1.0, 2.0])])
+    land_json(str(tmp_path / "in"), 1, [invoice("2", [1.0])])
     folders = "--input", tmp_path / "in", "--output", tmp_path / "out", "--archive", tmp_path / "a"
-    run("flatten-files", *folders)
-    assert spark.read.schema(ddl(FLAT_ITEM)).json(str(tmp_path / "out")).count() == 2
+    run("flatten-files", *folders, "--option", "maxFilesPerTrigger=1")
+    assert [path.name for path in (tmp_path / "a").rglob("*.json")] == ["in-0.json"]
+    assert spark.read.schema(ddl(FLAT_ITEM)).json(str(tmp_path / "out")).count() == 3
 
 
 def test_flatten_records(spark, tmp_path, run, stored):
@@ -137,6 +139,21 @@ def test_scratch_folder_follows_the_session(spark):
     assert scratch_dir(on_store, "x").startswith("hdfs://name/tmp/x-")
 
 
+def test_built_session_keeps_what_is_set(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    built = build_session("again", {"spark.sql.adaptive.skewJoin.enabled": "false"})
+    try:
+        assert built.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert built.conf.get("spark.sql.shuffle.partitions") == before
+        for key, value in SCALE_CONF.items():
+            expected = "false" if key == "spark.sql.adaptive.skewJoin.enabled" else value
+            assert built.conf.get(key) == expected
+    finally:
+        for key in SCALE_CONF:
+            if key != "spark.sql.session.timeZone":
+                spark.conf.unset(key)
+
+
 def test_cluster_without_shared_folder_is_refused():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(_session(spark_master="yarn"), "x")
