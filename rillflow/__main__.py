@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--port", type=int, default=9999)
     args.add_argument("--output", help="folder to write instead of a topic or the console")
     args.add_argument("--archive", help="folder that receives the files that have been read")
+    args.add_argument("--compression", help="codec of the JSON files written, as gzip")
     args.add_argument("--trigger", help=f"interval, or '{AVAILABLE_NOW}'")
     args.add_argument("--codec", choices=["avro", "json"], default="avro")
     args.add_argument("--width", default="15 minutes", help="window length")
@@ -85,6 +86,7 @@ def _table_sink(args: argparse.Namespace) -> jobs.Sink:
 def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]:
     """Start the job's query or queries."""
     common = {"checkpoint": args.checkpoint, "trigger": args.trigger or JOBS[args.job][2]}
+    codec = {"compression": args.compression}
     delay = None if args.delay == "none" else args.delay
     if args.job in ("flatten-files", "flatten-records", "split-invoices") and not args.output:
         raise SystemExit(f"{args.job} needs --output")
@@ -100,10 +102,10 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
             raise SystemExit("flatten-files needs --input")
         paths = {"path": args.input, "output": args.output, "archive_dir": args.archive}
         options = _settings(args.option)
-        return [jobs.flatten_files(spark, **paths, options=options, **common)]
+        return [jobs.flatten_files(spark, **paths, options=options, **codec, **common)]
     records = _records(spark, args)
     if args.job == "flatten-records":
-        return [jobs.flatten_records(records, args.output, **common)]
+        return [jobs.flatten_records(records, args.output, **codec, **common)]
     if args.job == "notify":
         return [jobs.notify(records, sink=_record_sink(args, "append"), **common)]
     if args.job == "publish-items":
@@ -113,7 +115,8 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
         sink = _record_sink(args, "update")
         return [jobs.reward_cards(records, sink=sink, codec=args.codec, **common)]
     if args.job == "split-invoices":
-        return jobs.split_invoices(records, args.output, single_read=args.single_read, **common)
+        single = args.single_read
+        return jobs.split_invoices(records, args.output, single_read=single, **codec, **common)
     if args.job == "total-trades":
         sink = _table_sink(args)
         return [jobs.total_trades(records, sink=sink, width=args.width, delay=delay, **common)]

@@ -135,10 +135,12 @@ def flatten_files(
     options: dict[str, str] | None = None,
     name: str | None = "flatten files",
     trigger: str | None = MINUTE,
+    compression: str | None = None,
 ) -> StreamingQuery:
     """JSON invoices in a directory to JSON line items; inferred schema without ``fields``."""
     invoices = json_dir(spark, path, fields, archive_dir, max_files, **(options or {}))
-    return to_json_files(flatten_invoices(invoices), output, checkpoint, name, trigger)
+    items = flatten_invoices(invoices)
+    return to_json_files(items, output, checkpoint, name, trigger, compression=compression)
 
 
 def flatten_records(
@@ -147,9 +149,11 @@ def flatten_records(
     checkpoint: str,
     name: str | None = "flatten records",
     trigger: str | None = MINUTE,
+    compression: str | None = None,
 ) -> StreamingQuery:
     """Invoice records to JSON line items."""
-    return to_json_files(flat_items(records), output, checkpoint, name, trigger)
+    items = flat_items(records)
+    return to_json_files(items, output, checkpoint, name, trigger, compression=compression)
 
 
 def notify(
@@ -201,6 +205,7 @@ def split_invoices(
     checkpoint: str,
     single_read: bool = False,
     trigger: str | None = SECOND,
+    compression: str | None = None,
 ) -> list[StreamingQuery]:
     """Invoice records to line items and notifications, each into its own JSON directory.
 
@@ -209,12 +214,14 @@ def split_invoices(
     """
     if not single_read:
         branches = {"invoice": flat_items, "notification": notifications}
-        return list(fan_out(records, branches, path, checkpoint, trigger).values())
+        return list(fan_out(records, branches, path, checkpoint, trigger, compression).values())
     needs = [*FLATTEN_NEEDS, *LOYALTY_NEEDS]
     invoices = decode_json(records, INVOICE, needs, metric="split_records")
     branches = {"invoice": flatten_invoices, "notification": loyalty_notifications}
-    name = "split invoices"
-    return [fan_out_single_read(invoices, branches, path, checkpoint, name, trigger)]
+    folders = {"path": path, "checkpoint": checkpoint, "compression": compression}
+    return [
+        fan_out_single_read(invoices, branches, name="split invoices", trigger=trigger, **folders)
+    ]
 
 
 def total_trades(

@@ -40,6 +40,8 @@ SEGMENT = "BUILDING"
 # Cents are exact in this type, so the sums do not depend on the order of the tasks.
 EXACT = "decimal(18,4)"
 LATE_SLOTS = 4
+# JSON text in the shared scratch folder shrinks about tenfold.
+SCRATCH_CODEC = "gzip"
 
 
 def _utc(spark: SparkSession) -> None:
@@ -201,7 +203,7 @@ def _flatten_files(
 ) -> DataFrame:
     _utc(spark)
     work = scratch_dir(spark, name)
-    tables.invoices(spark, sf_dir).write.json(f"{work}/in")
+    tables.invoices(spark, sf_dir).write.json(f"{work}/in", compression=SCRATCH_CODEC)
     query = jobs.flatten_files(
         spark,
         f"{work}/in",
@@ -211,6 +213,7 @@ def _flatten_files(
         fields=fields,
         name=None,
         trigger=AVAILABLE_NOW,
+        compression=SCRATCH_CODEC,
     )
     finish(query)
     return spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out")
@@ -230,7 +233,7 @@ def q_record_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "record_flatten")
     records = _written_records(spark, sf_dir, work)
     paths = f"{work}/out", f"{work}/checkpoint"
-    finish(jobs.flatten_records(records, *paths, name=None, trigger=AVAILABLE_NOW))
+    finish(jobs.flatten_records(records, *paths, None, AVAILABLE_NOW, SCRATCH_CODEC))
     return spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out")
 
 
@@ -268,7 +271,7 @@ def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> Da
     records = _written_records(spark, sf_dir, work)
     finish(
         jobs.split_invoices(
-            records, f"{work}/out", f"{work}/checkpoint", single_read, AVAILABLE_NOW
+            records, f"{work}/out", f"{work}/checkpoint", single_read, AVAILABLE_NOW, SCRATCH_CODEC
         )
     )
     items = spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out/invoice")

@@ -13,7 +13,12 @@ Branches = Mapping[str, Callable[[DataFrame], DataFrame]]
 
 
 def fan_out(
-    stream: DataFrame, branches: Branches, path: str, checkpoint: str, trigger: str | None = None
+    stream: DataFrame,
+    branches: Branches,
+    path: str,
+    checkpoint: str,
+    trigger: str | None = None,
+    compression: str | None = None,
 ) -> dict[str, StreamingQuery]:
     """One independent query per branch, into JSON files under ``path/<branch>``.
 
@@ -24,7 +29,12 @@ def fan_out(
     try:
         for name, transform in branches.items():
             started[name] = to_json_files(
-                transform(stream), f"{path}/{name}", f"{checkpoint}/{name}", name, trigger
+                transform(stream),
+                f"{path}/{name}",
+                f"{checkpoint}/{name}",
+                name,
+                trigger,
+                compression=compression,
             )
     except Exception:
         for query in started.values():
@@ -40,6 +50,7 @@ def fan_out_single_read(
     checkpoint: str,
     name: str | None = None,
     trigger: str | None = None,
+    compression: str | None = None,
 ) -> StreamingQuery:
     """One query that reads and decodes each batch once and writes it to every branch in turn.
 
@@ -50,8 +61,9 @@ def fan_out_single_read(
         batch.persist()
         try:
             for branch, transform in branches.items():
-                folder = f"{path}/{branch}/batch_id={batch_id}"
-                transform(batch).write.mode("overwrite").json(folder)
+                writer = transform(batch).write.mode("overwrite")
+                writer = writer.option("compression", compression or "none")
+                writer.json(f"{path}/{branch}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

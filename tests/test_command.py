@@ -82,7 +82,10 @@ def test_publish_then_reward(spark, tmp_path, run, stored):
 
 @pytest.mark.parametrize("single", [[], ["--single-read"]])
 def test_split_invoices(spark, tmp_path, run, stored, single):
-    run("split-invoices", "--records", stored(INVOICES), "--output", tmp_path / "out", *single)
+    arguments = "--output", tmp_path / "out", "--compression", "gzip", *single
+    run("split-invoices", "--records", stored(INVOICES), *arguments)
+    files = [path.name for path in (tmp_path / "out").rglob("part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
     assert spark.read.schema(ddl(FLAT_ITEM)).json(str(tmp_path / "out" / "invoice")).count() == 3
 
 
