@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rillflow.plans import jobs
+from rillflow.schemas import INVOICE
 from rillflow.session import build_session
 from rillflow.sources.files import replay_records, text_lines
 from rillflow.sources.kafka import kafka_records
@@ -51,6 +52,11 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--slide", default="5 minutes", help="step between sliding windows")
     args.add_argument("--delay", help="how late an event may be; 'none' for ever")
     args.add_argument("--single-read", action="store_true", help="split in one query")
+    args.add_argument("--name", help="name of the query, instead of the job's own")
+    args.add_argument("--segment", default="PRIME", help="customers that are rewarded")
+    args.add_argument("--rows", type=int, default=20, help="rows the console shows of a batch")
+    args.add_argument("--schema", choices=["inferred", "invoice"], default="inferred",
+                      help="fields of the files to flatten; inferred reads all of them once more")
     pairs = {"action": "append", "default": [], "metavar": "KEY=VALUE"}
     args.add_argument("--option", help="source option, as maxOffsetsPerTrigger=100000", **pairs)
     args.add_argument("--conf", help="session setting", **pairs)
@@ -80,12 +86,14 @@ def _record_sink(args: argparse.Namespace, mode: str) -> jobs.Sink:
 def _table_sink(args: argparse.Namespace) -> jobs.Sink:
     if args.output:
         return partial(to_update_log, path=args.output)
-    return jobs.console_sink("update")
+    return jobs.console_sink("update", args.rows)
 
 
 def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]:
     """Start the job's query or queries."""
     common = {"checkpoint": args.checkpoint, "trigger": args.trigger or JOBS[args.job][2]}
+    if args.name and args.job != "split-invoices":
+        common["name"] = args.name
     codec = {"compression": args.compression}
     delay = None if args.delay == "none" else args.delay
     if args.job in ("flatten-files", "flatten-records", "split-invoices") and not args.output:
@@ -95,14 +103,19 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
             lines = text_lines(spark, args.input, **_settings(args.option))
         else:
             lines = socket_lines(spark, args.host, args.port)
-        sink = partial(to_snapshots, path=args.output) if args.output else None
+        console = jobs.console_sink("complete", args.rows)
+        sink = partial(to_snapshots, path=args.output) if args.output else console
         return [jobs.count_words(lines, sink=sink, **common)]
     if args.job == "flatten-files":
         if not args.input:
             raise SystemExit("flatten-files needs --input")
         paths = {"path": args.input, "output": args.output, "archive_dir": args.archive}
         options = _settings(args.option)
-        return [jobs.flatten_files(spark, **paths, options=options, **codec, **common)]
+        fields = INVOICE if args.schema == "invoice" else None
+        files = jobs.flatten_files(
+            spark, **paths, fields=fields, options=options, **codec, **common
+        )
+        return [files]
     records = _records(spark, args)
     if args.job == "flatten-records":
         return [jobs.flatten_records(records, args.output, **codec, **common)]
@@ -113,7 +126,8 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]
         return [jobs.publish_items(records, sink=sink, codec=args.codec, **common)]
     if args.job == "reward-cards":
         sink = _record_sink(args, "update")
-        return [jobs.reward_cards(records, sink=sink, codec=args.codec, **common)]
+        chosen = {"codec": args.codec, "segment": args.segment}
+        return [jobs.reward_cards(records, sink=sink, **chosen, **common)]
     if args.job == "split-invoices":
         single = args.single_read
         return jobs.split_invoices(records, args.output, single_read=single, **codec, **common)

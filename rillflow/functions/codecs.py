@@ -32,9 +32,11 @@ def _decoded(
     expand: bool,
     drop_malformed: bool,
     metric: str | None,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
     key = [] if key_as is None else [F.col("key").cast("string").alias(key_as)]
-    rows = records.select(*key, value.alias("value"))
+    beside = [*([] if key_as is None else [key_as]), *keep]
+    rows = records.select(*key, *keep, value.alias("value"))
     fields = rows.schema["value"].dataType.names
     blank = reduce(Column.__and__, (F.col("value").getField(name).isNull() for name in fields))
     if metric is not None:
@@ -43,7 +45,7 @@ def _decoded(
         rows = rows.where(~blank)
     if not expand:
         return rows
-    return rows.select(*([] if key_as is None else [key_as]), "value.*")
+    return rows.select(*beside, "value.*")
 
 
 def decode_json(
@@ -54,11 +56,13 @@ def decode_json(
     expand: bool = True,
     drop_malformed: bool = False,
     metric: str | None = None,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
     """Parse the JSON in ``value``: one column per field, or one struct if not ``expand``.
 
     Text that is not JSON gives nulls, and a field of the wrong type is null by itself. ``only``
-    narrows the parse to the fields the caller uses. ``key_as`` keeps the key, as text.
+    narrows the parse to the fields the caller uses. ``key_as`` keeps the key, as text, ``keep``
+    names further columns of the records to keep.
     ``drop_malformed`` drops the rows in which every wanted field is null.
 
     ``metric`` names an observation (in a stream: ``lastProgress.observedMetrics``) of how many
@@ -67,7 +71,7 @@ def decode_json(
     every record is parsed once. Names must differ within one query.
     """
     value = F.from_json(F.col("value").cast("string"), ddl(fields, only))
-    return _decoded(records, value, key_as, expand, drop_malformed, metric)
+    return _decoded(records, value, key_as, expand, drop_malformed, metric, keep)
 
 
 def decode_avro(
@@ -80,7 +84,8 @@ def decode_avro(
 ) -> DataFrame:
     """Like ``decode_json`` for Avro bytes written with the record document ``schema``."""
     try:
-        value = from_avro(F.col("value"), schema)
+        # Else bytes that do not fit the schema end the query before they can be dropped.
+        value = from_avro(F.col("value"), schema, {"mode": "PERMISSIVE"})
         return _decoded(records, value, key_as, expand, drop_malformed, metric)
     except AnalysisException as error:
         raise _avro_missing(error) from error
@@ -98,11 +103,16 @@ def encode_json(df: DataFrame, key: str, fields: str | Iterable[str] = "*") -> D
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(_row(fields)).alias("value"))
 
 
-def encode_avro(df: DataFrame, key: str, fields: str | Iterable[str] = "*") -> DataFrame:
-    """Like ``encode_json`` with an Avro ``value`` whose schema follows from the row."""
+def encode_avro(
+    df: DataFrame, key: str, fields: str | Iterable[str] = "*", schema: str = ""
+) -> DataFrame:
+    """Like ``encode_json`` with an Avro ``value``.
+
+    Pass the record document the reader uses as ``schema``: the one that follows from the row has
+    no null branch for columns that cannot be null.
+    """
     try:
-        return df.select(
-            F.col(key).cast("string").alias("key"), to_avro(_row(fields)).alias("value")
-        )
+        value = to_avro(_row(fields), schema).alias("value")
+        return df.select(F.col(key).cast("string").alias("key"), value)
     except AnalysisException as error:
         raise _avro_missing(error) from error

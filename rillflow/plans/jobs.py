@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rillflow.functions.codecs import decode_avro, decode_json, encode_avro, encode_json
@@ -37,6 +38,7 @@ SENSOR_TOPIC = "sensor"
 NOTIFICATION_TOPIC = "notification"
 PUBLISHED_TOPIC = "notification_avro"
 REWARDS_TOPIC = "AggregatedRewards"
+PUBLISHED_RECORD = "PublishedItem"
 MINUTE = "1 minute"
 SECOND = "1 second"
 
@@ -48,8 +50,8 @@ def kafka_sink(servers: str, topic: str, mode: str = "append") -> Sink:
     return partial(to_kafka, servers=servers, topic=topic, mode=mode)
 
 
-def console_sink(mode: str) -> Sink:
-    return partial(to_console, mode=mode)
+def console_sink(mode: str, rows: int = 20) -> Sink:
+    return partial(to_console, mode=mode, rows=rows)
 
 
 # Decoded and transformed frames, before any sink: the same on tables and on streams. ``metric``
@@ -60,7 +62,12 @@ def flat_items(records: DataFrame, metric: str = "flattened_records") -> DataFra
     return flatten_invoices(decode_json(records, INVOICE, FLATTEN_NEEDS, metric=metric))
 
 
-def notifications(records: DataFrame, metric: str = "notified_records") -> DataFrame:
+def notifications(
+    records: DataFrame, metric: str = "notified_records", first_page: str | None = None
+) -> DataFrame:
+    """Notifications of all records, or of those that the boolean column ``first_page`` marks."""
+    if first_page is not None:
+        records = records.where(F.col(first_page))
     return loyalty_notifications(decode_json(records, INVOICE, LOYALTY_NEEDS, metric=metric))
 
 
@@ -68,8 +75,10 @@ def item_records(
     records: DataFrame, codec: str = "avro", metric: str = "published_records"
 ) -> DataFrame:
     items = published_items(decode_json(records, INVOICE, PUBLISH_NEEDS, metric=metric))
-    encode = {"avro": encode_avro, "json": encode_json}[codec]
-    return encode(items, "InvoiceNumber")
+    if codec == "avro":
+        schema = avro_schema(PUBLISHED_ITEM, PUBLISHED_RECORD)
+        return encode_avro(items, "InvoiceNumber", list(PUBLISHED_ITEM), schema)
+    return encode_json(items, "InvoiceNumber")
 
 
 def card_rewards(
@@ -81,7 +90,7 @@ def card_rewards(
 ) -> DataFrame:
     if codec == "avro":
         # Avro has no field to skip to: the whole record is read whatever is wanted of it.
-        items = decode_avro(records, avro_schema(PUBLISHED_ITEM, "PublishedItem"), metric=metric)
+        items = decode_avro(records, avro_schema(PUBLISHED_ITEM, PUBLISHED_RECORD), metric=metric)
     else:
         wanted = ["CustomerType", "CustomerCardNo", "TotalValue"]
         items = decode_json(records, PUBLISHED_ITEM, wanted, metric=metric)
@@ -206,18 +215,26 @@ def split_invoices(
     single_read: bool = False,
     trigger: str | None = SECOND,
     compression: str | None = None,
+    first_page: str | None = None,
 ) -> list[StreamingQuery]:
     """Invoice records to line items and notifications, each into its own JSON directory.
 
     Two queries, each parsing the fields it needs; with ``single_read`` one query that parses the
-    fields of both once.
+    fields of both once. Where a large invoice comes in several records, ``first_page`` names the
+    boolean column beside the records that marks the one to notify of.
     """
     if not single_read:
-        branches = {"invoice": flat_items, "notification": notifications}
+        notified = partial(notifications, first_page=first_page)
+        branches = {"invoice": flat_items, "notification": notified}
         return list(fan_out(records, branches, path, checkpoint, trigger, compression).values())
     needs = [*FLATTEN_NEEDS, *LOYALTY_NEEDS]
-    invoices = decode_json(records, INVOICE, needs, metric="split_records")
-    branches = {"invoice": flatten_invoices, "notification": loyalty_notifications}
+    keep = [] if first_page is None else [first_page]
+    invoices = decode_json(records, INVOICE, needs, metric="split_records", keep=keep)
+
+    def notified(batch: DataFrame) -> DataFrame:
+        return loyalty_notifications(batch if first_page is None else batch.where(first_page))
+
+    branches = {"invoice": flatten_invoices, "notification": notified}
     folders = {"path": path, "checkpoint": checkpoint, "compression": compression}
     return [
         fan_out_single_read(invoices, branches, name="split invoices", trigger=trigger, **folders)

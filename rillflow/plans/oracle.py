@@ -8,6 +8,16 @@ from (select unnest(string_split(text, ' ')) as word from documents)
 group by word
 """
 
+# Lines first, then the parts between single spaces.
+WORD_COUNT_LINES = """
+select word as value, count(*) as count
+from (
+  select unnest(string_split(line, ' ')) as word
+  from (select unnest(string_split(text, chr(10))) as line from documents)
+)
+group by word
+"""
+
 JSON_DECODE = """
 select event_id, cast(props->>'$.k' as integer) as k from events
 """
@@ -147,7 +157,7 @@ REWARDS_ENCODED = f"select CustomerCardNo as key, * from ({PRIME_REWARDS})"
 FAN_OUT_COUNTS = """
 select 'invoice' as sink, count(*) as row_count from lineitem join orders on l_orderkey = o_orderkey
 union all
-select 'notification' as sink, count(distinct o_orderkey) as row_count from orders
+select 'notification' as sink, count(*) as row_count from orders
 """
 
 ORACLES: dict[str, str] = {
@@ -167,6 +177,7 @@ ORACLES: dict[str, str] = {
     "trade_totals_update": TRADE_TOTALS,
     "trade_totals_append": TRADE_TOTALS_APPEND,
     "word_count_complete": WORD_COUNT,
+    "word_count_lines": WORD_COUNT_LINES,
     "file_flatten": INVOICE_FLATTEN,
     "file_flatten_inferred": INVOICE_FLATTEN,
     "record_flatten": INVOICE_FLATTEN,
@@ -174,5 +185,9 @@ ORACLES: dict[str, str] = {
     "publish_and_reward": PRIME_REWARDS,
     "fan_out_counts": FAN_OUT_COUNTS,
     "fan_out_single_read": FAN_OUT_COUNTS,
+    "fan_out_items": INVOICE_FLATTEN,
+    "fan_out_notifications": LOYALTY_NOTIFICATIONS,
+    "fan_out_single_read_items": INVOICE_FLATTEN,
+    "fan_out_single_read_notifications": LOYALTY_NOTIFICATIONS,
     "sensor_late_data": SENSOR_LATE_DATA,
 }

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rillflow.functions.codecs import decode_json, encode_json
 from rillflow.operators.aggregates import word_count
@@ -25,7 +26,7 @@ from rillflow.schemas import (
     ddl,
 )
 from rillflow.session import scratch_dir
-from rillflow.sources.files import replay_records
+from rillflow.sources.files import replay_records, text_lines
 from rillflow.streaming.runner import finish
 from rillflow.streaming.sinks import (
     AVAILABLE_NOW,
@@ -39,7 +40,9 @@ from rillflow.streaming.sinks import (
 SEGMENT = "BUILDING"
 # Cents are exact in this type, so the sums do not depend on the order of the tasks.
 EXACT = "decimal(18,4)"
-LATE_SLOTS = 4
+# Arrivals of a staged stream, and the files that one of its batches holds at most.
+SLOTS = 4
+BATCH_FILES = 1000
 # JSON text in the shared scratch folder shrinks about fivefold, at little cost in time.
 SCRATCH_CODEC = "lz4"
 
@@ -133,69 +136,127 @@ def q_rewards_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_json(records, REWARD, key_as="key")
 
 
-# Jobs as streams.
+# Jobs as streams. What they read is staged in slots that arrive one after the other; the job is
+# run to the end of what is there and started anew from its checkpoint when the next has arrived.
 
 
-def _sensor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _utc(spark)
-    return tables.sensor_records(tables.table_stream(spark, sf_dir, "events"))
+def _by_hash(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Slots for jobs in which the order of arrival does not matter."""
+    return records.withColumn("slot", F.pmod(F.xxhash64("value"), F.lit(slots)))
+
+
+def _by_time(events: DataFrame, late: Column | None = None, slots: int = SLOTS) -> DataFrame:
+    """Slots of equal parts of the time span; ``late`` says how many slots later a row arrives."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(micros)).scalar(), events.agg(F.max(micros)).scalar()
+    width = F.greatest(F.lit(1), F.call_function("div", last - first, F.lit(slots)))
+    own = F.least(F.call_function("div", micros - first, width), F.lit(slots - 1))
+    late = F.lit(0) if late is None else late
+    return events.withColumn("slot", F.coalesce(F.least(own + late, F.lit(slots - 1)), F.lit(0)))
+
+
+def _arrive(
+    records: DataFrame,
+    work: str,
+    start: Callable[[DataFrame], StreamingQuery | list[StreamingQuery]],
+    also: dict[str, str] | None = None,
+    slots: int = SLOTS,
+) -> None:
+    """Stage ``records`` by their ``slot`` and run the job that ``start`` starts on a stream of them.
+
+    Written once: each run reads a wider choice of the staged folders and finds in its checkpoint
+    what it has read. A batch holds a bounded number of files.
+    """
+    spark, staged = records.sparkSession, f"{work}/staged"
+    records.write.partitionBy("slot").parquet(staged)
+    for slot in range(slots):
+        arrived = f"{staged}/slot=[0-{slot}]"
+        finish(start(replay_records(spark, arrived, BATCH_FILES, also)))
 
 
-def _run_to_log(spark: SparkSession, name: str, start: Callable, keys: list[str]) -> DataFrame:
+def _run_to_log(records: DataFrame, name: str, start: Callable, keys: list[str]) -> DataFrame:
     """Run an update-mode job into an update log and give the newest row per key."""
+    spark = records.sparkSession
     work = scratch_dir(spark, name)
     sink = partial(to_update_log, path=f"{work}/log")
-    finish(start(checkpoint=f"{work}/checkpoint", sink=sink, name=None, trigger=AVAILABLE_NOW))
+    common = {"sink": sink, "name": None, "trigger": AVAILABLE_NOW}
+    _arrive(records, work, partial(start, checkpoint=f"{work}/checkpoint", **common))
     return latest(spark.read.parquet(f"{work}/log"), keys)
 
 
+def _run_to_append(records: DataFrame, name: str, start: Callable) -> DataFrame:
+    """Run an append-mode job: closed windows come out once."""
+    spark = records.sparkSession
+    work = scratch_dir(spark, name)
+    sink = partial(to_update_log, path=f"{work}/log", mode="append")
+    common = {"sink": sink, "name": None, "trigger": AVAILABLE_NOW}
+    _arrive(records, work, partial(start, checkpoint=f"{work}/checkpoint", **common))
+    return spark.read.parquet(f"{work}/log").drop("batch_id")
+
+
+def _sensor_arrivals(spark: SparkSession, sf_dir: str, late: Column | None = None) -> DataFrame:
+    _utc(spark)
+    events = _by_time(tables.table(spark, sf_dir, "events"), late)
+    return tables.sensor_records(events, keep=("slot",))
+
+
 def q_sensor_max_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = partial(jobs.track_sensors, _sensor_stream(spark, sf_dir))
-    return _run_to_log(spark, "sensor_max_update", start, ["SensorID", "start", "end"])
+    records = _sensor_arrivals(spark, sf_dir)
+    keys = ["SensorID", "start", "end"]
+    return _run_to_log(records, "sensor_max_update", jobs.track_sensors, keys)
 
 
 def q_sensor_max_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only closed windows come out, once each."""
-    work = scratch_dir(spark, "sensor_max_append")
-    sink = partial(to_update_log, path=f"{work}/log", mode="append")
-    stream = _sensor_stream(spark, sf_dir)
-    finish(jobs.track_sensors(stream, f"{work}/checkpoint", sink, name=None, trigger=AVAILABLE_NOW))
-    return spark.read.parquet(f"{work}/log").drop("batch_id")
+    records = _sensor_arrivals(spark, sf_dir)
+    return _run_to_append(records, "sensor_max_append", jobs.track_sensors)
 
 
 def q_trade_totals_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
-    records = tables.trade_records(tables.table_stream(spark, sf_dir, "events"))
-    start = partial(jobs.total_trades, records)
-    return _run_to_log(spark, "trade_totals_update", start, ["start", "end"])
+    records = _by_hash(tables.trade_records(tables.table(spark, sf_dir, "events")))
+    return _run_to_log(records, "trade_totals_update", jobs.total_trades, ["start", "end"])
 
 
 def q_trade_totals_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a bound on lateness, closed windows come out once and leave the state."""
     _utc(spark)
-    work = scratch_dir(spark, "trade_totals_append")
-    records = tables.trade_records(tables.table_stream(spark, sf_dir, "events"))
-    sink = partial(to_update_log, path=f"{work}/log", mode="append")
-    query = jobs.total_trades(
-        records, f"{work}/checkpoint", sink, delay="1 hour", name=None, trigger=AVAILABLE_NOW
-    )
-    finish(query)
-    return spark.read.parquet(f"{work}/log").drop("batch_id")
+    events = _by_time(tables.table(spark, sf_dir, "events"))
+    records = tables.trade_records(events, keep=("slot",))
+    start = partial(jobs.total_trades, delay="1 hour")
+    return _run_to_append(records, "trade_totals_append", start)
 
 
 def q_word_count_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = tables.table_stream(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    texts = tables.table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
     work = scratch_dir(spark, "word_count_complete")
     sink = partial(to_snapshots, path=f"{work}/words")
-    finish(jobs.count_words(lines, f"{work}/checkpoint", sink, None, AVAILABLE_NOW))
+
+    def start(lines: DataFrame) -> StreamingQuery:
+        values = lines.select(F.col("value").cast("string").alias("value"))
+        return jobs.count_words(values, f"{work}/checkpoint", sink, None, AVAILABLE_NOW)
+
+    _arrive(_by_hash(texts), work, start)
+    return read_snapshot(spark, f"{work}/words")
+
+
+def q_word_count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job on a directory of text files that fills slot by slot."""
+    texts = tables.table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    work = scratch_dir(spark, "word_count_lines")
+    sink = partial(to_snapshots, path=f"{work}/words")
+    staged = _by_hash(texts.where("value is not null"))
+    staged.write.partitionBy("slot").text(f"{work}/in", lineSep="\n")
+    for slot in range(SLOTS):
+        lines = text_lines(spark, f"{work}/in/slot=[0-{slot}]", BATCH_FILES, lineSep="\n")
+        finish(jobs.count_words(lines, f"{work}/checkpoint", sink, None, AVAILABLE_NOW))
     return read_snapshot(spark, f"{work}/words")
 
 
-def _written_records(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
-    """The nested invoices as a replayed topic; kept as files, since nesting needs a whole table."""
+def _invoice_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested invoices as a topic; kept as files, since nesting needs a whole table."""
     _utc(spark)
-    tables.invoice_records(spark, sf_dir).write.parquet(f"{work}/records")
-    return replay_records(spark, f"{work}/records")
+    return _by_hash(tables.invoice_records(spark, sf_dir))
 
 
 def _flatten_files(
@@ -203,19 +264,26 @@ def _flatten_files(
 ) -> DataFrame:
     _utc(spark)
     work = scratch_dir(spark, name)
-    tables.invoices(spark, sf_dir).write.json(f"{work}/in", compression=SCRATCH_CODEC)
-    query = jobs.flatten_files(
-        spark,
-        f"{work}/in",
-        f"{work}/out",
-        f"{work}/checkpoint",
-        archive_dir=f"{work}/archive",
-        fields=fields,
-        name=None,
-        trigger=AVAILABLE_NOW,
-        compression=SCRATCH_CODEC,
-    )
-    finish(query)
+    nested = tables.invoices(spark, sf_dir).drop(tables.FIRST_PAGE)
+    nested = nested.withColumn("slot", F.pmod(F.xxhash64("InvoiceNumber"), F.lit(SLOTS)))
+    nested.write.partitionBy("slot").json(f"{work}/in", compression=SCRATCH_CODEC)
+    for slot in range(SLOTS):
+        query = jobs.flatten_files(
+            spark,
+            f"{work}/in/slot=[0-{slot}]",
+            f"{work}/out",
+            f"{work}/checkpoint",
+            archive_dir=f"{work}/archive",
+            fields=fields,
+            max_files=BATCH_FILES,
+            name=None,
+            trigger=AVAILABLE_NOW,
+            compression=SCRATCH_CODEC,
+        )
+        finish(query)
+    archived = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if archived.load(f"{work}/archive").select("path").isEmpty():
+        raise RuntimeError("files that were read have not been archived")
     return spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out")
 
 
@@ -231,99 +299,117 @@ def q_file_flatten_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_record_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "record_flatten")
-    records = _written_records(spark, sf_dir, work)
     paths = f"{work}/out", f"{work}/checkpoint"
-    finish(jobs.flatten_records(records, *paths, None, AVAILABLE_NOW, SCRATCH_CODEC))
+
+    def start(records: DataFrame) -> StreamingQuery:
+        return jobs.flatten_records(records, *paths, None, AVAILABLE_NOW, SCRATCH_CODEC)
+
+    _arrive(_invoice_arrivals(spark, sf_dir), work, start)
     return spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out")
 
 
 def q_loyalty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "loyalty_stream")
-    records = tables.order_records(tables.table_stream(spark, sf_dir, "orders"))
     sink = partial(to_record_files, path=f"{work}/out")
-    finish(jobs.notify(records, f"{work}/checkpoint", sink, None, AVAILABLE_NOW))
+
+    def start(records: DataFrame) -> StreamingQuery:
+        return jobs.notify(records, f"{work}/checkpoint", sink, None, AVAILABLE_NOW)
+
+    _arrive(_by_hash(tables.order_records(tables.table(spark, sf_dir, "orders"))), work, start)
     return _decode_notifications(spark.read.parquet(f"{work}/out"))
 
 
 def q_publish_and_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two jobs joined by a topic: invoices to published items, those to rewards per card."""
     work = scratch_dir(spark, "publish_and_reward")
-    records = _written_records(spark, sf_dir, work)
-    publish = partial(to_record_files, path=f"{work}/items")
-    finish(
-        jobs.publish_items(
-            records, f"{work}/publish", publish, "json", name=None, trigger=AVAILABLE_NOW
-        )
-    )
-    start = partial(
-        jobs.reward_cards,
-        replay_records(spark, f"{work}/items"),
-        codec="json",
-        segment=SEGMENT,
-        total_type=EXACT,
-    )
-    return decode_json(_run_to_log(spark, "rewards", start, ["key"]), REWARD)
+    items = partial(to_record_files, path=f"{work}/items")
+    log = partial(to_update_log, path=f"{work}/log")
+    common = {"codec": "json", "name": None, "trigger": AVAILABLE_NOW}
+    rewarded = {"segment": SEGMENT, "total_type": EXACT, **common}
 
+    def start(records: DataFrame) -> list[StreamingQuery]:
+        finish(jobs.publish_items(records, f"{work}/publish", items, **common))
+        published = replay_records(spark, f"{work}/items", BATCH_FILES)
+        return [jobs.reward_cards(published, f"{work}/reward", log, **rewarded)]
 
-def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> DataFrame:
-    """How much reached each of the two sinks: line items and notified invoices."""
+    _arrive(_invoice_arrivals(spark, sf_dir), work, start)
+    return decode_json(latest(spark.read.parquet(f"{work}/log"), ["key"]), REWARD)
+
+
+def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> str:
+    """Run the fan-out and give the folder that its two sinks are in."""
     work = scratch_dir(spark, name)
-    records = _written_records(spark, sf_dir, work)
-    finish(
-        jobs.split_invoices(
-            records, f"{work}/out", f"{work}/checkpoint", single_read, AVAILABLE_NOW, SCRATCH_CODEC
+
+    def start(records: DataFrame) -> list[StreamingQuery]:
+        return jobs.split_invoices(
+            records,
+            f"{work}/out",
+            f"{work}/checkpoint",
+            single_read,
+            AVAILABLE_NOW,
+            SCRATCH_CODEC,
+            tables.FIRST_PAGE,
         )
-    )
-    items = spark.read.schema(ddl(FLAT_ITEM)).json(f"{work}/out/invoice")
-    notes = spark.read.schema("key string, value string").json(f"{work}/out/notification")
-
-    # A large order is several records under one number: count numbers, not records.
-    note_count = notes.agg(F.countDistinct("key").alias("row_count"))
-    item_count = items.agg(F.count("*").alias("row_count"))
-    return item_count.select(F.lit("invoice").alias("sink"), "row_count").union(
-        note_count.select(F.lit("notification").alias("sink"), "row_count")
-    )
+
+    also = {tables.FIRST_PAGE: "boolean"}
+    _arrive(_invoice_arrivals(spark, sf_dir), work, start, also)
+    return f"{work}/out"
+
+
+def _split_items(spark: SparkSession, out: str) -> DataFrame:
+    # One reader of both writes a folder per batch, whose number is no field of an item.
+    return spark.read.schema(ddl(FLAT_ITEM)).json(f"{out}/invoice").select(*FLAT_ITEM)
+
+
+def _split_notes(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("key string, value string").json(f"{out}/notification")
+
+
+def _split_counts(spark: SparkSession, out: str) -> DataFrame:
+    """How much reached each of the two sinks: line items and notified invoices."""
+    sinks = {"invoice": _split_items(spark, out), "notification": _split_notes(spark, out)}
+    counts = [
+        rows.agg(F.count("*").alias("row_count")).select(F.lit(sink).alias("sink"), "row_count")
+        for sink, rows in sinks.items()
+    ]
+    return counts[0].union(counts[1])
 
 
 def q_fan_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir, "fan_out", single_read=False)
+    return _split_counts(spark, _split(spark, sf_dir, "fan_out", False))
 
 
 def q_fan_out_single_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir, "fan_out_single_read", single_read=True)
+    return _split_counts(spark, _split(spark, sf_dir, "fan_out_single_read", True))
+
+
+def q_fan_out_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_items(spark, _split(spark, sf_dir, "fan_out", False))
+
+
+def q_fan_out_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decode_notifications(_split_notes(spark, _split(spark, sf_dir, "fan_out", False)))
+
+
+def q_fan_out_single_read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_items(spark, _split(spark, sf_dir, "fan_out_single_read", True))
+
+
+def q_fan_out_single_read_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _split(spark, sf_dir, "fan_out_single_read", True)
+    return _decode_notifications(_split_notes(spark, out))
 
 
 def q_sensor_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives, some a quarter of the whole time span late; the stream is restarted.
 
-    The time span is cut into slots, and events with a high ``k`` arrive with the slot after their
-    own. The slots land one after the other, and after each the job runs to the end of what is
-    there, from the same checkpoint. By then windows are closed up to 30 minutes before the latest
-    event seen.
+    Events with a high ``k`` arrive with the slot after their own. By then windows are closed up to
+    30 minutes before the latest event seen.
     """
-    _utc(spark)
-    events = tables.table(spark, sf_dir, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    first, last = events.agg(F.min(micros), F.max(micros)).first()
-    end = LATE_SLOTS - 1
-    width = F.lit(max(1, (last - first) // LATE_SLOTS))
-    own = F.least(F.call_function("div", micros - first, width), F.lit(end))
     late = (F.get_json_object("props", "$.k").cast("int") >= 90).cast("int")
-    arrivals = events.withColumn("slot", F.least(own + late, F.lit(end)))
-
-    work = scratch_dir(spark, "sensor_late_data")
-    staged = f"{work}/staged"
-    tables.sensor_records(arrivals, keep=("slot",)).write.partitionBy("slot").parquet(staged)
-    sink = partial(to_update_log, path=f"{work}/log")
-    for slot in range(LATE_SLOTS):
-        landing = spark.read.parquet(staged).where(F.col("slot") == slot).drop("slot")
-        landing.write.mode("append").parquet(f"{work}/landing")
-        records = replay_records(spark, f"{work}/landing")
-        query = jobs.track_sensors(
-            records, f"{work}/checkpoint", sink, name=None, trigger=AVAILABLE_NOW
-        )
-        finish(query)
-    return latest(spark.read.parquet(f"{work}/log"), ["SensorID", "start", "end"])
+    records = _sensor_arrivals(spark, sf_dir, late)
+    keys = ["SensorID", "start", "end"]
+    return _run_to_log(records, "sensor_late_data", jobs.track_sensors, keys)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -343,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trade_totals_update": q_trade_totals_update,
     "trade_totals_append": q_trade_totals_append,
     "word_count_complete": q_word_count_complete,
+    "word_count_lines": q_word_count_lines,
     "file_flatten": q_file_flatten,
     "file_flatten_inferred": q_file_flatten_inferred,
     "record_flatten": q_record_flatten,
@@ -350,5 +437,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "publish_and_reward": q_publish_and_reward,
     "fan_out_counts": q_fan_out_counts,
     "fan_out_single_read": q_fan_out_single_read,
+    "fan_out_items": q_fan_out_items,
+    "fan_out_notifications": q_fan_out_notifications,
+    "fan_out_single_read_items": q_fan_out_single_read_items,
+    "fan_out_single_read_notifications": q_fan_out_single_read_notifications,
     "sensor_late_data": q_sensor_late_data,
 }

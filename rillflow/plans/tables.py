@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 
 from rillflow.schemas import INVOICE, ITEM, TIME_FORMAT
 
-# Line items one invoice record may hold, and the most orders that may need several records.
+# Line items one invoice record holds at about this most: a record is one JSON text in memory.
 PAGE_ITEMS = 10_000
-MAX_LARGE_ORDERS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream. The glob lets ``<name>.parquet`` be one file or a directory."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
-
-
 def _record(key: Column, *fields: Column) -> list[Column]:
     return [
         key.cast("string").cast("binary").alias("key"),
@@ -38,7 +31,7 @@ def sensor_records(
     return events.select(*keep, *_record(F.col("event_type"), *fields))
 
 
-def trade_records(events: DataFrame) -> DataFrame:
+def trade_records(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Purchases as buys, errors as sells, the rest as trades of a type of their own."""
     kind = (
         F.when(F.col("event_type") == "purchase", "BUY")
@@ -46,6 +39,7 @@ def trade_records(events: DataFrame) -> DataFrame:
         .otherwise(F.col("event_type"))
     )
     return events.select(
+        *keep,
         *_record(
             F.col("event_id"),
             F.date_format("ts", TIME_FORMAT).alias("CreatedTime"),
@@ -119,33 +113,27 @@ def _with_part(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def large_orders(lineitem: DataFrame, page_items: int) -> DataFrame:
-    """``l_orderkey, pages`` of the orders whose line items do not fit one record.
-
-    Only orders with more than 1 / MAX_LARGE_ORDERS of all rows count as large, so there are fewer
-    than MAX_LARGE_ORDERS of them whatever the data: two longs each, small enough to broadcast.
-    """
-    rows = lineitem.count()
-    limit = max(page_items, -(-rows // MAX_LARGE_ORDERS))
+    """``l_orderkey, pages`` of the orders whose line items do not fit one record."""
     sizes = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("items"))
-    pages = F.ceil(F.col("items") / limit).alias("pages")
-    return sizes.where(F.col("items") > limit).select("l_orderkey", pages)
+    pages = F.ceil(F.col("items") / page_items).alias("pages")
+    return sizes.where(F.col("items") > page_items).select("l_orderkey", pages)
 
 
 def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """Nested invoices: each order with its customer and its line items.
+    """Nested invoices, and ``first_page``: each order with its customer and its line items.
 
     An order too large for one record is spread over several with the same header, so that no task
-    ever holds all items of one order: both sides are grouped and joined by order and page, and the
-    items are shuffled for that only once. They are shuffled before the grouping because collecting
-    a list shrinks nothing, so a first pass of it on the scanning side would be wasted. An order
-    without items keeps its invoice.
+    ever holds all items of one order: both sides are grouped and joined by order and page.
+    ``first_page`` marks one record of each order; whatever must happen once per order goes by it.
+    An order without items keeps its invoice. Which orders are large depends on their own items
+    only, so results are the same at any size; the list is joined like any table.
     """
     lineitem = table(spark, sf_dir, "lineitem")
-    large = F.broadcast(large_orders(lineitem, page_items))
+    large = large_orders(lineitem, page_items)
     pages = F.coalesce(F.col("pages"), F.lit(1))
     # Numbered at the scan: that spreads copies of one row too, and a repeated task gives the same
-    # numbers again.
-    numbered = lineitem.withColumn("row_no", F.monotonically_increasing_id())
+    # numbers again. Hashed, since the rows of one order may lie a regular step apart.
+    numbered = lineitem.withColumn("row_no", F.xxhash64(F.monotonically_increasing_id()))
     items = (
         _with_part(numbered, table(spark, sf_dir, "part"))
         .join(large, "l_orderkey", "left")
@@ -161,13 +149,18 @@ def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) ->
         .withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), pages - 1)))
     )
     same = (F.col("o_orderkey") == F.col("l_orderkey")) & (headers.page == items.page)
-    return headers.join(items, same, "left").select(*INVOICE)
+    first = (headers.page == 0).alias(FIRST_PAGE)
+    return headers.join(items, same, "left").select(*INVOICE, first)
+
+
+FIRST_PAGE = "first_page"
 
 
 def invoice_records(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """Nested invoices as keyed JSON records."""
+    """Nested invoices as keyed JSON records, with ``first_page`` beside them."""
     nested = invoices(spark, sf_dir, page_items)
-    return nested.select(*_record(F.col("InvoiceNumber"), *(F.col(name) for name in INVOICE)))
+    record = _record(F.col("InvoiceNumber"), *(F.col(name) for name in INVOICE))
+    return nested.select(*record, FIRST_PAGE)
 
 
 def order_records(orders: DataFrame) -> DataFrame:

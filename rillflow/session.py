@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -46,12 +45,24 @@ def build_session(app: str, conf: dict[str, str] | None = None) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for tables and stream checkpoints that every executor must reach.
 
-    Lies in the folder named by ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a temporary folder: on a cluster, other machines could not read it.
+    Lies in the session's own folder, see ``scratch_root``.
+    """
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of all this session's scratch tables, which may go when it ends.
+
+    Below the folder named by ``spark.checkpoint.dir``, else below the warehouse, which the machines
+    of a cluster share as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        shared = tempfile.mkdtemp(prefix="rillflow-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/rillflow-{spark.conf.get('spark.app.id')}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this session's scratch folder: no query result that reads from it may be in use."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(root, True)

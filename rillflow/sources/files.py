@@ -57,10 +57,18 @@ def json_dir(
 
 
 def replay_records(
-    spark: SparkSession, path: str, max_files: int | None = None, **options: str
+    spark: SparkSession,
+    path: str,
+    max_files: int | None = None,
+    also: Mapping[str, str] | None = None,
+    **options: str,
 ) -> DataFrame:
-    """Keyed records kept as parquet files, as a stream: what a topic would deliver."""
-    return _file_stream(spark, max_files, options).schema(ddl(RECORD)).parquet(path)
+    """Keyed records kept as parquet files, as a stream: what a topic would deliver.
+
+    ``also`` names columns that the files hold beside the records.
+    """
+    fields = {**RECORD, **(also or {})}
+    return _file_stream(spark, max_files, options).schema(ddl(fields)).parquet(path)
 
 
 def stored_records(spark: SparkSession, path: str) -> DataFrame:

@@ -9,13 +9,20 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
-def finish(queries: StreamingQuery | Iterable[StreamingQuery], timeout: float = 3600) -> None:
-    """Wait until all queries have ended by themselves; stop them all if one fails or time is up."""
+def finish(
+    queries: StreamingQuery | Iterable[StreamingQuery], timeout: float | None = None
+) -> None:
+    """Wait until all queries have ended by themselves; stop them all if one fails or time is up.
+
+    Without ``timeout`` there is no limit.
+    """
     waiting = [queries] if isinstance(queries, StreamingQuery) else list(queries)
-    end = time.monotonic() + timeout
+    end = None if timeout is None else time.monotonic() + timeout
     try:
         for query in waiting:
-            if not query.awaitTermination(max(0.001, end - time.monotonic())):
+            if end is None:
+                query.awaitTermination()
+            elif not query.awaitTermination(max(0.001, end - time.monotonic())):
                 raise TimeoutError(f"query {query.name or query.id} still runs after {timeout} s")
     finally:
         for query in waiting:

@@ -103,19 +103,26 @@ def to_console(
     trigger: str | None = None,
     rows: int = 20,
 ) -> StreamingQuery:
-    """Print the first rows of each batch.
+    """Print the first rows of each batch, in order of their columns.
 
     Spark's own console sink brings every row of a batch to the driver before it prints the first
-    few, which a running total in complete mode outgrows; here only the printed rows travel.
+    few, which a running total in complete mode outgrows. Here every partition is read to its end,
+    as a stateful query must to commit its state, but hands on only its own first rows.
     """
 
     def show(batch: DataFrame, batch_id: int) -> None:
         print(f"Batch {batch_id}")
-        batch.show(rows, truncate=False)
+        order = [F.col(f"`{name}`").cast("string") if _unordered(kind) else F.col(f"`{name}`")
+                 for name, kind in batch.dtypes]
+        batch.orderBy(*order).limit(rows).show(rows, truncate=False)
 
     return _writer(df, mode, checkpoint, name, trigger).foreachBatch(show).start()
 
 
+def _unordered(kind: str) -> bool:
+    return "map<" in kind or "variant" in kind
+
+
 def to_update_log(
     df: DataFrame,
     path: str,
@@ -136,7 +143,8 @@ def latest(log: DataFrame, keys: Iterable[str]) -> DataFrame:
     """The newest row per key of an update log read with ``spark.read.parquet``."""
     keys = list(keys)
     rest = [name for name in log.columns if name not in keys and name != "batch_id"]
-    # Column by column: numbers and times stay in a hash aggregation, which structs cannot.
+    # Column by column: numbers and times stay in a hash aggregation; text, binary values and
+    # structs are aggregated by sorting, which a topic kept as files has to bear.
     return log.groupBy(*keys).agg(*(F.max_by(name, "batch_id").alias(name) for name in rest))
 
 
@@ -161,6 +169,11 @@ def to_snapshots(
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole result that ``to_snapshots`` has written."""
-    both = spark.read.parquet(path)
-    newest = both.agg(F.max("batch_id")).scalar()
-    return both.where(F.col("batch_id") == newest).drop("batch_id", "slot")
+    # The number of the newest batch first, from its own small column, then that folder alone.
+    both = spark.read.parquet(path).select("batch_id", "slot")
+    newest = both.groupBy("slot").agg(F.max("batch_id").alias("batch_id"))
+    newest = newest.orderBy(F.desc("batch_id")).first()
+    if newest is None:
+        return spark.read.parquet(path).drop("batch_id", "slot")
+    one = spark.read.parquet(f"{path}/slot={newest.slot}")
+    return one.where(F.col("batch_id") == newest.batch_id).drop("batch_id")

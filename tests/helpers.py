@@ -24,7 +24,7 @@ def reading(time, value, sensor="A"):
 
 def trade(time, kind, amount):
     fields = {"CreatedTime": f"2019-02-05 {time}", "Type": kind, "Amount": amount}
-    return None, json.dumps({**fields, "BrokerCode": "ABX"})
+    return None, json.dumps({**fields, "BrokerCode": "B7"})
 
 
 def land_records(spark, folder, number, pairs):

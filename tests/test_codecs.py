@@ -157,6 +157,28 @@ def _avro_ready(spark):
     return True
 
 
+def test_avro_is_handed_its_schema_and_mode(spark, monkeypatch):
+    from rillflow.functions import codecs
+
+    seen = {}
+
+    def written(value, schema=""):
+        seen["to"] = schema
+        return F.to_json(value)
+
+    def read(value, schema, options=None):
+        seen["from"] = schema, options
+        return F.from_json(value.cast("string"), ddl(PUBLISHED_ITEM))
+
+    monkeypatch.setattr(codecs, "to_avro", written)
+    monkeypatch.setattr(codecs, "from_avro", read)
+    schema = avro_schema(PUBLISHED_ITEM, "PublishedItem")
+    item_records(records(spark, MIXED), "avro").schema
+    assert seen["to"] == schema
+    decode_avro(records(spark, MIXED), schema, drop_malformed=True).schema
+    assert seen["from"] == (schema, {"mode": "PERMISSIVE"})
+
+
 def test_avro_round_trip_or_clear_error(spark):
     schema = avro_schema(PUBLISHED_ITEM, "PublishedItem")
     items = decode_json(

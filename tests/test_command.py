@@ -136,10 +136,11 @@ def _session(**settings):
 
 def test_scratch_folder_follows_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_dir(spark, "x").startswith(f"{shared}/x-")
+    app = spark.conf.get("spark.app.id")
+    assert scratch_dir(spark, "x").startswith(f"{shared}/rillflow-{app}/x-")
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
-    on_store = _session(spark_master="yarn", spark_checkpoint_dir="hdfs://name/tmp/")
-    assert scratch_dir(on_store, "x").startswith("hdfs://name/tmp/x-")
+    on_store = _session(spark_checkpoint_dir="hdfs://name/tmp/", spark_app_id="a1")
+    assert scratch_dir(on_store, "x").startswith("hdfs://name/tmp/rillflow-a1/x-")
 
 
 def test_built_session_keeps_what_is_set(spark):
@@ -157,7 +158,32 @@ def test_built_session_keeps_what_is_set(spark):
                 spark.conf.unset(key)
 
 
-def test_cluster_without_shared_folder_is_refused():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_dir(_session(spark_master="yarn"), "x")
-    assert "rillflow-" in scratch_dir(_session(spark_master="local[2]"), "x")
+def test_scratch_falls_back_to_the_warehouse():
+    names = {"spark.sql.warehouse.dir": "s3a://store/house", "spark.app.id": "a1"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: names.get(key)))
+    assert scratch_dir(session, "x").startswith("s3a://store/house/rillflow-a1/x-")
+
+
+def test_scratch_of_a_session_can_be_cleared(spark, tmp_path, monkeypatch):
+    from rillflow import session
+
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path / "scratch"))
+    path = scratch_dir(spark, "x")
+    spark.range(1).write.parquet(path)
+    session.clear_scratch(spark)
+    assert not (tmp_path / "scratch").exists()
+
+
+def test_waiting_has_no_limit_of_its_own():
+    import inspect
+
+    assert inspect.signature(finish).parameters["timeout"].default is None
+
+
+def test_flattened_files_with_declared_fields(spark, tmp_path, run):
+    land_json(str(tmp_path / "in"), 0, [invoice("1", [1.0, 2.0])])
+    run(
+        "flatten-files", "--input", tmp_path / "in", "--output", tmp_path / "out",
+        "--schema", "invoice", "--name", "declared",
+    )
+    assert spark.read.json(str(tmp_path / "out")).count() == 2

@@ -11,22 +11,18 @@ from rillflow.plans.jobs import sensor_windows, trade_windows
 from rillflow.schemas import FLAT_ITEM, INVOICE, PUBLISHED_ITEM, ddl
 
 TRADES = [
-    ("10:05:00", "BUY", 500),
-    ("10:12:00", "BUY", 300),
-    ("10:20:00", "BUY", 800),
-    ("10:40:00", "BUY", 900),
-    ("10:25:00", "SELL", 400),
-    ("10:48:00", "SELL", 600),
+    ("13:00:00", "BUY", 70),
+    ("13:29:59", "SELL", 25),
+    ("13:14:59", "SELL", 10),
+    ("13:31:00", "BUY", 5),
+    ("13:44:00", "BUY", 11),
+    ("13:01:30", "BUY", 30),
 ]
 READINGS = [
-    ("09:54:00", 36.2),
-    ("09:59:00", 36.5),
-    ("10:04:00", 36.8),
-    ("10:09:00", 36.2),
-    ("10:14:00", 36.5),
-    ("10:19:00", 36.3),
-    ("10:24:00", 37.7),
-    ("10:29:00", 37.2),
+    ("21:02:00", 4.5),
+    ("21:08:00", 7.25),
+    ("21:21:00", -1.0),
+    ("21:22:00", -3.5),
 ]
 
 
@@ -34,29 +30,25 @@ def test_trade_totals(spark):
     totals = trade_windows(records(spark, [trade(*row) for row in TRADES]))
     assert totals.dtypes[2:] == [("TotalBuy", "bigint"), ("TotalSell", "bigint")]
     assert clock(totals.collect(), "TotalBuy", "TotalSell") == [
-        ("10:00", "10:15", 800, 0),
-        ("10:15", "10:30", 800, 400),
-        ("10:30", "10:45", 900, 0),
-        ("10:45", "11:00", 0, 600),
+        ("13:00", "13:15", 100, 10),
+        ("13:15", "13:30", 0, 25),
+        ("13:30", "13:45", 16, 0),
     ]
 
 
 def test_sensor_max(spark):
-    maxima = sensor_windows(records(spark, [reading(*row, sensor="SET41") for row in READINGS]))
+    maxima = sensor_windows(records(spark, [reading(*row, sensor="roof") for row in READINGS]))
     assert maxima.columns == ["SensorID", "start", "end", "MaxReading"]
     rows = maxima.collect()
-    assert {row.SensorID for row in rows} == {"SET41"}
+    assert {row.SensorID for row in rows} == {"roof"}
     assert clock(rows, "MaxReading") == [
-        ("09:40", "09:55", 36.2),
-        ("09:45", "10:00", 36.5),
-        ("09:50", "10:05", 36.8),
-        ("09:55", "10:10", 36.8),
-        ("10:00", "10:15", 36.8),
-        ("10:05", "10:20", 36.5),
-        ("10:10", "10:25", 37.7),
-        ("10:15", "10:30", 37.7),
-        ("10:20", "10:35", 37.7),
-        ("10:25", "10:40", 37.2),
+        ("20:50", "21:05", 4.5),
+        ("20:55", "21:10", 7.25),
+        ("21:00", "21:15", 7.25),
+        ("21:05", "21:20", 7.25),
+        ("21:10", "21:25", -1.0),
+        ("21:15", "21:30", -1.0),
+        ("21:20", "21:35", -1.0),
     ]
 
 

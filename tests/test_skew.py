@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators.aggregates import prime_rewards
 from rillflow.plans import jobs, tables
-from rillflow.plans.queries import q_invoice_flatten
-from rillflow.schemas import INVOICE
+from rillflow.functions.codecs import decode_json
+from rillflow.plans.queries import (
+    q_fan_out_notifications,
+    q_fan_out_single_read_notifications,
+    q_invoice_flatten,
+    q_loyalty_notifications,
+)
+from rillflow.schemas import INVOICE, NOTIFICATION
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,12 +68,39 @@ def test_orders_without_items_keep_their_invoice(spark, skewed):
     assert empty == without.count() > 0
 
 
-def test_large_orders_are_few(spark, skewed):
+def test_large_orders_depend_on_their_own_items_only(spark, skewed):
     lineitem = tables.table(spark, skewed, "lineitem")
     found = tables.large_orders(lineitem, 100).collect()
     assert [row.l_orderkey for row in found] == [7]
 
 
+def _notes(records):
+    notes = jobs.notifications(records, metric="paged_notes", first_page=tables.FIRST_PAGE)
+    return decode_json(notes, NOTIFICATION, key_as="InvoiceNumber")
+
+
+@pytest.mark.parametrize("page_items", [3, 100])
+def test_paging_changes_no_notification(spark, skewed, page_items):
+    paged = _notes(tables.invoice_records(spark, skewed, page_items))
+    whole = q_loyalty_notifications(spark, skewed)
+    assert paged.exceptAll(whole).isEmpty() and whole.exceptAll(paged).isEmpty()
+
+
+def test_fan_out_of_paged_invoices_notifies_once(spark, skewed, monkeypatch):
+    few = partial(tables.invoice_records, page_items=3)
+    monkeypatch.setattr(tables, "invoice_records", few)
+    whole = q_loyalty_notifications(spark, skewed)
+    for query in (q_fan_out_notifications, q_fan_out_single_read_notifications):
+        paged = query(spark, skewed)
+        assert paged.exceptAll(whole).isEmpty() and whole.exceptAll(paged).isEmpty()
+
+
+def test_rows_a_regular_step_apart_spread_over_pages(spark):
+    rows = spark.range(0, 40_000, 4).withColumn("row_no", F.xxhash64("id"))
+    sizes = [r["count"] for r in rows.groupBy(F.pmod("row_no", F.lit(4))).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
 def test_hot_card_reaches_the_shuffle_as_one_row_per_task(spark):
     items = spark.range(0, 300_000, numPartitions=6).select(
         F.lit("PRIME").alias("CustomerType"),

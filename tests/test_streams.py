@@ -6,13 +6,14 @@ from functools import partial
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from helpers import clock, invoice, land_json, land_records, reading, records, replay, trade
 from rillflow.functions.codecs import decode_json
 from rillflow.operators.aggregates import word_count
 from rillflow.operators.invoices import flatten_invoices
 from rillflow.plans import jobs
-from rillflow.schemas import FLAT_ITEM, INVOICE, PUBLISHED_ITEM, ddl
+from rillflow.schemas import FLAT_ITEM, INVOICE, PUBLISHED_ITEM, RECORD, TIME_FORMAT, ddl
 from rillflow.sources.files import json_dir, replay_records, stored_records, text_lines
 from rillflow.streaming.fanout import fan_out
 from rillflow.streaming.runner import finish, wait_for_any
@@ -67,7 +68,73 @@ def test_console_prints_first_rows_only(spark, tmp_path, capsys):
     )
     finish(query, 120)
     printed = capsys.readouterr().out
-    assert "Batch 0" in printed and "only showing top 2 rows" in printed
+    assert "Batch 0" in printed and "|b " in printed and "|c " not in printed
+
+
+def _landed(spark, folder, number, rows):
+    """A file of rows under the next arrival."""
+    rows.coalesce(1).write.parquet(f"{folder}/landing-{number}")
+    for name in os.listdir(f"{folder}/landing-{number}"):
+        os.utime(f"{folder}/landing-{number}/{name}", (1_600_000_000 + 10 * number,) * 2)
+
+
+CONSOLE_JOBS = {
+    "words": (
+        lambda s, **k: jobs.count_words(s.select(F.col("value").cast("string").alias("value")), **k),
+        lambda r: word_count(r.select(F.col("value").cast("string").alias("value"))),
+        ["value"],
+    ),
+    "trades": (jobs.total_trades, jobs.trade_windows, ["start", "end"]),
+    "sensors": (jobs.track_sensors, jobs.sensor_windows, ["SensorID", "start", "end"]),
+}
+
+
+@pytest.mark.parametrize("kind", list(CONSOLE_JOBS))
+def test_default_sinks_commit_all_state(spark, tmp_path, capsys, kind):
+    """Three batches of many groups into the console, a restart, and the state that is left."""
+    start, table, keys = CONSOLE_JOBS[kind]
+    minutes = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 240), TIME_FORMAT)
+    value = {
+        "words": F.concat(F.lit("w"), F.col("id") % 1000),
+        "trades": F.to_json(F.struct(minutes.alias("CreatedTime"), F.lit("BUY").alias("Type"),
+                                     F.col("id").cast("int").alias("Amount"))),
+        "sensors": F.to_json(F.struct(minutes.alias("CreatedTime"),
+                                      F.col("id").cast("double").alias("Reading"))),
+    }[kind]
+    rows = spark.range(4000).select(
+        (F.col("id") % 7).cast("string").cast("binary").alias("key"),
+        value.cast("binary").alias("value"),
+        "id",
+    )
+    for name, field in RECORD.items():
+        if name not in ("key", "value"):
+            rows = rows.withColumn(name, F.lit(None).cast(field))
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "ckpt")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        common = {"checkpoint": checkpoint, "name": None, "trigger": AVAILABLE_NOW}
+        landed = [rows.where(f"id div 1000 = {n}").drop("id") for n in range(4)]
+        for n in range(3):
+            _landed(spark, folder, n, landed[n])
+        stream = lambda: replay_records(spark, f"{folder}/landing-*", 1)
+        finish(start(stream(), **common), 120)
+        printed = capsys.readouterr().out
+        assert all(f"Batch {n}" in printed for n in range(3))
+        _landed(spark, folder, 3, landed[3])
+        log = str(tmp_path / "log")
+        mode = "complete" if kind == "words" else "update"
+        sink = partial(to_update_log, path=log, mode=mode)
+        finish(start(stream(), sink=sink, **common), 120)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    whole = table(spark.read.parquet(f"{folder}/landing-*"))
+    got = latest(spark.read.parquet(log), keys)
+    whole = whole.join(got.select(*keys), keys, "left_semi")
+    assert got.count() > 200
+    columns = sorted(whole.columns)
+    left, right = got.select(*columns), whole.select(*columns)
+    assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
 @pytest.mark.parametrize("mode", ["complete", "update"])
