@@ -52,6 +52,7 @@ def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str
 ) -> DataFrame:
     """``function`` gives the columns of ``schema`` for each Arrow batch of ``df``."""
+    prepare(df.sparkSession)
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

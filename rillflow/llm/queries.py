@@ -128,7 +128,7 @@ OP1 = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x09-\x0D\x20]+'), x -> x <> '') as w
+    '[\x09-\x0D\x20]+'), lambda x: x <> '') as w
   from documents
   where text is not null
 ),

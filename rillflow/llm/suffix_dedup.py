@@ -336,12 +336,14 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     length = names.index("n_chars") if "n_chars" in names else None
     texts_of(docs)
     order = F.coalesce("doc_id", F.lit(2**62))
-    rows = staged(_numbered(docs.repartitionByRange(order).sortWithinPartitions(order)), "suffix-docs")
-    spans = repeats(rows.select("row_no", "text"), min_words, later=True)
+    ordered = docs.repartitionByRange(order).sortWithinPartitions(order)
+    rows = staged(ordered.withColumn("__no", F.monotonically_increasing_id()), "suffix-docs")
+    numbered = rows.select(F.col("__no").alias("row_no"), "text")
+    spans = repeats(numbered, min_words, later=True)
     spans = spans.groupBy(F.col("row_no").alias("__row")).agg(
         F.collect_list(F.struct("start", "end")).alias("__spans")
     )
-    joined = rows.join(spans, F.col("row_no") == F.col("__row"), "left").select(*names, "__spans")
+    joined = rows.join(spans, F.col("__no") == F.col("__row"), "left").select(*names, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,0 +1,551 @@
+"""The text operators against brute force, the libraries and plain regular expressions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from llm.cases import PASSAGE, no_docs, odd_docs, odd_rows
+from rillflow.llm import (
+    fingerprints,
+    language,
+    licenses,
+    packing,
+    pii,
+    queries,
+    sentencepieces,
+    simhash,
+    suffix_dedup,
+    token_rollup,
+)
+from rillflow.llm.common import components
+
+SF = "/root/testdata/sf0.01"
+WORDS = public_tokenizers.path(queries.WORD_BPE)
+PIECES = public_tokenizers.path(queries.PIECE_BPE)
+
+
+def corpus(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    return {r.doc_id: r.text for r in rows}
+
+
+def both(rows):
+    """(id, text) of rows by hand, in the order in which rows with one id are told apart."""
+    return [(r[0], r[1] or "") for r in rows]
+
+
+# Suffix arrays.
+
+
+def covered(texts, size, later=False):
+    places = defaultdict(list)
+    for key, text in texts:
+        words = text.encode().lower().split()
+        for s in range(len(words) - size + 1):
+            places[tuple(words[s : s + size])].append((key, s))
+    out = defaultdict(set)
+    for found in places.values():
+        if len(found) > 1:
+            for key, s in found:
+                if not later or (key, s) != min(found):
+                    out[key].update(range(s, s + size))
+    return out
+
+
+def spans(rows):
+    out = defaultdict(set)
+    for r in rows:
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30])
+def test_repeats_of_random_words(spark, size):
+    rng = random.Random(size)
+    texts = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(80)))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = suffix_dedup.repeated_passages(docs, size)
+    assert spans(found.collect()) == covered(texts, size)
+
+
+def test_repeats_of_odd_documents(spark):
+    found = suffix_dedup.repeated_passages(odd_docs(spark)).collect()
+    expected = covered([(r[0], r[1] or "") for r in odd_rows()], 50)
+    assert spans(found) == expected
+    assert {8, 9, 10} == set(expected)
+    assert suffix_dedup.repeated_passages(no_docs(spark)).count() == 0
+
+
+def test_repeats_meet_over_many_tasks(spark):
+    texts = [(i, f"{i} x{i} {PASSAGE} y{i}") for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        found = suffix_dedup.repeated_passages(docs).collect()
+        left = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.doc_id, r.start_word, r.n_words) for r in found} == {(i, 2, 60) for i in range(3000)}
+    assert left[0] == texts[0][1]
+    assert all(left[i] == f"{i} x{i} y{i}" for i in range(1, 3000))
+
+
+def test_later_repeats_are_cut_out(spark):
+    docs = odd_docs(spark)
+    left = suffix_dedup.drop_repeats(docs)
+    assert left.schema == docs.schema
+    rows = left.collect()
+    assert next(r for r in rows if r.doc_id == 8).text == f"before {PASSAGE} after"
+    nines = sorted(r.text for r in rows if r.doc_id == 9)
+    assert nines == ["other start here and another end"]
+    assert all(r.n_chars == len(r.text or "") and r.row_no == "x" for r in rows)
+    assert suffix_dedup.drop_repeats(no_docs(spark)).count() == 0
+
+
+# SimHash.
+
+
+def linked(values, radius=2):
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= radius:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4, None])
+def test_links_of_crowded_fingerprints(spark, parts):
+    rng = random.Random(1)
+    values = {rng.getrandbits(64) for _ in range(60)}
+    centre = rng.getrandbits(64)
+    for _ in range(300):
+        flipped = centre
+        for bit in rng.sample(range(64), rng.randrange(6)):
+            flipped ^= 1 << bit
+        values.add(flipped)
+    values = sorted(values)
+    rows = [(v - 2**64 if v >= 2**63 else v, n) for n, v in enumerate(values)]
+    points = spark.createDataFrame(rows, "fp long, node long")
+    found = components(simhash.links(points, parts=parts)).collect()
+    group = {r.node: r.component for r in found}
+    assert [group.get(n, n) for n in range(len(values))] == linked(values)
+
+
+def test_crowds_probe_everywhere():
+    exact = np.array([[10**9] * 3, [1] * 3])
+    costs = simhash._costs(exact, [22, 21, 21], 10**9, 2)
+    thresholds, cost = simhash.allocate(costs, 2)
+    assert (thresholds.sum(1) == 0).all() and cost[0] > len(simhash._masks(64, 2)) == 2081
+
+
+def test_allocation_is_the_cheapest():
+    rng = np.random.default_rng(0)
+    costs = rng.random((20, 3, 4))
+    costs[:, :, 0] = 0
+    thresholds, cost = simhash.allocate(costs, 2)
+    for row in range(20):
+        every = [
+            sum(costs[row, i, t[i] + 1] for i in range(3))
+            for t in np.ndindex(4, 4, 4)
+            for t in [[x - 1 for x in t]]
+            if sum(t) == 0
+        ]
+        assert abs(min(every) - cost[row]) < 1e-12 and thresholds[row].sum() == 0
+
+
+def test_near_duplicates_of_odd_documents(spark):
+    docs = odd_docs(spark)
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[2].component_id == 1 and by_id[3].component_id == by_id[4].component_id == 3
+    assert by_id[3].fingerprint == "0" * 16
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {1, 3, 9} <= set(ids) and not {2, 4, 5} & set(ids)
+    assert simhash.near_duplicates(no_docs(spark)).count() == 0
+    assert simhash.keep_one(no_docs(spark)).count() == 0
+
+
+def test_fingerprints_by_hand(spark):
+    import xxhash
+
+    for text in ["a b c d a b c", "one", "x y", "A  b\tC\x0bd"]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        parts = [words[i : i + 3] for i in range(len(words) - 2)] or [words]
+        hashes = [xxhash.xxh64_intdigest(" ".join(p), 42) for p in parts]
+        value = sum(
+            1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)
+        )
+        assert simhash.fingerprint(text).hex() == f"{value:016x}"
+
+
+# Packing.
+
+
+def test_packing_keeps_every_id(spark):
+    slow = Tokenizer.from_file(WORDS)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = corpus(spark)
+    rows = packing.pack(docs, WORDS).collect()
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset and r.offset + r.length <= 4096
+        ends[r.sequence_id] = r.offset + r.length
+    assert sorted(ends) == list(range(len(ends)))
+    assert sum(ends.values()) > 0.98 * 4096 * len(ends)
+    for r in rows:
+        ids = slow.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        piece = np.array(ids[r.start : r.start + r.length], "<u4")
+        assert len(ids) == r.doc_tokens and zlib.crc32(piece.tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_packing_of_odd_documents(spark):
+    slow = Tokenizer.from_file(WORDS)
+    rows = packing.pack(odd_docs(spark), WORDS).collect()
+    expected = Counter(
+        (r[0], len(slow.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in odd_rows()
+    )
+    assert Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0) == expected
+    assert packing.pack(no_docs(spark), WORDS).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_plans_use_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    have = np.zeros(65, np.int64)
+    have[1:] = rng.integers(0, 30, 64) * (rng.random(64) < 0.5)
+    patterns = packing.plan(have, 64)
+    used = np.zeros(65, np.int64)
+    for p in patterns:
+        assert sum(p.lengths) <= 64 and p.copies > 0
+        for n in p.lengths:
+            used[n] += p.copies
+    assert (used == have).all()
+
+
+# Fingerprints.
+
+
+def test_edits_are_compared(spark):
+    texts = corpus(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}
+    assert set(rows) == set(texts)
+    ids = sorted(texts)
+    gaps = []
+    for i, key in enumerate(ids):
+        own, following = texts[key], texts[ids[(i + 1) % len(ids)]]
+        q = len(own) // 4
+        new = own[: len(own) - q] + following[:q]
+        r = rows[key]
+        assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        a, b = (Counter(t.encode().lower().split()) for t in (own, new))
+        gaps.append(r.near_edited - (a & b).total() / (a | b).total())
+    assert abs(np.mean(gaps)) < 0.03 and np.std(gaps) < 0.09
+    same = defaultdict(set)
+    for key, r in rows.items():
+        same[texts[key]].add(r.fingerprint)
+    assert all(len(s) == 1 for s in same.values())
+
+
+def test_collision_rate_is_generalised_jaccard():
+    sampler = fingerprints.Sampler(4096)
+    a, b = "x " * 5 + "y y z", "x x y y y y w"
+    rate = fingerprints.likeness(sampler.signature(a), sampler.signature(b))
+    assert abs(rate - (2 + 2) / (5 + 4 + 1 + 1)) < 0.03
+
+
+def test_edits_of_odd_documents(spark):
+    rows = fingerprints.compare_edits(odd_docs(spark)).collect()
+    assert len(rows) == len(odd_rows())
+    order = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
+    texts = [r[1] or "" for r in order]
+    expected = []
+    for i, own in enumerate(texts):
+        new = fingerprints.edited(own, texts[(i + 1) % len(texts)])
+        expected.append((order[i][0], len(own), hashlib.sha256(new.encode()).hexdigest()))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == Counter(expected)
+    one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    assert fingerprints.compare_edits(one).first().near_next == 1.0
+    assert fingerprints.compare_edits(no_docs(spark)).count() == 0
+
+
+# Licenses.
+
+
+def by_hand(text):
+    lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    places, labels = [], set()
+    for phrase, label in licenses.BASE.items():
+        parts = phrase.split()
+        for i in range(len(words)):
+            if words[i : i + len(parts)] == parts:
+                places.append(i)
+                labels.add(label)
+    first, last = (min(places), max(places)) if places else (None, None)
+    return len(words), len(places), first, last, ",".join(sorted(labels))
+
+
+def test_base_phrases(spark):
+    texts = [
+        "cc by cc by CC-BY  general\npublic license, all rights reserved all rights",
+        "cc  bye", "éCC BY", "CC.BY", "", None, "general public licenses", "ccby cc/by",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.union(odd_docs(spark).select("doc_id", "text"))
+    docs = docs.union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    keys = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    got = Counter(tuple(r[k] for k in keys) for r in licenses.scan(docs).collect())
+    assert got == Counter((r.doc_id, *by_hand(r.text or "")) for r in docs.collect())
+    assert licenses.scan(no_docs(spark)).count() == 0
+
+
+def test_overlaps_are_resolved(spark):
+    texts = {
+        1: "Licensed under the Apache License, Version 2.0.",
+        2: "GNU Lesser General Public License version 2.1",
+        3: "this work: Creative Commons Attribution-ShareAlike 4.0",
+        4: "MIT License. Copyright (c) 2020",
+        5: "nothing to see",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert rows[1].labels == "apache-2.0,license-notice"
+    assert rows[2].labels == "gpl,lgpl-2.1" and rows[2].base_labels == "gpl"
+    assert rows[3].labels == "cc-by-sa-4.0"
+    assert "mit" in rows[4].labels and "copyright" in rows[4].labels
+    assert rows[5].labels == "" and rows[5].score == 0.0
+    assert len(licenses.RULES) >= 300
+
+
+def test_rules_hold_their_keyword():
+    for rule in licenses.RULES:
+        for sample in re.findall(r"[a-z0-9 ]+", rule.pattern)[:1]:
+            assert re.compile(rule.regex)
+        assert rule.keyword == rule.keyword.lower().strip()
+
+
+def test_no_python_in_license_plans(spark):
+    plan = licenses.scan(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# SentencePiece.
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+STRINGS = [
+    "", " ", "  a", "a  ", "a\n\n b", "\n", "\n a", " \n", "▁a ▁ b▁", "a\x00b\x01\x02c\x7f",
+    "日本語 текст 🙂🙂  \t\t", "é" * 50, " " * 70 + "x", "<s> </s><unk><0x0A>", "x y\x85", "́ é",
+]
+
+
+def test_pieces_equal_the_library(spark, library):
+    encoder = sentencepieces.PieceEncoder(PIECES)
+    texts = STRINGS + list(corpus(spark).values())
+    for text in texts:
+        ids, spans = encoder.encode(text)
+        assert ids == library.encode(text)
+        assert encoder.decode(ids) == library.decode(ids)
+        assert len(spans) == len(ids) and (spans[1:, 0] == spans[:-1, 1]).all()
+    for text in texts[:200]:
+        spans = encoder.encode(text)[1].tolist()
+        proto = library.encode(text, return_type="proto").pieces
+        if all(p.piece[0] != "<" for p in proto) and "▁" not in text:
+            assert spans == [[p.begin, p.end] for p in proto]
+
+
+def test_digests_of_odd_documents(spark, library):
+    docs = odd_docs(spark).select("doc_id", "text")
+    more = spark.createDataFrame([(100 + i, s) for i, s in enumerate(STRINGS)], docs.schema)
+    rows = sentencepieces.digests(docs.union(more), PIECES).collect()
+
+    def expected(text):
+        ids = library.encode(text or "")
+        shas = [",".join(map(str, ids)), library.decode(ids)]
+        return len(ids), *(hashlib.sha256(s.encode()).hexdigest() for s in shas)
+
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
+    assert got == Counter((r.doc_id, *expected(r.text)) for r in docs.union(more).collect())
+    encoded = sentencepieces.encode(more, PIECES)
+    back = {r.doc_id: r.text for r in sentencepieces.decode(encoded, PIECES).collect()}
+    assert all(back[100 + i] == s.replace("▁", " ") for i, s in enumerate(STRINGS))
+    assert sentencepieces.digests(no_docs(spark), PIECES).count() == 0
+
+
+def test_compiled_character_maps():
+    from sentencepiece import sentencepiece_model_pb2
+
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nfkc")
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(rules.serialized_model_proto())
+    charmap = sentencepieces.CharMap(model.normalizer_spec.precompiled_charsmap)
+    for text in ["ﬁ", "①", "Ａ", "ｶﾞ", "½"]:
+        size, value = charmap.longest(text.encode(), 0)
+        import unicodedata
+
+        assert size == len(text.encode()) and value.decode() == unicodedata.normalize("NFKC", text)
+    assert charmap.longest(b"plain", 0)[0] == 0
+
+
+# Languages.
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learned = language.learn(docs)
+    rows = language.identify(docs, learned).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert {r.held_out for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2} == {True}
+    assert sum(r.lang == r.lang_pred for r in held) > 0.98 * len(held) > 2000
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_languages_of_odd_documents(spark):
+    docs = odd_docs(spark)
+    rows = language.identify(docs, language.learn(docs)).collect()
+    und = Counter(r.doc_id for r in rows if r.lang_pred == "und")
+    assert und == Counter([3, 4, 5, 6, None]) and len(rows) == docs.count()
+    kept = language.keep_identified(docs)
+    assert kept.schema == docs.schema and kept.count() == docs.count() - 5
+    assert language.learn(no_docs(spark)).names == []
+    assert language.identify(no_docs(spark), language.learn(no_docs(spark))).count() == 0
+    unknown = language.identify(docs, language.learn(no_docs(spark))).collect()
+    assert {r.lang_pred for r in unknown} == {"und"}
+
+
+# Personal data.
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def fits(kind, found):
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in found.split("."))
+        if kind == "card":
+            twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(n - 9 * (n > 9) for n in twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return [
+        (kind, *m.span())
+        for kind, pattern in PLAIN.items()
+        for m in re.finditer(pattern, text)
+        if fits(kind, m.group())
+    ]
+
+
+def test_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(3)
+    made = ["".join(rng.choice("a@.-+ 0123456789()%") for _ in range(60)) for _ in range(3000)]
+    made += ["a@b.c@d.e", "a@b.c.d+x@y.z", "1.2.3.4.5", "@a.b x@.c", "4111 1111 1111 1111"]
+    for text in made + list(corpus(spark).values()):
+        spans = [(kind, *s) for kind, found in pii.base_spans(text).items() for s in found]
+        assert spans == plain_spans(text)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"please call me at +1 (243) 555-{1000 + i} soon") for i in range(8)]
+    rows += [(50, "please call me at 243 555 0999 soon"), (51, "in the year 243 555 0888 they left")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.digests(pii.find(docs)).collect()}
+    assert found[50].spans == "phone:18:30" and found[50].n_phone == 0
+    assert found[51].spans == "" and found[0].n_phone == 1
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert red[50] == "please call me at <phone> soon" and red[51] == rows[-1][1]
+
+
+def test_personal_data_of_odd_documents(spark):
+    docs = odd_docs(spark)
+    rows = pii.digests(pii.find(docs)).collect()
+    assert len(rows) == docs.count()
+    one = next(r for r in rows if r.doc_id == 11)
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 1, 0, 1)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r.base_sha256 == empty for r in rows if r.doc_id in (3, 4, None))
+    red = pii.redact(docs)
+    assert red.schema == docs.schema
+    texts = Counter(r.text for r in red.collect())
+    assert texts["mail <email> or <phone> from <ip> ok"] == 1 and texts[None] == 2
+    assert pii.find(no_docs(spark)).count() == pii.redact(no_docs(spark)).count() == 0
+
+
+# Token counts.
+
+
+def test_rollups_are_idempotent(spark, tmp_path):
+    paths = {v: public_tokenizers.path(f"{v}.tiktoken") for v in (queries.OLD, queries.NEW)}
+    docs = odd_docs(spark)
+    counts = token_rollup.count_tokens(docs, paths, public_tokenizers.PATTERN)
+    rows = counts.collect()
+    assert len(rows) == docs.count()
+    assert all(r[f"tokens_{queries.OLD}"] == 0 for r in rows if r.doc_id in (3, 4))
+    batches = queries.token_batches(counts)
+    ledger = token_rollup.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.totals().count() == 0
+    for batch_id in (0, 1, 1, 0, 2, 2):
+        ledger.commit(batch_id, batches[batch_id])
+    expected = Counter()
+    for r in rows:
+        if r.doc_id is None or r.doc_id % 7 != 0:
+            version = queries.OLD if r.lang == "en" else queries.NEW
+            key = (r.source, r.lang, version)
+            expected[key, "documents"] += 1
+            expected[key, "tokens"] += r[f"tokens_{version}"]
+
+    def got():
+        out = Counter()
+        for r in ledger.totals().collect():
+            key = (r.source, r.lang, r.tokenizer)
+            out[key, "documents"], out[key, "tokens"] = r.documents, r.tokens
+        return +out
+
+    assert got() == +expected
+    ledger.compact()
+    ledger.compact()
+    ledger.commit(2, batches[2])
+    assert got() == +expected
+    ledger.commit(3, token_rollup.change(counts, *_every(counts), 0))
+    assert got() == +expected
+    empty = token_rollup.count_tokens(no_docs(spark), paths, public_tokenizers.PATTERN)
+    assert empty.count() == 0
+
+
+def _every(counts):
+    from pyspark.sql import functions as F
+
+    return F.lit(queries.OLD), F.col(f"tokens_{queries.OLD}")
