@@ -326,6 +326,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``__no`` of their own that follows doc_id.
+
+    That is doc_id itself where it tells all rows apart. Else the rows are sorted and written once:
+    null ids come last.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
+        return docs.withColumn("__no", F.col("doc_id").cast("long"))
+    order = F.coalesce("doc_id", F.lit(2**62))
+    ordered = docs.repartitionByRange(order).sortWithinPartitions(order)
+    return staged(ordered.withColumn("__no", F.monotonically_increasing_id()), "suffix-docs")
+
+
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the stretches that occur earlier: their words are cut out of the text.
 
@@ -335,9 +349,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
     length = names.index("n_chars") if "n_chars" in names else None
     texts_of(docs)
-    order = F.coalesce("doc_id", F.lit(2**62))
-    ordered = docs.repartitionByRange(order).sortWithinPartitions(order)
-    rows = staged(ordered.withColumn("__no", F.monotonically_increasing_id()), "suffix-docs")
+    rows = _in_order(docs)
     numbered = rows.select(F.col("__no").alias("row_no"), "text")
     spans = repeats(numbered, min_words, later=True)
     spans = spans.groupBy(F.col("row_no").alias("__row")).agg(
