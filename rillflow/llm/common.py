@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.session import scratch_dir
@@ -42,7 +42,7 @@ def prepare(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
-def texts_of(docs: DataFrame, *also: str) -> DataFrame:
+def texts_of(docs: DataFrame, *also: str | Column) -> DataFrame:
     """Only ``doc_id``, ``text`` and what is asked for: other columns cannot clash."""
     prepare(docs.sparkSession)
     return docs.select("doc_id", "text", *also)

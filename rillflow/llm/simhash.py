@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import components, map_batches, staged, texts_of
@@ -52,14 +52,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     return np.packbits(ones * 2 > len(rows)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: one row per document; ``fp`` holds the 64 bits as a signed long."""
+def text_hash() -> Column:
+    """Tells apart rows of one doc_id; a null text counts as empty."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """``doc_id, fp``: one row per document; ``fp`` holds the 64 bits as a signed long.
+
+    With ``hashed`` also ``text_hash``.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = b"".join(fingerprint(t, shingle) for t in batch.column(1).to_pylist())
-        return {"doc_id": batch.column(0), "fp": np.frombuffer(found, ">i8").astype(np.int64)}
+        out = {"doc_id": batch.column(0), "fp": np.frombuffer(found, ">i8").astype(np.int64)}
+        return out | ({"text_hash": batch.column(2)} if hashed else {})
 
-    return map_batches(texts_of(docs), run, "doc_id long, fp long")
+    rows = texts_of(docs, *([text_hash().alias("text_hash")] if hashed else []))
+    return map_batches(rows, run, "doc_id long, fp long" + (", text_hash string" if hashed else ""))
 
 
 def bit_counts(points: DataFrame) -> np.ndarray:
@@ -262,37 +272,48 @@ def near_duplicates(
 
     ``fingerprint`` is 16 hex digits; ``component_id`` is the smallest doc_id that can be reached
     over links of at most ``radius`` differing bits, the document's own included. Null and empty
-    texts have fingerprint zero and link like others. A row without doc_id takes part, as a copy
-    of its fingerprint, but adds no id; a fingerprint without any id has component null and no
-    links. Repeated rows each give a row. An empty table gives an empty one.
+    texts have fingerprint zero and link like others. A row without doc_id links like others but
+    adds no id; a group without any id has component null. Repeated rows each give a row. An empty
+    table gives an empty one.
     """
     prints = staged(fingerprints(docs, shingle), "simhash")
-    groups = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-groups")
-    points = groups.where(F.col("node").isNotNull())
-    if points.isEmpty():
-        classes = groups.withColumn("component", F.col("node"))
-    else:
-        found = components(links(points, radius, parts))
-        classes = groups.join(found, "node", "left").select(
-            "fp", F.coalesce("component", "node").alias("component")
-        )
-    return prints.join(classes.select("fp", "component"), "fp").select(
+    return _grouped(prints, radius, parts).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 
 
+def _grouped(prints: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """``prints`` with their ``link_group`` and its smallest doc_id as ``component``."""
+    points = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-groups")
+    if points.isEmpty():
+        classes = points.select("fp", F.col("fp").alias("link_group"), F.col("id").alias("component"))
+    else:
+        found = components(links(points.select("fp", F.col("fp").alias("node")), radius, parts))
+        classes = points.join(found, points["fp"] == found["node"], "left").select(
+            "fp", "id", F.coalesce("component", "fp").alias("link_group")
+        )
+        least = classes.groupBy("link_group").agg(F.min("id").alias("component"))
+        classes = classes.join(least, "link_group").select("fp", "link_group", "component")
+    return prints.join(classes, "fp")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, one row each, columns unchanged.
+    """Of each group one row: the one with the smallest doc_id. Columns are unchanged.
 
-    Rows without doc_id cannot be told apart and stay, except that of rows without any id and of
-    repeated rows with one id, the one with the smallest text stays per id and group.
+    Rows without doc_id go if a row with one is in their group. Of several rows with the smallest
+    doc_id, or of a group without any, the one with the smallest hash of its text stays, of exact
+    copies the first by their other columns. Rows of other groups with the same doc_id are not
+    touched.
     """
-    groups = near_duplicates(docs, radius, shingle)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    numbered = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63))))
-    kept = kept.select(F.coalesce("__kept", F.lit(-(2**63))).alias("__id"))
-    first = Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_first())
-    one = numbered.join(kept, "__id").withColumn("__n", F.row_number().over(first))
+    prints = staged(fingerprints(docs, shingle, hashed=True), "simhash")
+    heads = _grouped(prints, radius).where("doc_id <=> component")
+    heads = heads.groupBy("link_group", "component").agg(F.min("text_hash").alias("__hash"))
+    heads = heads.select(F.col("component").alias("__head"), "__hash")
+    marked = docs.withColumn("__own", text_hash())
+    same = marked["doc_id"].eqNullSafe(heads["__head"]) & (marked["__own"] == heads["__hash"])
+    others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c != "text")))
+    first = Window.partitionBy("doc_id", "__own").orderBy(others)
+    one = marked.join(heads, same).withColumn("__n", F.row_number().over(first))
     return one.where(F.col("__n") == 1).select(*docs.columns)

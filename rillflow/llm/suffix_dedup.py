@@ -329,14 +329,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _in_order(docs: DataFrame) -> DataFrame:
     """``docs`` with a number ``__no`` of their own that follows doc_id.
 
-    That is doc_id itself where it tells all rows apart. Else the rows are sorted and written once:
-    null ids come last.
+    That is doc_id itself where it tells all rows apart. Else the rows are sorted and written once,
+    rows of one id in the order they are read: null ids come last, in as many tasks as they need.
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("doc_id is null or n > 1").isEmpty():
         return docs.withColumn("__no", F.col("doc_id").cast("long"))
-    order = F.coalesce("doc_id", F.lit(2**62))
-    ordered = docs.repartitionByRange(order).sortWithinPartitions(order)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__no")]
+    ordered = docs.withColumn("__no", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     return staged(ordered.withColumn("__no", F.monotonically_increasing_id()), "suffix-docs")
 
 

@@ -113,6 +113,13 @@ def test_later_repeats_are_cut_out(spark):
     assert suffix_dedup.drop_repeats(no_docs(spark)).count() == 0
 
 
+def test_repeats_are_cut_where_many_rows_have_no_id(spark):
+    rows = [(None, f"n{i} {PASSAGE} m{i}") for i in range(300)] + [(5, f"five {PASSAGE}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    left = {r.text for r in suffix_dedup.drop_repeats(docs).collect()}
+    assert left == {f"n{i} m{i}" for i in range(300)} | {f"five {PASSAGE}"}
+
+
 # SimHash.
 
 
@@ -186,6 +193,20 @@ def test_near_duplicates_of_odd_documents(spark):
     assert simhash.keep_one(no_docs(spark)).count() == 0
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(5))
+    rows = [
+        (None, a, "x"), (None, b, "x"), (None, b, "w"), (1, c, "x"), (None, c, "x"), (2, c, "x"),
+        (2, d, "x"), (2, d, "x"), (2, e, "x"), (3, None, "x"), (4, "", "x"), (None, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    expected = [(None, a, "x"), (None, b, "w"), (1, c, "x"), (2, d, "x"), (2, e, "x"), (3, None, "x")]
+    assert Counter(map(tuple, kept.collect())) == Counter(expected)
+
+
 def test_fingerprints_by_hand(spark):
     import xxhash
 
