@@ -157,4 +157,34 @@ from islands
 group by doc_id, i
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1}
+# All pairs of vectors; rows are numbered, so that repeated ids stay rows of their own.
+OP4 = """
+with recursive
+rows as (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: x::double) as v
+  from embeddings
+),
+sized as (
+  select r, vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size
+  from rows
+  where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+),
+units as (select r, vec_id, list_transform(v, lambda x: x / size) as u from sized where size > 0),
+links as (
+  select a.r as a, b.r as b
+  from units a join units b on a.r <> b.r and len(a.u) = len(b.u)
+  where list_dot_product(a.u, b.u) >= 0.95
+),
+reach as (
+  select r as a, r as b from rows
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a
+),
+least as (select a, min(vec_id) as component_id from reach join rows on rows.r = reach.b group by a),
+counts as (select a, count(*) as n from links group by a)
+select rows.vec_id, coalesce(counts.n, 0)::bigint as n_links, least.component_id,
+       rows.vec_id is not distinct from least.component_id as kept
+from rows join least on least.a = rows.r left join counts on counts.a = rows.r
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_embedding_dedup": OP4}

@@ -309,11 +309,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """
     prints = staged(fingerprints(docs, shingle, hashed=True), "simhash")
     heads = _grouped(prints, radius).where("doc_id <=> component")
-    heads = heads.groupBy("link_group", "component").agg(F.min("text_hash").alias("__hash"))
-    heads = heads.select(F.col("component").alias("__head"), "__hash")
-    marked = docs.withColumn("__own", text_hash())
-    same = marked["doc_id"].eqNullSafe(heads["__head"]) & (marked["__own"] == heads["__hash"])
+    heads = heads.groupBy("link_group", "component").agg(F.min("text_hash").alias("own"))
+    # The join and the window share one shuffle: plain equality of the same columns.
+    key = ["__id", "__none", "__hash"]
+
+    def keyed(rows: DataFrame, name: str, hashed: Column) -> DataFrame:
+        number = F.coalesce(name, F.lit(0)).alias("__id")
+        return rows.select("*", number, F.col(name).isNull().alias("__none"), hashed.alias("__hash"))
+
+    heads = keyed(heads, "component", F.col("own")).select(*key)
     others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c != "text")))
-    first = Window.partitionBy("doc_id", "__own").orderBy(others)
-    one = marked.join(heads, same).withColumn("__n", F.row_number().over(first))
+    first = Window.partitionBy(*key).orderBy(others)
+    one = keyed(docs, "doc_id", text_hash()).join(heads, key)
+    one = one.withColumn("__n", F.row_number().over(first))
     return one.where(F.col("__n") == 1).select(*docs.columns)

@@ -64,7 +64,8 @@ def test_odd_vectors_link_with_nothing(spark):
 def test_queries_match_sql(spark, name):
     folder = "/root/testdata/sf0.01"
     connection = duckdb.connect()
-    connection.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        connection.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     answer = connection.execute(queries.ORACLES[name])
     columns = [c[0] for c in answer.description]
     expected = Counter(answer.fetchall())
