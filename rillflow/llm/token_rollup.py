@@ -4,7 +4,8 @@ A batch of changes becomes additive totals by source, language and tokenizer ver
 adds a document and its tokens, a delete takes them off, a revision takes off the old count and adds
 the new one. A batch is committed by writing its totals under its own id; committing it again
 replaces them by the same, so a repeated or half-finished commit changes nothing. Totals are the sum
-over all committed batches, or over a compacted snapshot and the batches after it.
+over all committed batches, or over a compacted snapshot and the batches after it. Batches are
+numbered from 0 and may come in any order; a snapshot ends before the first number still missing.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ class Ledger:
 
     def commit(self, batch_id: int, deltas: DataFrame) -> None:
         """Add a batch; the same batch again replaces itself. Batches that a snapshot holds stay out."""
+        if batch_id < 0:
+            raise ValueError("batches are numbered from 0")
         if batch_id <= self._snapshot():
             return
         rolled_up(deltas).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
@@ -106,14 +109,24 @@ class Ledger:
     def totals(self) -> DataFrame:
         """TOTALS over everything committed; empty if nothing is."""
         snapshot = self._snapshot()
+        return self._sum(snapshot, [n for n in self._children("batch-") if n > snapshot])
+
+    def _sum(self, snapshot: int, batches: list[int]) -> DataFrame:
         paths = [f"{self.path}/snapshot-{snapshot}"] if snapshot >= 0 else []
-        paths += [f"{self.path}/batch-{n}" for n in self._children("batch-") if n > snapshot]
+        paths += [f"{self.path}/batch-{n}" for n in batches]
         if not paths:
             return self.spark.createDataFrame([], TOTALS)
         return rolled_up(self.spark.read.schema(TOTALS).parquet(*paths))
 
     def compact(self) -> None:
-        """Sum up all batches so far. Earlier folders stay until nobody reads them."""
-        batches = self._children("batch-")
-        if batches and batches[-1] > self._snapshot():
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshot-{batches[-1]}")
+        """Sum up the batches so far, up to the first that is missing and may still come.
+
+        Earlier folders stay until nobody reads them.
+        """
+        snapshot, batches = self._snapshot(), set(self._children("batch-"))
+        last = snapshot
+        while last + 1 in batches:
+            last += 1
+        if last > snapshot:
+            held = self._sum(snapshot, list(range(snapshot + 1, last + 1)))
+            held.write.mode("overwrite").parquet(f"{self.path}/snapshot-{last}")

@@ -566,6 +566,24 @@ def test_rollups_are_idempotent(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_ledger_takes_batches_out_of_order(spark, tmp_path):
+    rows = [("a", "en", "t", 1, 10 * 2**n) for n in range(4)]
+    batches = [spark.createDataFrame([row], token_rollup.TOTALS) for row in rows]
+    ledger = token_rollup.Ledger(spark, str(tmp_path / "ledger"))
+    for n in (0, 1, 3):
+        ledger.commit(n, batches[n])
+    ledger.compact()
+    for n in (2, 1, 3):
+        ledger.commit(n, batches[n])
+    expected = [("a", "en", "t", 4, 150)]
+    assert [tuple(r) for r in ledger.totals().collect()] == expected
+    ledger.compact()
+    ledger.commit(2, batches[2])
+    assert [tuple(r) for r in ledger.totals().collect()] == expected
+    with pytest.raises(ValueError):
+        ledger.commit(-1, batches[0])
+
+
 def _every(counts):
     from pyspark.sql import functions as F
 
