@@ -308,7 +308,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     touched.
     """
     prints = staged(fingerprints(docs, shingle, hashed=True), "simhash")
-    heads = _grouped(prints, radius).where("doc_id <=> component")
+    return one_of_each(docs, _grouped(prints, radius))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The row of ``docs`` that stays of each group, as ``keep_one`` says.
+
+    ``grouped`` has ``doc_id, text_hash, link_group, component`` for every row of ``docs``.
+    """
+    heads = grouped.where("doc_id <=> component")
     heads = heads.groupBy("link_group", "component").agg(F.min("text_hash").alias("own"))
     # The join and the window share one shuffle: plain equality of the same columns.
     key = ["__id", "__none", "__hash"]
