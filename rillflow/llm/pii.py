@@ -48,7 +48,6 @@ CONTEXT = 48
 SUPPORT = 3
 TRUST = 0.8
 ACCEPT = 0.8
-ROUNDS = 2
 
 Span = tuple[int, int]
 
@@ -192,7 +191,7 @@ def score_instances(
     rows: DataFrame,
     support: int = SUPPORT,
     trust: float = TRUST,
-    rounds: int = ROUNDS,
+    accept: float = ACCEPT,
 ) -> DataFrame:
     """``instance, score`` of the candidates that known instances or trusted patterns vouch for.
 
@@ -200,6 +199,10 @@ def score_instances(
     patterns by their instances, then instances by their trusted patterns: one minus the product of
     the patterns' doubts. Both are sums per key, taken per task before the shuffle; patterns join
     back as one row each, so a pattern that a third of all places share is split by the planner.
+
+    Scores only rise. Rounds end when none rises, or when no pattern with an instance below
+    ``accept`` could be trusted even if all scores above 0 were 1: which instances reach ``accept``
+    is then final, though their scores might rise further.
     """
     places = rows.select(F.explode("found").alias("s")).select("s.*")
     edges = staged(
@@ -211,18 +214,33 @@ def score_instances(
     seeds = places.groupBy("instance").agg(F.max("known").alias("known"))
     scores = seeds.select("instance", F.col("known").cast("double").alias("score"))
     scores = staged(scores, "pii-scores")
-    for _ in range(rounds):
+    while True:
         met = edges.join(scores, "instance")
+        above = (F.col("score") > 0).cast("int")
         worth = met.groupBy("kind", "pattern").agg(
-            F.avg("score").alias("trust"), F.sum((F.col("score") >= 0.5).cast("int")).alias("n")
+            F.avg("score").alias("trust"),
+            F.sum((F.col("score") >= 0.5).cast("int")).alias("n"),
+            F.avg(above).alias("most"),
+            F.sum(above).alias("n_most"),
+            F.min("score").alias("least"),
         )
+        worth = worth.where((F.col("n_most") >= support) & (F.col("most") >= trust))
+        worth = staged(worth, "pii-patterns")
+        if worth.where(F.col("least") < accept).isEmpty():
+            return scores
         trusted = worth.where((F.col("n") >= support) & (F.col("trust") >= trust))
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        told = edges.join(trusted, ["kind", "pattern"]).groupBy("instance")
-        told = told.agg((1 - F.exp(doubt)).alias("told"))
-        new = F.greatest("score", F.coalesce("told", F.lit(0.0))).alias("score")
-        scores = staged(scores.join(told, "instance", "left").select("instance", new), "pii-scores")
-    return scores
+        told = edges.join(trusted.select("kind", "pattern", "trust"), ["kind", "pattern"])
+        # Rounded, so that sums in another order are no rise and rounds come to an end.
+        told = told.groupBy("instance").agg(F.round(1 - F.exp(doubt), 9).alias("told"))
+        new = F.greatest("score", F.coalesce("told", F.lit(0.0)))
+        rose = (new > F.col("score")).alias("rose")
+        joined = scores.select("instance", "score").join(told, "instance", "left")
+        scores = staged(joined.select("instance", new.alias("score"), rose), "pii-scores")
+        rising = not scores.where("rose").isEmpty()
+        scores = scores.select("instance", "score")
+        if not rising:
+            return scores
 
 
 def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -233,7 +251,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """
     rows = staged(scan(docs), "pii")
     guessed = rows.select("row_no", F.explode("found").alias("s")).where("not s.known")
-    scores = score_instances(rows).where(F.col("score") >= accept)
+    scores = score_instances(rows, accept=accept).where(F.col("score") >= accept)
     taken = guessed.join(scores, guessed["s.instance"] == scores["instance"])
     taken = taken.groupBy("row_no").agg(F.collect_list("s").alias("more"))
     base = F.filter("found", lambda s: s["known"])

@@ -510,6 +510,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert red[50] == "please call me at <phone> soon" and red[51] == rows[-1][1]
 
 
+def test_contexts_vouch_along_chains(spark):
+    """Each context is trusted only by identifiers that the one before has found."""
+    texts = []
+    for link, many in enumerate([648, 108, 18, 3]):
+        for i in range(many):
+            number = f"+1 (243) 555-{1000 + i}" if link == 0 else f"243 {555 + link} {1000 + i}"
+            texts += [f"dial {c} {c}x {number} {c}y" for c in "pqrs"[max(0, link - 1) : link + 1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = Counter(r.text for r in pii.redact(docs).collect())
+    many = {"p": 648 + 108, "q": 108 + 18, "r": 18 + 3, "s": 3}
+    assert red == {f"dial {c} {c}x <phone> {c}y": many[c] for c in many}
+
+
 def test_personal_data_of_odd_documents(spark):
     docs = odd_docs(spark)
     rows = pii.digests(pii.find(docs)).collect()
