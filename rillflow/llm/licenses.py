@@ -213,7 +213,8 @@ def _rules() -> list[Rule]:
         ("some rights reserved", "some-reserved", "rights reserved"),
         ("all rights are reserved", "reserved", "rights are reserved"),
         ("proprietary and confidential", "proprietary", "proprietary"),
-        ("(proprietary|commercial) (license|licence|software)", "proprietary", "license"),
+        ("proprietary (license|licence|software)", "proprietary", "proprietary"),
+        ("commercial (license|licence|software)", "proprietary", "commercial"),
         ("proprietary software", "proprietary", "proprietary"),
         ("end user license agreement", "eula", "end user license"),
         ("do not (copy|distribute|redistribute)", "no-copy", "do not"),

@@ -368,6 +368,28 @@ def test_rules_hold_their_keyword():
         assert rule.keyword == rule.keyword.lower().strip()
 
 
+def spelt_out(pattern):
+    """All texts a rule's pattern stands for: groups of alternatives, some of them optional."""
+    group = re.search(r"\(([^()]*)\)(\??)", pattern)
+    if not group:
+        assert re.fullmatch(r"[a-z0-9 ]+", pattern), pattern
+        return [pattern]
+    choices = group[1].split("|") + [""] * bool(group[2])
+    return [t for c in choices for t in spelt_out(pattern[: group.start()] + c + pattern[group.end() :])]
+
+
+def test_every_spelling_of_a_rule_holds_its_keyword():
+    for rule in licenses.RULES:
+        for text in spelt_out(rule.pattern):
+            assert rule.keyword in text, (rule.pattern, text)
+
+
+def test_commercial_software_needs_no_other_word(spark):
+    texts = ["this is commercial software", "a commercial licence", "a proprietary licence"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs).collect()] == ["proprietary"] * 3
+
+
 def test_no_python_in_license_plans(spark):
     plan = licenses.scan(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
