@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -48,6 +49,24 @@ def texts_of(docs: DataFrame, *also: str | Column) -> DataFrame:
     return docs.select("doc_id", "text", *also)
 
 
+# Columns of documents that operators read by name.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeps_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions from documents to documents: no other column can clash with names used inside.
+
+    Columns beside those of OWN are renamed on the way in and get their names back on the way out.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        names = [name if name in OWN else f"extra_{i}" for i, name in enumerate(docs.columns)]
+        return stage(docs.toDF(*names), *args, **options).toDF(*docs.columns)
+
+    return run
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str
 ) -> DataFrame:
@@ -60,7 +79,7 @@ def map_batches(
             columns = function(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[n]) for n in names], names=names)
 
-    return df.mapInArrow(_cast(run, schema), schema)
+    return df.mapInArrow(typed(run, schema), schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -80,16 +99,16 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in pairs])
 
 
-def _cast(run: Callable, schema: str) -> Callable:
+def typed(run: Callable, schema: str) -> Callable:
     """Batches with exactly the declared types, also where a batch is empty or all null."""
     wanted = arrow_schema(schema)
 
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
             columns = [batch.column(i).cast(f.type) for i, f in enumerate(wanted)]
             yield pa.RecordBatch.from_arrays(columns, schema=wanted)
 
-    return typed
+    return cast
 
 
 def components(links: DataFrame) -> DataFrame:

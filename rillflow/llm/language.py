@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rillflow.llm.common import map_batches, texts_of
+from rillflow.llm.common import keeps_columns, map_batches, texts_of
 
 DIMENSIONS = 1024
 SEED = 20_260
@@ -228,6 +228,7 @@ def with_language(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
+@keeps_columns
 def keep_identified(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
     """The documents with a language: not ``und``, and a cosine of at least ``floor``.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from rillflow.llm.common import staged, texts_of
+from rillflow.llm.common import keeps_columns, staged, texts_of
 
 # Kinds in the order of the digests, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -287,6 +287,7 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "found").mapInArrow(run, schema)
 
 
+@keeps_columns
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; same rows and columns.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import components, map_batches, staged, texts_of
+from rillflow.llm.common import components, keeps_columns, map_batches, staged, texts_of
 
 BITS = 64
 SEED = 42
@@ -299,6 +299,7 @@ def _grouped(prints: DataFrame, radius: int, parts: int | None = None) -> DataFr
     return prints.join(classes, "fp")
 
 
+@keeps_columns
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Of each group one row: the one with the smallest doc_id. Columns are unchanged.
 

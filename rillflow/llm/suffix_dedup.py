@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import arrow_schema, staged, texts_of
+from rillflow.llm.common import arrow_schema, keeps_columns, staged, texts_of
 
 MIN_WORDS = 50
 # Words of the sequences among which minimisers are chosen, and how many of them in a row.
@@ -341,6 +341,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     return staged(ordered.withColumn("__no", F.monotonically_increasing_id()), "suffix-docs")
 
 
+@keeps_columns
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the stretches that occur earlier: their words are cut out of the text.
 
