@@ -10,7 +10,8 @@ length are extended at once.
 What is rare everywhere cannot be part of a frequent phrase, so counts of shards are summed level by
 level and only what is frequent over all shards goes on: words first, then pairs of frequent words,
 then phrases of three and four words all of whose pairs are frequent. Every shard learns which of its
-own words and pairs are left by a join, so nothing that grows with the vocabulary is broadcast. Where
+own words and pairs are left from the shuffle that sums them, so nothing that grows with the
+vocabulary is broadcast. Where
 nothing is rare, a shard gives at most one row per place and length.
 """
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
@@ -68,6 +68,19 @@ def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _width(n: int) -> type[np.unsignedinteger]:
+    """The type that numbers below ``n`` are stored in."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _packed(numbers: np.ndarray, n: int) -> pa.Array:
+    return pa.array([numbers.astype(_width(n)).tobytes()], pa.binary())
+
+
+def _unpacked(numbers: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(numbers.as_buffer(), _width(n)).astype(np.int32)
+
+
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``shard, lang, words, counts, text``: ``text`` numbers into ``words``, 0 between pieces.
 
@@ -88,7 +101,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                 pa.array([lang]),
                 _one_list(pa.array(list(numbers), pa.binary()).cast(pa.string())),
                 _one_list(pa.array(np.bincount(text, minlength=len(numbers)))),
-                pa.array([text.tobytes()], pa.binary()),
+                _packed(text, len(numbers)),
             ]
             return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "text"])
 
@@ -243,105 +256,111 @@ def longer(ahead: Transform, reverse: Transform, pairs: Phrases) -> Iterator[Phr
         yield four.only(_inside(four.reverse, pairs.reverse, pairs.sizes))
 
 
-def _phrase_batches(
-    lang: str, vocabulary: pa.Array, phrases: Phrases, shard: int | None = None
-) -> Iterator[pa.RecordBatch]:
+_COUNTED = "lang string, phrase string, n_words int, f long"
+
+
+def _phrase_batches(lang: str, vocabulary: pa.Array, phrases: Phrases) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(phrases.sizes), ROWS):
         some = phrases.only(slice(i, i + ROWS))
         texts = [vocabulary.take(pa.array(column)) for column in some.words.T]
         n = len(some.sizes)
-        columns = {
-            "lang": pa.array([lang] * n, pa.string()),
-            "phrase": pc.binary_join_element_wise(*texts, " "),
-            "n_words": pa.array(np.full(n, some.words.shape[1], np.int32)),
-            "f": pa.array(some.sizes.astype(np.int64)),
-        }
-        if shard is not None:
-            place = {"shard": np.full(n, shard), "no": np.arange(i, i + n)}
-            columns |= {name: pa.array(values) for name, values in place.items()}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-_COUNTED = "lang string, phrase string, n_words int, f long"
+        columns = [
+            pa.array([lang] * n, pa.string()),
+            pc.binary_join_element_wise(*texts, " "),
+            pa.array(np.full(n, some.words.shape[1], np.int32)),
+            pa.array(some.sizes.astype(np.int64)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "f"])
 
 
 def indexes(texts: DataFrame) -> DataFrame:
-    """``shard, lang, words, ahead, reverse``: the two transforms of every shard.
+    """``shard, lang, words, ids, ahead, reverse``: the two transforms of every shard.
 
-    ``texts`` has ``shard, lang, words, text, kept``; words not ``kept`` become separators.
+    ``texts`` has ``shard, lang, words, text, kept``; words whose number ``no`` is not among ``kept``
+    become separators, the others have the ``id`` given there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, lang, words, text, kept = (batch.column(c)[i] for c in range(5))
-                kept = np.sort(kept.values.to_numpy())
+                kept, ids = (column.to_numpy() for column in kept.values.flatten())
+                order = np.argsort(kept)
+                kept, ids = kept[order], np.append(-1, ids[order])
                 renumber = np.zeros(len(words.values), np.int32)
                 renumber[kept] = np.arange(1, len(kept) + 1)
-                text = renumber[np.frombuffer(text.as_buffer(), np.int32)]
+                text = renumber[_unpacked(text, len(words.values))]
                 # A single separator between pieces is enough.
                 text = text[np.concatenate([[True], (text[1:] > 0) | (text[:-1] > 0)])]
                 vocabulary = pa.concat_arrays([pa.array([""]), words.values.take(pa.array(kept))])
                 transforms = (last_words(text) for text in (text, text[::-1].copy()))
-                columns = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), _one_list(vocabulary)]
-                columns += [pa.array([lasts.tobytes()], pa.binary()) for lasts in transforms]
-                names = ["shard", "lang", "words", "ahead", "reverse"]
+                columns = [pa.array([shard.as_py()]), pa.array([lang.as_py()])]
+                columns += [_one_list(vocabulary), _one_list(pa.array(ids))]
+                columns += [_packed(lasts, len(ids)) for lasts in transforms]
+                names = ["shard", "lang", "words", "ids", "ahead", "reverse"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "shard long, lang string, words array<string>, ahead binary, reverse binary"
+    schema = (
+        "shard long, lang string, words array<string>, ids array<long>, ahead binary, reverse binary"
+    )
     rows = texts.select("shard", "lang", "words", "text", "kept")
     return rows.mapInArrow(typed(run, schema), schema)
 
 
-def _read(lasts: pa.Scalar) -> Transform:
-    return transform(np.frombuffer(lasts.as_buffer(), np.int32))
-
-
 def pairs_of(index: DataFrame) -> DataFrame:
-    """``lang, phrase, n_words, f, shard, no``: each shard's phrases of two words, numbered."""
+    """``one, two, f, shard``: each shard's phrases of two words, by the ids of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, lang, words, reverse = (batch.column(c)[i] for c in range(4))
-                reverse = _read(reverse)
+                shard, ids, reverse = (batch.column(c)[i] for c in range(3))
+                ids = ids.values.to_numpy()
+                reverse = transform(_unpacked(reverse, len(ids)))
                 pairs = right(reverse, single_words(reverse.lasts))
-                yield from _phrase_batches(lang.as_py(), words.values, pairs, shard.as_py())
+                for at in range(0, len(pairs.sizes), ROWS):
+                    some = pairs.only(slice(at, at + ROWS))
+                    columns = [*ids[some.words].T, some.sizes, np.full(len(some.sizes), shard.as_py())]
+                    names = ["one", "two", "f", "shard"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in columns], names)
 
-    schema = f"{_COUNTED}, shard long, no long"
-    rows = index.select("shard", "lang", "words", "reverse")
-    return rows.mapInArrow(typed(run, schema), schema)
+    schema = "one long, two long, f long, shard long"
+    return index.select("shard", "ids", "reverse").mapInArrow(typed(run, schema), schema)
 
 
 def longer_of(index: DataFrame) -> DataFrame:
     """``lang, phrase, n_words, f``: each shard's phrases of three and four words.
 
-    ``index`` has besides the transforms the numbers of the ``kept`` pairs.
+    ``index`` has besides the transforms the ids of the ``kept`` pairs, all of which the shard holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words, ahead, reverse, kept = (batch.column(c)[i] for c in range(5))
-                ahead, reverse = _read(ahead), _read(reverse)
+                lang, words, ids, ahead, reverse, kept = (batch.column(c)[i] for c in range(6))
+                ids = ids.values.to_numpy()
+                ahead, reverse = (transform(_unpacked(x, len(ids))) for x in (ahead, reverse))
                 pairs = right(reverse, single_words(reverse.lasts))
-                pairs = pairs.only(np.sort(kept.values.to_numpy()))
-                for phrases in longer(ahead, reverse, pairs):
+                order = np.argsort(ids)
+                kept = [
+                    order[np.searchsorted(ids, column.to_numpy(), sorter=order)]
+                    for column in kept.values.flatten()
+                ]
+                chosen = np.isin(pairs.words @ [len(ids), 1], kept[0] * len(ids) + kept[1])
+                for phrases in longer(ahead, reverse, pairs.only(chosen)):
                     yield from _phrase_batches(lang.as_py(), words.values, phrases)
 
-    rows = index.select("lang", "words", "ahead", "reverse", "kept")
+    rows = index.select("lang", "words", "ids", "ahead", "reverse", "kept")
     return rows.mapInArrow(typed(run, _COUNTED), _COUNTED)
 
 
-def _summed(counts: DataFrame, least: int) -> DataFrame:
-    total = counts.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("f").alias("f"))
-    return total.where(F.col("f") >= least)
+def _frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``places`` whose keys occur ``least`` times over all shards, with that sum as ``f``.
 
-
-def _kept(places: DataFrame, frequent: DataFrame, number: str) -> DataFrame:
-    """``shard, kept``: the numbers of each shard's own ``places`` whose phrases are ``frequent``."""
-    left_over = places.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    return left_over.groupBy("shard").agg(F.collect_list(number).alias("kept"))
+    A key has one row per shard that holds it. They are summed where they meet, in one shuffle,
+    since the shards are to be told as well.
+    """
+    total = F.sum("f").over(Window.partitionBy(*keys))
+    return places.withColumn("f", total).where(F.col("f") >= least)
 
 
 def count_phrases(
@@ -356,23 +375,34 @@ def count_phrases(
     spark = docs.sparkSession
     with _single_rows(spark):
         texts = staged(shards(docs, shard_words), "phrase-shards")
-    numbered = F.posexplode(F.arrays_zip("words", "counts")).alias("no", "one")
-    places = texts.select("shard", "lang", numbered).where("no > 0")
-    places = places.select("shard", "lang", "no", F.col("one.words").alias("phrase"), "one.counts")
     sums = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y) - F.col("counts")[0]
     sizes = texts.select("lang", sums.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    one = places.select("lang", "phrase", F.lit(1).alias("n_words"), F.col("counts").alias("f"))
-    words = staged(_summed(one, least), "phrase-words")
-    kept = staged(_kept(places, words, "no"), "phrase-words-kept")
+    sizes = staged(sizes, "phrase-sizes")
+    numbered = F.posexplode(F.arrays_zip("words", "counts")).alias("no", "of")
+    places = texts.select("shard", "lang", numbered).where("no > 0")
+    places = places.select("shard", "lang", "no", F.col("of.words").alias("word"), F.col("of.counts").alias("f"))
+    places = staged(_frequent(places, ["lang", "word"], least), "phrase-words")
+    words = places.groupBy("lang", "word").agg(F.max("f").alias("f"))
+    words = staged(words.withColumn("id", F.monotonically_increasing_id()), "phrase-ids")
+    kept = places.join(words.select("lang", "word", "id"), ["lang", "word"])
+    kept = kept.groupBy("shard").agg(F.collect_list(F.struct("no", "id")).alias("kept"))
+    kept = staged(kept, "phrase-words-kept")
     with _single_rows(spark):
         index = staged(indexes(texts.join(kept, "shard")), "phrase-index")
-        pairs = staged(pairs_of(index), "phrase-pairs")
-    frequent = staged(_summed(pairs, least), "phrase-pairs-summed")
-    kept = staged(_kept(pairs, frequent, "no"), "phrase-pairs-kept")
-    with _single_rows(spark):
-        more = staged(longer_of(index.join(kept, "shard")), "phrase-longer")
-    more = staged(_summed(more, least), "phrase-longer-summed")
-    return reduce(DataFrame.unionByName, [words, frequent, more]), sizes
+        places = staged(_frequent(pairs_of(index), ["one", "two"], least), "phrase-pairs")
+        kept = places.groupBy("shard").agg(F.collect_list(F.struct("one", "two")).alias("kept"))
+        kept = staged(kept, "phrase-pairs-kept")
+        more = longer_of(index.join(kept, "shard")).groupBy("lang", "phrase", "n_words")
+        more = more.agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        more = staged(more, "phrase-longer")
+    pairs = places.groupBy("one", "two").agg(F.max("f").alias("f"))
+    ids = words.select("lang", "word", "id")
+    pairs = pairs.join(ids.select("lang", F.col("word").alias("w1"), F.col("id").alias("one")), "one")
+    pairs = pairs.join(ids.select(F.col("word").alias("w2"), F.col("id").alias("two")), "two")
+    pairs = staged(pairs.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "f"), "phrase-two")
+    single = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "f")
+    both = single.unionByName(pairs.withColumn("n_words", F.lit(2)))
+    return both.unionByName(more), sizes
 
 
 def _exact(column: str) -> Column:
