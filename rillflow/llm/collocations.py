@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import prepare, staged, typed
+from rillflow.session import scratch_dir
 
 # Words of the longest phrase; suffixes are sorted by as many words.
 DEPTH = 4
@@ -38,6 +39,8 @@ LEAST = 30
 TOP = 2000
 # Words after which a shard ends, with the document that holds the last: bounds a task's memory.
 SHARD_WORDS = 1 << 21
+# A task numbers its shards in so many bits; a word's number within its shard takes 31.
+SHARD_BITS = 12
 # Rows of one Arrow batch of phrases.
 ROWS = 1 << 16
 
@@ -81,6 +84,19 @@ def _unpacked(numbers: pa.Scalar, n: int) -> np.ndarray:
     return np.frombuffer(numbers.as_buffer(), _width(n)).astype(np.int32)
 
 
+def _bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """Like ``staged``, in buckets by shard: a join by shard then moves the other side alone."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    # The catalog forgets it at once; the files stay until the session's scratch folder goes.
+    spark.sql(f"drop table {table}")
+    return found
+
+
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``shard, lang, words, counts, text``: ``text`` numbers into ``words``, 0 between pieces.
 
@@ -88,16 +104,19 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = count(TaskContext.get().partitionId() << 32)
+        shard = count(TaskContext.get().partitionId() << SHARD_BITS)
         open_shards: dict[str, tuple[dict, list]] = {}
         sizes: dict[str, int] = defaultdict(int)
 
         def closed(lang: str) -> pa.RecordBatch:
             numbers, parts = open_shards.pop(lang)
             del sizes[lang]
+            no = next(shard)
+            if no >> SHARD_BITS != TaskContext.get().partitionId():
+                raise ValueError(f"more than {1 << SHARD_BITS} shards in one task: split its input")
             text = np.concatenate([np.zeros(1, np.int32), *parts])
             columns = [
-                pa.array([next(shard)]),
+                pa.array([no]),
                 pa.array([lang]),
                 _one_list(pa.array(list(numbers), pa.binary()).cast(pa.string())),
                 _one_list(pa.array(np.bincount(text, minlength=len(numbers)))),
@@ -374,24 +393,23 @@ def count_phrases(
     """
     spark = docs.sparkSession
     with _single_rows(spark):
-        texts = staged(shards(docs, shard_words), "phrase-shards")
+        texts = _bucketed(shards(docs, shard_words), "phrase-shards")
     sums = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y) - F.col("counts")[0]
     sizes = texts.select("lang", sums.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    sizes = staged(sizes, "phrase-sizes")
     numbered = F.posexplode(F.arrays_zip("words", "counts")).alias("no", "of")
     places = texts.select("shard", "lang", numbered).where("no > 0")
     places = places.select("shard", "lang", "no", F.col("of.words").alias("word"), F.col("of.counts").alias("f"))
+    # A word is known by its place in the first shard that has it.
+    place = F.shiftleft("shard", 31) + F.col("no")
+    places = places.withColumn("id", F.min(place).over(Window.partitionBy("lang", "word")))
     places = staged(_frequent(places, ["lang", "word"], least), "phrase-words")
-    words = places.groupBy("lang", "word").agg(F.max("f").alias("f"))
-    words = staged(words.withColumn("id", F.monotonically_increasing_id()), "phrase-ids")
-    kept = places.join(words.select("lang", "word", "id"), ["lang", "word"])
-    kept = kept.groupBy("shard").agg(F.collect_list(F.struct("no", "id")).alias("kept"))
-    kept = staged(kept, "phrase-words-kept")
+    words = places.groupBy("lang", "word").agg(F.max("f").alias("f"), F.min("id").alias("id"))
+    words = staged(words, "phrase-ids")
+    kept = places.groupBy("shard").agg(F.collect_list(F.struct("no", "id")).alias("kept"))
     with _single_rows(spark):
-        index = staged(indexes(texts.join(kept, "shard")), "phrase-index")
+        index = _bucketed(indexes(texts.join(kept, "shard")), "phrase-index")
         places = staged(_frequent(pairs_of(index), ["one", "two"], least), "phrase-pairs")
         kept = places.groupBy("shard").agg(F.collect_list(F.struct("one", "two")).alias("kept"))
-        kept = staged(kept, "phrase-pairs-kept")
         more = longer_of(index.join(kept, "shard")).groupBy("lang", "phrase", "n_words")
         more = more.agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         more = staged(more, "phrase-longer")
