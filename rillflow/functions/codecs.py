@@ -33,16 +33,23 @@ def _decoded(
     drop_malformed: bool,
     metric: str | None,
     keep: Iterable[str] = (),
+    quarantine: str | None = None,
 ) -> DataFrame:
     key = [] if key_as is None else [F.col("key").cast("string").alias(key_as)]
     beside = [*([] if key_as is None else [key_as]), *keep]
-    rows = records.select(*key, *keep, value.alias("value"))
+    raw = [] if quarantine is None else [F.col("value").cast("binary").alias(quarantine)]
+    rows = records.select(*key, *keep, *raw, value.alias("value"))
     fields = rows.schema["value"].dataType.names
     blank = reduce(Column.__and__, (F.col("value").getField(name).isNull() for name in fields))
     if metric is not None:
         rows = rows.observe(metric, F.count("*").alias("rows"), F.count_if(blank).alias("blank"))
     if drop_malformed:
         rows = rows.where(~blank)
+    if quarantine is not None:
+        # The bytes of a record that was decoded are not carried on.
+        bytes_of = F.when(blank, F.struct(F.col(quarantine).alias("value")))
+        rows = rows.withColumn(quarantine, bytes_of)
+        beside.append(quarantine)
     if not expand:
         return rows
     return rows.select(*beside, "value.*")
@@ -57,6 +64,7 @@ def decode_json(
     drop_malformed: bool = False,
     metric: str | None = None,
     keep: Iterable[str] = (),
+    quarantine: str | None = None,
 ) -> DataFrame:
     """Parse the JSON in ``value``: one column per field, or one struct if not ``expand``.
 
@@ -69,9 +77,25 @@ def decode_json(
     ``rows`` were decoded and how many of them are ``blank``: every wanted field null. It also keeps
     Spark from copying later filters, each with a whole parse inside, below the decode, so that
     every record is parsed once. Names must differ within one query.
+
+    ``quarantine`` names a column that holds the undecoded ``value``, in a struct, of every blank
+    record, and null for all others; ``decoded_rows`` and ``quarantined_rows`` part the two.
     """
+    if quarantine is not None and (metric is None or drop_malformed):
+        raise ValueError("a quarantine needs a metric and all rows")
     value = F.from_json(F.col("value").cast("string"), ddl(fields, only))
-    return _decoded(records, value, key_as, expand, drop_malformed, metric, keep)
+    return _decoded(records, value, key_as, expand, drop_malformed, metric, keep, quarantine)
+
+
+def decoded_rows(rows: DataFrame, quarantine: str) -> DataFrame:
+    """What ``decode_json(quarantine=...)`` could decode, without the column of the quarantine."""
+    return rows.where(F.col(quarantine).isNull()).drop(quarantine)
+
+
+def quarantined_rows(rows: DataFrame, quarantine: str, keep: Iterable[str]) -> DataFrame:
+    """What it could not: the columns it was told to ``keep`` and the ``raw`` bytes."""
+    raw = F.col(quarantine).getField("value").alias("raw")
+    return rows.where(F.col(quarantine).isNotNull()).select(*keep, raw)
 
 
 def decode_avro(

@@ -13,7 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rillflow.functions.codecs import decode_avro, decode_json, encode_avro, encode_json
+from rillflow.functions.codecs import (
+    decode_avro,
+    decode_json,
+    decoded_rows,
+    encode_avro,
+    encode_json,
+    quarantined_rows,
+)
 from rillflow.functions.expressions import with_event_time
 from rillflow.operators.aggregates import prime_rewards, word_count
 from rillflow.operators.invoices import (
@@ -27,6 +34,7 @@ from rillflow.operators.invoices import (
 from rillflow.operators.windows import sensor_max, trade_totals
 from rillflow.schemas import INVOICE, PUBLISHED_ITEM, SENSOR, TRADE, avro_schema
 from rillflow.sources.files import json_dir
+from rillflow.sources.inference import kept_schema
 from rillflow.streaming.fanout import fan_out, fan_out_single_read
 from rillflow.streaming.sinks import to_console, to_json_files, to_kafka
 
@@ -145,9 +153,18 @@ def flatten_files(
     name: str | None = "flatten files",
     trigger: str | None = MINUTE,
     compression: str | None = None,
+    schema_dir: str | None = None,
 ) -> StreamingQuery:
-    """JSON invoices in a directory to JSON line items; inferred schema without ``fields``."""
-    invoices = json_dir(spark, path, fields, archive_dir, max_files, **(options or {}))
+    """JSON invoices in a directory to JSON line items; inferred schema without ``fields``.
+
+    ``schema_dir`` keeps what was inferred: a restart looks only at files it has not read.
+    """
+    options = options or {}
+    if fields is None and schema_dir is not None:
+        schema = kept_schema(spark, path, schema_dir, checkpoint)
+        invoices = json_dir(spark, path, schema, archive_dir, max_files, **options)
+    else:
+        invoices = json_dir(spark, path, fields, archive_dir, max_files, **options)
     items = flatten_invoices(invoices)
     return to_json_files(items, output, checkpoint, name, trigger, compression=compression)
 
@@ -165,6 +182,33 @@ def flatten_records(
     return to_json_files(items, output, checkpoint, name, trigger, compression=compression)
 
 
+# Where a record came from.
+ORIGIN = {"topic": "string", "partition": "int", "offset": "bigint"}
+
+
+def decode_or_quarantine(
+    records: DataFrame,
+    fields: dict[str, str],
+    path: str,
+    checkpoint: str,
+    name: str | None = "decode or quarantine",
+    trigger: str | None = MINUTE,
+    compression: str | None = None,
+) -> StreamingQuery:
+    """JSON records to their fields, and those that give none to a quarantine, with their bytes.
+
+    Each record is parsed once. ``read_branch`` gives the branches ``decoded``, with the record's
+    origin and ``fields``, and ``quarantine``, with the origin and the ``raw`` bytes; a batch is in
+    both or in none.
+    """
+    rows = decode_json(records, fields, metric="quarantine", keep=list(ORIGIN), quarantine="undecoded")
+    branches = {
+        "decoded": lambda batch: decoded_rows(batch, "undecoded"),
+        "quarantine": lambda batch: quarantined_rows(batch, "undecoded", list(ORIGIN)),
+    }
+    return fan_out_single_read(rows, branches, path, checkpoint, name, trigger, compression)
+
+
 def notify(
     records: DataFrame,
     checkpoint: str,

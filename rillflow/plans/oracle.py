@@ -30,6 +30,13 @@ union all
 select 'documents' as source, count(*) as row_count, count(*) as blank_count from documents
 """
 
+DECODE_QUARANTINE = """
+select 'events' as topic, 0 as partition, event_id as "offset", props as raw
+from events where cast(props->>'$.k' as integer) is null
+union all
+select 'documents' as topic, 1 as partition, doc_id as "offset", text as raw from documents
+"""
+
 TRADE_TOTALS = """
 with trades as (
   select time_bucket(interval '15 minutes', ts) as start, event_type,
@@ -70,7 +77,8 @@ select * from ({SENSOR_MAX})
 where "end" <= (select date_trunc('second', max(ts)) - interval '30 minutes' from events)
 """
 
-SENSOR_LATE_DATA = """
+# When each event arrives, and up to when windows are closed by then.
+_ARRIVALS = """
 with span as (
   select epoch_us(min(ts)) as first,
          greatest(1, (epoch_us(max(ts)) - epoch_us(min(ts))) // 4) as width
@@ -89,7 +97,10 @@ closed as (
   select s.slot, max(l.latest) - interval '30 minutes' as upto
   from (select distinct slot from arrivals) s left join latest l on l.slot < s.slot
   group by s.slot
-),
+)
+"""
+
+SENSOR_LATE_DATA = f"""{_ARRIVALS},
 windows as (
   select a.event_type as SensorID, a.value, c.upto,
          time_bucket(interval '5 minutes', a.ts) - r.i * interval '5 minutes' as start
@@ -101,6 +112,24 @@ where upto is null or start + interval '15 minutes' > upto
 group by SensorID, start
 """
 
+LATE_ROWS_DROPPED = f"""{_ARRIVALS},
+late as (
+  select distinct a.slot, a.event_type,
+         time_bucket(interval '5 minutes', a.ts) - r.i * interval '5 minutes' as start
+  from arrivals a join closed c on a.slot = c.slot, range(3) r(i)
+  where time_bucket(interval '5 minutes', a.ts) - r.i * interval '5 minutes'
+        + interval '15 minutes' <= c.upto
+),
+dropped as (select slot, count(*) as dropped from late group by slot)
+select cast(a.slot as bigint) as arrival, a.rows_in, coalesce(d.dropped, 0) as dropped
+from (select slot, count(*) as rows_in from arrivals group by slot) a left join dropped d on d.slot = a.slot
+"""
+
+SENSOR_STATE_LEFT = f"""
+select * from ({SENSOR_MAX})
+where "end" > (select date_trunc('second', max(ts)) - interval '30 minutes' from events)
+"""
+
 _ITEMS = """
 from lineitem
 join orders on l_orderkey = o_orderkey
@@ -164,6 +193,7 @@ ORACLES: dict[str, str] = {
     "word_count": WORD_COUNT,
     "json_decode": JSON_DECODE,
     "decode_malformed": DECODE_MALFORMED,
+    "decode_quarantine": DECODE_QUARANTINE,
     "trade_totals": TRADE_TOTALS,
     "sensor_max": SENSOR_MAX,
     "sensor_max_undated": SENSOR_MAX_UNDATED,
@@ -190,4 +220,10 @@ ORACLES: dict[str, str] = {
     "fan_out_single_read_items": INVOICE_FLATTEN,
     "fan_out_single_read_notifications": LOYALTY_NOTIFICATIONS,
     "sensor_late_data": SENSOR_LATE_DATA,
+    "late_rows_dropped": LATE_ROWS_DROPPED,
+    "sensor_state_left": SENSOR_STATE_LEFT,
+    "word_state_left": WORD_COUNT,
+    "trade_log_compacted": TRADE_TOTALS,
+    "trade_totals_interval": TRADE_TOTALS,
+    "trade_totals_at_once": TRADE_TOTALS,
 }

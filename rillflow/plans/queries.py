@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,11 +27,15 @@ from rillflow.schemas import (
 )
 from rillflow.session import scratch_dir
 from rillflow.sources.files import replay_records, text_lines
-from rillflow.streaming.runner import finish
+from rillflow.sources.state import scaled_state, state_rows
+from rillflow.streaming.fanout import read_branch
+from rillflow.streaming.progress import progress_table, recorded
+from rillflow.streaming.runner import catch_up, finish, running
 from rillflow.streaming.sinks import (
     AVAILABLE_NOW,
     latest,
     read_snapshot,
+    read_update_log,
     to_record_files,
     to_snapshots,
     to_update_log,
@@ -79,6 +83,29 @@ def q_decode_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same topic as a stream: what is blank lands in a quarantine with its bytes and origin."""
+    events = tables.table(spark, sf_dir, "events").select(
+        F.lit("events").alias("topic"), F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"), F.col("props").cast("binary").alias("value"),
+    )
+    prose = tables.table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("topic"), F.lit(1).alias("partition"),
+        F.col("doc_id").alias("offset"), F.col("text").cast("binary").alias("value"),
+    )
+    work = scratch_dir(spark, "decode_quarantine")
+
+    def start(records: DataFrame) -> StreamingQuery:
+        paths = f"{work}/out", f"{work}/checkpoint"
+        return jobs.decode_or_quarantine(
+            records, {"k": "int"}, *paths, None, AVAILABLE_NOW, SCRATCH_CODEC
+        )
+
+    _arrive(_by_hash(events.union(prose)), work, start)
+    rows = read_branch(spark, f"{work}/out", "quarantine", {**jobs.ORIGIN, "raw": "binary"})
+    return rows.withColumn("raw", F.col("raw").cast("string"))
+
+
 def q_trade_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
     return jobs.trade_windows(tables.trade_records(tables.table(spark, sf_dir, "events")))
@@ -174,14 +201,19 @@ def _arrive(
         finish(start(replay_records(spark, arrived, BATCH_FILES, also)))
 
 
-def _run_to_log(records: DataFrame, name: str, start: Callable, keys: list[str]) -> DataFrame:
-    """Run an update-mode job into an update log and give the newest row per key."""
-    spark = records.sparkSession
-    work = scratch_dir(spark, name)
-    sink = partial(to_update_log, path=f"{work}/log")
+def _run_to_work(records: DataFrame, name: str, start: Callable, **log: object) -> str:
+    """Run an update-mode job into an update log; gives the folder of its ``log`` and ``checkpoint``."""
+    work = scratch_dir(records.sparkSession, name)
+    sink = partial(to_update_log, path=f"{work}/log", **log)
     common = {"sink": sink, "name": None, "trigger": AVAILABLE_NOW}
     _arrive(records, work, partial(start, checkpoint=f"{work}/checkpoint", **common))
-    return latest(spark.read.parquet(f"{work}/log"), keys)
+    return work
+
+
+def _run_to_log(records: DataFrame, name: str, start: Callable, keys: list[str]) -> DataFrame:
+    """Run an update-mode job into an update log and give the newest row per key."""
+    work = _run_to_work(records, name, start)
+    return latest(records.sparkSession.read.parquet(f"{work}/log"), keys)
 
 
 def _run_to_append(records: DataFrame, name: str, start: Callable) -> DataFrame:
@@ -279,6 +311,7 @@ def _flatten_files(
             name=None,
             trigger=AVAILABLE_NOW,
             compression=SCRATCH_CODEC,
+            schema_dir=f"{work}/schema",
         )
         finish(query)
     archived = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -293,7 +326,7 @@ def q_file_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_file_flatten_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the schema taken from the files, at the price of reading them once more."""
+    """The same with the schema taken from the files: each is read once more, before its own batch."""
     return _flatten_files(spark, sf_dir, "file_flatten_inferred", None)
 
 
@@ -356,18 +389,16 @@ def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> st
     return f"{work}/out"
 
 
-def _split_items(spark: SparkSession, out: str) -> DataFrame:
-    # One reader of both writes a folder per batch, whose number is no field of an item.
-    return spark.read.schema(ddl(FLAT_ITEM)).json(f"{out}/invoice").select(*FLAT_ITEM)
+def _split_sink(spark: SparkSession, out: str, single_read: bool, sink: str) -> DataFrame:
+    fields = {"invoice": FLAT_ITEM, "notification": {"key": "string", "value": "string"}}[sink]
+    if single_read:
+        return read_branch(spark, out, sink, fields)
+    return spark.read.schema(ddl(fields)).json(f"{out}/{sink}")
 
 
-def _split_notes(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("key string, value string").json(f"{out}/notification")
-
-
-def _split_counts(spark: SparkSession, out: str) -> DataFrame:
+def _split_counts(spark: SparkSession, out: str, single_read: bool) -> DataFrame:
     """How much reached each of the two sinks: line items and notified invoices."""
-    sinks = {"invoice": _split_items(spark, out), "notification": _split_notes(spark, out)}
+    sinks = {s: _split_sink(spark, out, single_read, s) for s in ("invoice", "notification")}
     counts = [
         rows.agg(F.count("*").alias("row_count")).select(F.lit(sink).alias("sink"), "row_count")
         for sink, rows in sinks.items()
@@ -376,28 +407,29 @@ def _split_counts(spark: SparkSession, out: str) -> DataFrame:
 
 
 def q_fan_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_counts(spark, _split(spark, sf_dir, "fan_out", False))
+    return _split_counts(spark, _split(spark, sf_dir, "fan_out", False), False)
 
 
 def q_fan_out_single_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_counts(spark, _split(spark, sf_dir, "fan_out_single_read", True))
+    return _split_counts(spark, _split(spark, sf_dir, "fan_out_single_read", True), True)
 
 
 def q_fan_out_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_items(spark, _split(spark, sf_dir, "fan_out", False))
+    return _split_sink(spark, _split(spark, sf_dir, "fan_out", False), False, "invoice")
 
 
 def q_fan_out_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decode_notifications(_split_notes(spark, _split(spark, sf_dir, "fan_out", False)))
+    out = _split(spark, sf_dir, "fan_out", False)
+    return _decode_notifications(_split_sink(spark, out, False, "notification"))
 
 
 def q_fan_out_single_read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_items(spark, _split(spark, sf_dir, "fan_out_single_read", True))
+    return _split_sink(spark, _split(spark, sf_dir, "fan_out_single_read", True), True, "invoice")
 
 
 def q_fan_out_single_read_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _split(spark, sf_dir, "fan_out_single_read", True)
-    return _decode_notifications(_split_notes(spark, out))
+    return _decode_notifications(_split_sink(spark, out, True, "notification"))
 
 
 def q_sensor_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,10 +444,100 @@ def q_sensor_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_to_log(records, "sensor_late_data", jobs.track_sensors, keys)
 
 
+def q_late_rows_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arrivals, as told by the reports of their batches: rows read, and late groups dropped.
+
+    An arrival is one run of the job. What is late is dropped after it was aggregated: a group is a
+    sensor and a window.
+    """
+    late = (F.get_json_object("props", "$.k").cast("int") >= 90).cast("int")
+    records = _sensor_arrivals(spark, sf_dir, late)
+    work = scratch_dir(spark, "late_rows_dropped")
+    sink = partial(to_update_log, path=f"{work}/log")
+    common = {"sink": sink, "trigger": AVAILABLE_NOW, "checkpoint": f"{work}/checkpoint"}
+    # Reports are kept of this query's own name.
+    name = work.rpartition("/")[2]
+    with recorded(spark, f"{work}/progress", {name}):
+        _arrive(records, work, partial(jobs.track_sensors, name=name, **common))
+    runs = progress_table(spark, f"{work}/progress").groupBy("run").agg(
+        F.min("batch").alias("first"), F.sum("rows_in").alias("rows_in"), F.sum("dropped").alias("dropped")
+    )
+    # As many rows as arrivals.
+    arrival = (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint")
+    return runs.select(arrival.alias("arrival"), "rows_in", "dropped")
+
+
+def q_sensor_state_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows still in the state when all has arrived: closed ones have left it."""
+    records = _sensor_arrivals(spark, sf_dir)
+    with scaled_state(spark):
+        work = _run_to_work(records, "sensor_state_left", jobs.track_sensors)
+    rows = state_rows(spark, f"{work}/checkpoint")
+    return rows.select(
+        "key.SensorID", "key.window.start", "key.window.end", F.col("value.max").alias("MaxReading")
+    )
+
+
+def q_word_state_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word ever read is in the state: nothing bounds a running count."""
+    texts = tables.table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    work = scratch_dir(spark, "word_state_left")
+    sink = partial(to_update_log, path=f"{work}/log")
+
+    def start(lines: DataFrame) -> StreamingQuery:
+        values = lines.select(F.col("value").cast("string").alias("value"))
+        return jobs.count_words(values, f"{work}/checkpoint", sink, None, AVAILABLE_NOW)
+
+    with scaled_state(spark):
+        _arrive(_by_hash(texts), work, start)
+    rows = state_rows(spark, f"{work}/checkpoint")
+    return rows.select("key.value", F.col("value.count").alias("count"))
+
+
+def q_trade_log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade totals in an update log that is merged into a base after every second batch."""
+    _utc(spark)
+    records = _by_hash(tables.trade_records(tables.table(spark, sf_dir, "events")))
+    keys = ["start", "end"]
+    compacted = {"keys": keys, "compact_every": 2}
+    work = _run_to_work(records, "trade_log_compacted", jobs.total_trades, **compacted)
+    return latest(read_update_log(spark, f"{work}/log"), keys).drop("batch_id")
+
+
+def _while_running(spark: SparkSession, sf_dir: str, name: str, trigger: str | None) -> DataFrame:
+    """Trade totals by a query that keeps running while the slots arrive, and is stopped at the end."""
+    _utc(spark)
+    records = _by_hash(tables.trade_records(tables.table(spark, sf_dir, "events")))
+    work = scratch_dir(spark, name)
+    staged, arrived = f"{work}/staged", f"{work}/arrived"
+    records.write.partitionBy("slot").parquet(staged)
+    fields = spark.read.parquet(staged).drop("slot").schema
+    spark.createDataFrame([], fields).write.parquet(arrived)
+    sink = partial(to_update_log, path=f"{work}/log")
+    stream = replay_records(spark, arrived, BATCH_FILES)
+    query = jobs.total_trades(stream, f"{work}/checkpoint", sink, name=None, trigger=trigger)
+    with running(query):
+        for slot in range(SLOTS):
+            rows = spark.read.schema(fields).parquet(f"{staged}/slot={slot}")
+            rows.write.mode("append").parquet(arrived)
+            catch_up(query)
+    return latest(spark.read.parquet(f"{work}/log"), ["start", "end"])
+
+
+def q_trade_totals_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _while_running(spark, sf_dir, "trade_totals_interval", "1 second")
+
+
+def q_trade_totals_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an interval each batch starts as soon as there is something to read."""
+    return _while_running(spark, sf_dir, "trade_totals_at_once", None)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_count": q_word_count,
     "json_decode": q_json_decode,
     "decode_malformed": q_decode_malformed,
+    "decode_quarantine": q_decode_quarantine,
     "trade_totals": q_trade_totals,
     "sensor_max": q_sensor_max,
     "sensor_max_undated": q_sensor_max_undated,
@@ -442,4 +564,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fan_out_single_read_items": q_fan_out_single_read_items,
     "fan_out_single_read_notifications": q_fan_out_single_read_notifications,
     "sensor_late_data": q_sensor_late_data,
+    "late_rows_dropped": q_late_rows_dropped,
+    "sensor_state_left": q_sensor_state_left,
+    "word_state_left": q_word_state_left,
+    "trade_log_compacted": q_trade_log_compacted,
+    "trade_totals_interval": q_trade_totals_interval,
+    "trade_totals_at_once": q_trade_totals_at_once,
 }

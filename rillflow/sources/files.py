@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql.types import StructType
 
 from rillflow.schemas import RECORD, ddl
 
@@ -27,7 +28,7 @@ def text_lines(
 def json_dir(
     spark: SparkSession,
     path: str,
-    fields: Mapping[str, str] | None = None,
+    fields: Mapping[str, str] | StructType | None = None,
     archive_dir: str | None = None,
     max_files: int | None = None,
     **options: str,
@@ -36,7 +37,7 @@ def json_dir(
 
     Without ``fields`` the schema is inferred from the files already there, which reads all of them
     once more before the stream starts (``samplingRatio`` reads fewer) and fails on an empty
-    directory. ``archive_dir`` receives each file once a later batch has been finished; it must lie
+    directory; ``inference.kept_schema`` reads only the new ones. ``archive_dir`` receives each file once a later batch has been finished; it must lie
     outside ``path``.
     """
     if archive_dir is not None:
@@ -46,7 +47,8 @@ def json_dir(
         options = {**options, "cleanSource": "archive", "sourceArchiveDir": archive_dir}
     reader = _file_stream(spark, max_files, options)
     if fields is not None:
-        return reader.schema(ddl(fields)).json(path)
+        schema = fields if isinstance(fields, StructType) else ddl(fields)
+        return reader.schema(schema).json(path)
     setting = "spark.sql.streaming.schemaInference"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")

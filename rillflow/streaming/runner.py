@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +30,26 @@ def finish(
             query.stop()
 
 
+@contextmanager
+def running(query: StreamingQuery) -> Iterator[StreamingQuery]:
+    """A query without an end of its own, stopped on leaving; its failure raises there."""
+    try:
+        yield query
+    finally:
+        query.stop()
+    failed = query.exception()
+    if failed is not None:
+        raise failed
+
+
+def catch_up(query: StreamingQuery) -> None:
+    """Wait until a running query has done all that its source holds at this moment.
+
+    Raises if the query fails meanwhile. With an interval trigger this takes up to one interval.
+    """
+    query.processAllAvailable()
+
+
 def wait_for_any(spark: SparkSession, timeout: float | None = None) -> bool:
     """Wait until any query of the session ends; raises if it failed. False when time is up."""
     if timeout is None:

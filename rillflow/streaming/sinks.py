@@ -8,6 +8,7 @@ batch as soon as the one before has ended.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from rillflow.sources.kafka import missing_kafka
+from rillflow.streaming import manifests
 
 AVAILABLE_NOW = "available now"
+# The folder of merged batches and their manifests beside the batches of an update log.
+BASES = "_bases"
 
 
 def _writer(
@@ -130,15 +134,78 @@ def to_update_log(
     name: str | None = None,
     trigger: str | None = None,
     mode: str = "update",
+    keys: Iterable[str] | None = None,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Keep what each batch changed, under its ``batch_id``. A repeated batch replaces itself."""
+    """Keep what each batch changed, under its ``batch_id``. A repeated batch replaces itself.
+
+    With ``keys`` and ``compact_every`` the newest row per key is merged into a base after every so
+    many batches, and what the base holds is released: the log then stays as large as its keys and
+    the open batches. Read such a log with ``read_update_log``.
+    """
+    if (keys is None) != (compact_every is None):
+        raise ValueError("a log is compacted by keys and compact_every together")
+    keys = None if keys is None else list(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if keys is not None and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, path, keys, batch_id)
 
     return _writer(df, mode, checkpoint, name, trigger).foreachBatch(write).start()
 
 
+def compact(spark: SparkSession, path: str, keys: Iterable[str], upto: int) -> None:
+    """Merge an update log up to batch ``upto`` into a base.
+
+    The base is written first, a manifest that names it last: until then readers take the old base
+    and all batches after it. What the new base replaces stays until the next one, for readers that
+    have begun.
+    """
+    before = manifests.newest(spark, f"{path}/{BASES}")
+    if before is not None and before["upto"] >= upto:
+        return
+    log = read_update_log(spark, path, upto)
+    columns = [name for name in log.columns if name != "batch_id"]
+    merged = latest(log, keys).select(*columns, F.lit(upto).cast("bigint").alias("batch_id"))
+    merged.write.mode("overwrite").parquet(f"{path}/{BASES}/upto={upto}")
+    manifests.commit(spark, f"{path}/{BASES}", upto, {"upto": upto})
+    if before is None:
+        return
+    for number in _batches(spark, path):
+        if number <= before["upto"]:
+            manifests.remove(spark, f"{path}/batch_id={number}")
+    for folder in manifests.children(spark, f"{path}/{BASES}"):
+        number = folder.removeprefix("upto=")
+        if number.isdigit() and int(number) < before["upto"]:
+            manifests.remove(spark, f"{path}/{BASES}/{folder}")
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    found = (name.removeprefix("batch_id=") for name in manifests.children(spark, path))
+    return sorted(int(number) for number in found if number.isdigit())
+
+
+def read_update_log(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest base of an update log and the batches after it, with ``batch_id``.
+
+    ``upto`` leaves out later batches. Give the result to ``latest``.
+    """
+    base = manifests.newest(spark, f"{path}/{BASES}")
+    done = -1 if base is None else base["upto"]
+    wanted = [n for n in _batches(spark, path) if n > done and (upto is None or n <= upto)]
+    parts = []
+    if base is not None:
+        parts.append(spark.read.parquet(f"{path}/{BASES}/upto={done}"))
+    if wanted:
+        folders = [f"{path}/batch_id={n}" for n in wanted]
+        rows = spark.read.option("basePath", path).parquet(*folders)
+        parts.append(rows.withColumn("batch_id", F.col("batch_id").cast("bigint")))
+    if not parts:
+        raise FileNotFoundError(f"no update log in {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def latest(log: DataFrame, keys: Iterable[str]) -> DataFrame:
     """The newest row per key of an update log read with ``spark.read.parquet``."""
     keys = list(keys)
