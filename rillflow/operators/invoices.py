@@ -17,16 +17,21 @@ PUBLISH_NEEDS = [*PUBLISHED_HEADER, "DeliveryAddress", "InvoiceLineItems"]
 LOYALTY_NEEDS = ["InvoiceNumber", "CustomerCardNo", "TotalAmount"]
 
 
-def _line_items(invoices: DataFrame, header: Iterable[str]) -> DataFrame:
+def _line_items(
+    invoices: DataFrame, header: Iterable[str], record_id: str | None = None
+) -> DataFrame:
     # A missing list explodes like an empty one. Spelt out, because for a bare column Spark adds a
     # filter on its size and pushes that, with the parse of the whole record inside, below a decode.
     items = F.coalesce("InvoiceLineItems", F.array())
     lines = invoices.select(
         *header,
         *(f"DeliveryAddress.{name}" for name in PLACE),
-        F.explode(items).alias("LineItem"),
+        *([] if record_id is None else [record_id]),
+        F.explode(items).alias("LineItem") if record_id is None
+        else F.posexplode(items).alias("LineNumber", "LineItem"),
     )
-    return lines.select(*header, *PLACE, *(f"LineItem.{name}" for name in ITEM))
+    line_id = [] if record_id is None else [F.concat_ws("-", record_id, "LineNumber").alias("LineId")]
+    return lines.select(*header, *PLACE, *(f"LineItem.{name}" for name in ITEM), *line_id)
 
 
 def flatten_invoices(invoices: DataFrame) -> DataFrame:
@@ -34,9 +39,12 @@ def flatten_invoices(invoices: DataFrame) -> DataFrame:
     return _line_items(invoices, FLAT_HEADER)
 
 
-def published_items(invoices: DataFrame) -> DataFrame:
-    """Line items as they are published: with the customer's card, without the payment method."""
-    return _line_items(invoices, PUBLISHED_HEADER)
+def published_items(invoices: DataFrame, record_id: str | None = None) -> DataFrame:
+    """Line items as they are published: with the customer's card, without the payment method.
+
+    ``record_id`` names a column that tells invoice records apart; it adds a ``LineId`` to each item.
+    """
+    return _line_items(invoices, PUBLISHED_HEADER, record_id)
 
 
 def loyalty_notifications(invoices: DataFrame, rate: float = 0.2) -> DataFrame:

@@ -23,6 +23,7 @@ from rillflow.functions.codecs import (
 )
 from rillflow.functions.expressions import with_event_time
 from rillflow.operators.aggregates import prime_rewards, word_count
+from rillflow.operators.delivery import delivered_once
 from rillflow.operators.invoices import (
     FLATTEN_NEEDS,
     LOYALTY_NEEDS,
@@ -32,7 +33,7 @@ from rillflow.operators.invoices import (
     published_items,
 )
 from rillflow.operators.windows import sensor_max, trade_totals
-from rillflow.schemas import INVOICE, PUBLISHED_ITEM, SENSOR, TRADE, avro_schema
+from rillflow.schemas import INVOICE, PUBLISHED_ITEM, PUBLISHED_LINE, SENSOR, TRADE, avro_schema
 from rillflow.sources.files import json_dir
 from rillflow.sources.inference import kept_schema
 from rillflow.streaming.fanout import fan_out, fan_out_single_read
@@ -80,12 +81,21 @@ def notifications(
 
 
 def item_records(
-    records: DataFrame, codec: str = "avro", metric: str = "published_records"
+    records: DataFrame,
+    codec: str = "avro",
+    metric: str = "published_records",
+    line_ids: bool = False,
 ) -> DataFrame:
-    items = published_items(decode_json(records, INVOICE, PUBLISH_NEEDS, metric=metric))
+    """``line_ids`` gives every item a ``LineId``, from its record's content and its place there."""
+    fields = PUBLISHED_LINE if line_ids else PUBLISHED_ITEM
+    if line_ids:
+        records = records.withColumn("RecordId", F.md5("value"))
+    keep = ["RecordId"] if line_ids else []
+    invoices = decode_json(records, INVOICE, PUBLISH_NEEDS, metric=metric, keep=keep)
+    items = published_items(invoices, *keep)
     if codec == "avro":
-        schema = avro_schema(PUBLISHED_ITEM, PUBLISHED_RECORD)
-        return encode_avro(items, "InvoiceNumber", list(PUBLISHED_ITEM), schema)
+        schema = avro_schema(fields, PUBLISHED_RECORD)
+        return encode_avro(items, "InvoiceNumber", list(fields), schema)
     return encode_json(items, "InvoiceNumber")
 
 
@@ -95,13 +105,20 @@ def card_rewards(
     segment: str = "PRIME",
     total_type: str = "double",
     metric: str = "rewarded_records",
+    once_within: str | None = None,
 ) -> DataFrame:
+    """``once_within`` counts an item with a ``LineId`` once, however often it is delivered."""
+    fields = PUBLISHED_ITEM if once_within is None else PUBLISHED_LINE
     if codec == "avro":
         # Avro has no field to skip to: the whole record is read whatever is wanted of it.
-        items = decode_avro(records, avro_schema(PUBLISHED_ITEM, PUBLISHED_RECORD), metric=metric)
+        items = decode_avro(records, avro_schema(fields, PUBLISHED_RECORD), metric=metric)
     else:
         wanted = ["CustomerType", "CustomerCardNo", "TotalValue"]
-        items = decode_json(records, PUBLISHED_ITEM, wanted, metric=metric)
+        wanted += [] if once_within is None else ["CreatedTime", "LineId"]
+        items = decode_json(records, fields, wanted, metric=metric)
+    if once_within is not None:
+        # Other segments need not be remembered.
+        items = delivered_once(items.where(F.col("CustomerType") == segment), once_within)
     return prime_rewards(items, segment, total_type=total_type)
 
 
@@ -227,9 +244,11 @@ def publish_items(
     codec: str = "avro",
     name: str | None = "publish items",
     trigger: str | None = None,
+    line_ids: bool = False,
 ) -> StreamingQuery:
     """Invoice records to one record per line item."""
-    return sink(item_records(records, codec), checkpoint=checkpoint, name=name, trigger=trigger)
+    items = item_records(records, codec, line_ids=line_ids)
+    return sink(items, checkpoint=checkpoint, name=name, trigger=trigger)
 
 
 def reward_cards(
@@ -242,12 +261,14 @@ def reward_cards(
     encode: bool = True,
     name: str | None = "reward cards",
     trigger: str | None = None,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Published items to running totals per card, changed cards each batch.
 
-    ``encode`` makes keyed JSON records of them; a table sink wants the plain columns.
+    ``encode`` makes keyed JSON records of them; a table sink wants the plain columns. A topic is
+    written at least once: with ``once_within`` items published with ``line_ids`` count once.
     """
-    rewards = card_rewards(records, codec, segment, total_type)
+    rewards = card_rewards(records, codec, segment, total_type, once_within=once_within)
     out = encode_json(rewards, "CustomerCardNo") if encode else rewards
     return sink(out, checkpoint=checkpoint, name=name, trigger=trigger)
 

@@ -213,6 +213,7 @@ ORACLES: dict[str, str] = {
     "record_flatten": INVOICE_FLATTEN,
     "loyalty_stream": LOYALTY_NOTIFICATIONS,
     "publish_and_reward": PRIME_REWARDS,
+    "rewards_delivered_once": PRIME_REWARDS,
     "fan_out_counts": FAN_OUT_COUNTS,
     "fan_out_single_read": FAN_OUT_COUNTS,
     "fan_out_items": INVOICE_FLATTEN,

@@ -369,6 +369,36 @@ def q_publish_and_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_json(latest(spark.read.parquet(f"{work}/log"), ["key"]), REWARD)
 
 
+def q_rewards_delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two jobs with every tenth published item delivered twice; it still counts once."""
+    _utc(spark)
+    work = scratch_dir(spark, "rewards_delivered_once")
+    day = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    span = tables.table(spark, sf_dir, "orders").agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    width = (span.b - span.a) // SLOTS + 1
+    slot = F.call_function("div", F.col("CreatedTime") - span.a, F.lit(width)).alias("slot")
+    records = tables.invoice_records(spark, sf_dir, also=[F.coalesce(slot, F.lit(0)).alias("slot")])
+
+    def twice(items: DataFrame, **options: object) -> StreamingQuery:
+        tenth = F.pmod(F.xxhash64("value"), F.lit(10)) == 0
+        copies = F.explode(F.when(tenth, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        delivered = items.select("key", "value", copies.alias("copy")).drop("copy")
+        return to_record_files(delivered, f"{work}/items", **options)
+
+    log = partial(to_update_log, path=f"{work}/log")
+    common = {"codec": "json", "name": None, "trigger": AVAILABLE_NOW}
+    # Slots follow event time, so that within one of them nothing is later than its width.
+    rewarded = {"segment": SEGMENT, "total_type": EXACT, "once_within": f"{width} milliseconds", **common}
+
+    def start(records: DataFrame) -> list[StreamingQuery]:
+        finish(jobs.publish_items(records, f"{work}/publish", twice, line_ids=True, **common))
+        published = replay_records(spark, f"{work}/items", BATCH_FILES)
+        return [jobs.reward_cards(published, f"{work}/reward", log, **rewarded)]
+
+    _arrive(records, work, start)
+    return decode_json(latest(spark.read.parquet(f"{work}/log"), ["key"]), REWARD)
+
+
 def _split(spark: SparkSession, sf_dir: str, name: str, single_read: bool) -> str:
     """Run the fan-out and give the folder that its two sinks are in."""
     work = scratch_dir(spark, name)
@@ -557,6 +587,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_flatten": q_record_flatten,
     "loyalty_stream": q_loyalty_stream,
     "publish_and_reward": q_publish_and_reward,
+    "rewards_delivered_once": q_rewards_delivered_once,
     "fan_out_counts": q_fan_out_counts,
     "fan_out_single_read": q_fan_out_single_read,
     "fan_out_items": q_fan_out_items,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,11 +158,13 @@ def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) ->
 FIRST_PAGE = "first_page"
 
 
-def invoice_records(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """Nested invoices as keyed JSON records, with ``first_page`` beside them."""
+def invoice_records(
+    spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS, also: Sequence[Column] = ()
+) -> DataFrame:
+    """Nested invoices as keyed JSON records, with ``first_page`` and ``also`` beside them."""
     nested = invoices(spark, sf_dir, page_items)
     record = _record(F.col("InvoiceNumber"), *(F.col(name) for name in INVOICE))
-    return nested.select(*record, FIRST_PAGE)
+    return nested.select(*record, FIRST_PAGE, *also)
 
 
 def order_records(orders: DataFrame) -> DataFrame:

@@ -65,6 +65,9 @@ PUBLISHED_ITEM = {
     "TotalValue": "double",
 }
 
+# A published item that can be told from any other, for readers that may see it twice.
+PUBLISHED_LINE = {**PUBLISHED_ITEM, "LineId": "string"}
+
 NOTIFICATION = {
     "CustomerCardNo": "string",
     "TotalAmount": "double",

@@ -69,16 +69,21 @@ def kept_schema(spark: SparkSession, path: str, folder: str, checkpoint: str) ->
     """The schema of a directory of JSON documents, from ``folder`` and the files not read yet.
 
     The first time all files are looked at; later only those that the stream of ``checkpoint`` has
-    not read, which may add fields and widen types but take nothing away. A name that a path cannot
+    not read, which may add fields and widen types but take nothing away. Fields that are null in all
+    of the first files are text, and stay so; in later ones they change nothing. A name that a path cannot
     be matched by is looked at again, which changes nothing. What arrives while a query runs is read
     with the schema it was started with. Raises if there is neither a kept schema nor a file.
     """
     kept = manifests.newest(spark, folder)
     schema = None if kept is None else StructType.fromJson(kept["schema"])
     files = new_files(spark, path, checkpoint)
-    if files:
-        found = spark.read.json(files).schema
-        schema = found if schema is None else widened(schema, found)
+    if files and schema is None:
+        schema = spark.read.json(files).schema
+    elif files and widened(schema, spark.read.json(files).schema) != schema:
+        # A field that is null throughout is taken for text, which would widen any other type: the
+        # new files are looked at once more, without such fields.
+        found = spark.read.option("dropFieldIfAllNull", True).json(files).schema
+        schema = widened(schema, found)
     if schema is None:
         raise FileNotFoundError(f"no JSON documents in {path} to infer a schema from")
     if kept is None or schema.jsonValue() != kept["schema"]:
