@@ -25,13 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import prepare, staged, typed
-from rillflow.session import scratch_dir
 
 # Words of the longest phrase; suffixes are sorted by as many words.
 DEPTH = 4
@@ -84,19 +82,6 @@ def _unpacked(numbers: pa.Scalar, n: int) -> np.ndarray:
     return np.frombuffer(numbers.as_buffer(), _width(n)).astype(np.int32)
 
 
-def _bucketed(rows: DataFrame, name: str) -> DataFrame:
-    """Like ``staged``, in buckets by shard: a join by shard then moves the other side alone."""
-    spark = rows.sparkSession
-    path = scratch_dir(spark, name)
-    table = path.rpartition("/")[2].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
-    found = spark.table(table)
-    # The catalog forgets it at once; the files stay until the session's scratch folder goes.
-    spark.sql(f"drop table {table}")
-    return found
-
-
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``shard, lang, words, counts, text``: ``text`` numbers into ``words``, 0 between pieces.
 
@@ -275,59 +260,54 @@ def longer(ahead: Transform, reverse: Transform, pairs: Phrases) -> Iterator[Phr
         yield four.only(_inside(four.reverse, pairs.reverse, pairs.sizes))
 
 
-_COUNTED = "lang string, phrase string, n_words int, f long"
-
-
-def _phrase_batches(lang: str, vocabulary: pa.Array, phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(phrases.sizes), ROWS):
-        some = phrases.only(slice(i, i + ROWS))
-        texts = [vocabulary.take(pa.array(column)) for column in some.words.T]
-        n = len(some.sizes)
-        columns = [
-            pa.array([lang] * n, pa.string()),
-            pc.binary_join_element_wise(*texts, " "),
-            pa.array(np.full(n, some.words.shape[1], np.int32)),
-            pa.array(some.sizes.astype(np.int64)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "f"])
-
-
 def indexes(texts: DataFrame) -> DataFrame:
-    """``shard, lang, words, ids, ahead, reverse``: the two transforms of every shard.
+    """``shard, ids, ahead, reverse``: the two transforms of every shard.
 
-    ``texts`` has ``shard, lang, words, text, kept``; words whose number ``no`` is not among ``kept``
-    become separators, the others have the ``id`` given there.
+    ``texts`` has ``shard, text, n_words, no, id``; words whose number is not in the list ``no``
+    become separators, the others have the id at the same place of ``id``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, lang, words, text, kept = (batch.column(c)[i] for c in range(5))
-                kept, ids = (column.to_numpy() for column in kept.values.flatten())
+                shard, text, n_words, kept, ids = (batch.column(c)[i] for c in range(5))
+                kept, ids = (column.values.to_numpy() for column in (kept, ids))
                 order = np.argsort(kept)
                 kept, ids = kept[order], np.append(-1, ids[order])
-                renumber = np.zeros(len(words.values), np.int32)
+                renumber = np.zeros(n_words.as_py(), np.int32)
                 renumber[kept] = np.arange(1, len(kept) + 1)
-                text = renumber[_unpacked(text, len(words.values))]
+                text = renumber[_unpacked(text, len(renumber))]
                 # A single separator between pieces is enough.
                 text = text[np.concatenate([[True], (text[1:] > 0) | (text[:-1] > 0)])]
-                vocabulary = pa.concat_arrays([pa.array([""]), words.values.take(pa.array(kept))])
                 transforms = (last_words(text) for text in (text, text[::-1].copy()))
-                columns = [pa.array([shard.as_py()]), pa.array([lang.as_py()])]
-                columns += [_one_list(vocabulary), _one_list(pa.array(ids))]
+                columns = [pa.array([shard.as_py()]), _one_list(pa.array(ids))]
                 columns += [_packed(lasts, len(ids)) for lasts in transforms]
-                names = ["shard", "lang", "words", "ids", "ahead", "reverse"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "ahead", "reverse"])
 
-    schema = (
-        "shard long, lang string, words array<string>, ids array<long>, ahead binary, reverse binary"
-    )
-    rows = texts.select("shard", "lang", "words", "text", "kept")
+    schema = "shard long, ids array<long>, ahead binary, reverse binary"
+    rows = texts.select("shard", "text", "n_words", "no", "id")
     return rows.mapInArrow(typed(run, schema), schema)
 
 
+# The ids of a phrase's words; -1 where it has fewer.
+PLACES = ["one", "two", "three", "four"]
+
+
+def _phrase_batches(ids: np.ndarray, phrases: Phrases, shard: int | None) -> Iterator[pa.RecordBatch]:
+    """Phrases by the ids of their words, a bounded number of rows at a time."""
+    for at in range(0, len(phrases.sizes), ROWS):
+        some = phrases.only(slice(at, at + ROWS))
+        columns = [np.ascontiguousarray(column) for column in ids[some.words].T]
+        columns.append(some.sizes)
+        names = [*PLACES[: some.words.shape[1]], "f"]
+        if shard is not None:
+            columns.append(np.full(len(some.sizes), shard))
+            names.append("shard")
+        yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names)
+
+
 def pairs_of(index: DataFrame) -> DataFrame:
-    """``one, two, f, shard``: each shard's phrases of two words, by the ids of these."""
+    """``one, two, f, shard``: each shard's phrases of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,40 +316,52 @@ def pairs_of(index: DataFrame) -> DataFrame:
                 ids = ids.values.to_numpy()
                 reverse = transform(_unpacked(reverse, len(ids)))
                 pairs = right(reverse, single_words(reverse.lasts))
-                for at in range(0, len(pairs.sizes), ROWS):
-                    some = pairs.only(slice(at, at + ROWS))
-                    columns = [*ids[some.words].T, some.sizes, np.full(len(some.sizes), shard.as_py())]
-                    names = ["one", "two", "f", "shard"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in columns], names)
+                yield from _phrase_batches(ids, pairs, shard.as_py())
 
     schema = "one long, two long, f long, shard long"
     return index.select("shard", "ids", "reverse").mapInArrow(typed(run, schema), schema)
 
 
 def longer_of(index: DataFrame) -> DataFrame:
-    """``lang, phrase, n_words, f``: each shard's phrases of three and four words.
+    """``one, two, three, four, f``: each shard's phrases of three and four words.
 
-    ``index`` has besides the transforms the ids of the ``kept`` pairs, all of which the shard holds.
+    ``index`` has besides the transforms the lists ``one`` and ``two``, ids of the words of the pairs
+    that are kept, all of which the shard holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words, ids, ahead, reverse, kept = (batch.column(c)[i] for c in range(6))
+                ids, ahead, reverse, *kept = (batch.column(c)[i] for c in range(5))
                 ids = ids.values.to_numpy()
                 ahead, reverse = (transform(_unpacked(x, len(ids))) for x in (ahead, reverse))
                 pairs = right(reverse, single_words(reverse.lasts))
                 order = np.argsort(ids)
                 kept = [
-                    order[np.searchsorted(ids, column.to_numpy(), sorter=order)]
-                    for column in kept.values.flatten()
+                    order[np.searchsorted(ids, column.values.to_numpy(), sorter=order)]
+                    for column in kept
                 ]
                 chosen = np.isin(pairs.words @ [len(ids), 1], kept[0] * len(ids) + kept[1])
                 for phrases in longer(ahead, reverse, pairs.only(chosen)):
-                    yield from _phrase_batches(lang.as_py(), words.values, phrases)
+                    # Word 0, the separator, has the id -1.
+                    missing = np.zeros((len(phrases.sizes), len(PLACES) - phrases.words.shape[1]), int)
+                    padded = phrases._replace(words=np.hstack([phrases.words, missing]))
+                    yield from _phrase_batches(ids, padded, None)
+
+    schema = "one long, two long, three long, four long, f long"
+    return index.select("ids", "ahead", "reverse", "one", "two").mapInArrow(typed(run, schema), schema)
+
 
-    rows = index.select("lang", "words", "ids", "ahead", "reverse", "kept")
-    return rows.mapInArrow(typed(run, _COUNTED), _COUNTED)
+def _written(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """``lang, phrase, n_words, f`` of phrases by the ids of their words, joined by spaces."""
+    places = [name for name in PLACES if name in phrases.columns]
+    for name in places:
+        lang = ["lang"] if name == "one" else []
+        word = words.select(*lang, F.col("id").alias(name), F.col("word").alias(f"word_{name}"))
+        phrases = phrases.join(word, name, "left")
+    n = sum((F.col(name) >= 0).cast("int") for name in places)
+    phrase = F.concat_ws(" ", *(f"word_{name}" for name in places))
+    return phrases.select("lang", phrase.alias("phrase"), n.alias("n_words"), "f")
 
 
 def _frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -382,6 +374,15 @@ def _frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
     return places.withColumn("f", total).where(F.col("f") >= least)
 
 
+def _told(places: DataFrame, first: str, second: str) -> DataFrame:
+    """What each shard keeps, as two lists: half as large as one of pairs.
+
+    Both lists take their entries row by row, in the same order.
+    """
+    lists = (F.collect_list(F.col(name).cast("long")).alias(name) for name in (first, second))
+    return places.groupBy("shard").agg(*lists)
+
+
 def count_phrases(
     docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame]:
@@ -393,7 +394,7 @@ def count_phrases(
     """
     spark = docs.sparkSession
     with _single_rows(spark):
-        texts = _bucketed(shards(docs, shard_words), "phrase-shards")
+        texts = staged(shards(docs, shard_words), "phrase-shards")
     sums = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y) - F.col("counts")[0]
     sizes = texts.select("lang", sums.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     numbered = F.posexplode(F.arrays_zip("words", "counts")).alias("no", "of")
@@ -405,22 +406,18 @@ def count_phrases(
     places = staged(_frequent(places, ["lang", "word"], least), "phrase-words")
     words = places.groupBy("lang", "word").agg(F.max("f").alias("f"), F.min("id").alias("id"))
     words = staged(words, "phrase-ids")
-    kept = places.groupBy("shard").agg(F.collect_list(F.struct("no", "id")).alias("kept"))
+    kept = _told(places, "no", "id")
     with _single_rows(spark):
-        index = _bucketed(indexes(texts.join(kept, "shard")), "phrase-index")
+        bare = texts.select("shard", "text", F.size("words").alias("n_words"))
+        index = staged(indexes(bare.join(kept, "shard")), "phrase-index")
         places = staged(_frequent(pairs_of(index), ["one", "two"], least), "phrase-pairs")
-        kept = places.groupBy("shard").agg(F.collect_list(F.struct("one", "two")).alias("kept"))
-        more = longer_of(index.join(kept, "shard")).groupBy("lang", "phrase", "n_words")
-        more = more.agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-        more = staged(more, "phrase-longer")
+        kept = _told(places, "one", "two")
+        more = longer_of(index.join(kept, "shard")).groupBy(*PLACES).agg(F.sum("f").alias("f"))
+        more = staged(more.where(F.col("f") >= least), "phrase-longer")
     pairs = places.groupBy("one", "two").agg(F.max("f").alias("f"))
-    ids = words.select("lang", "word", "id")
-    pairs = pairs.join(ids.select("lang", F.col("word").alias("w1"), F.col("id").alias("one")), "one")
-    pairs = pairs.join(ids.select(F.col("word").alias("w2"), F.col("id").alias("two")), "two")
-    pairs = staged(pairs.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "f"), "phrase-two")
     single = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "f")
-    both = single.unionByName(pairs.withColumn("n_words", F.lit(2)))
-    return both.unionByName(more), sizes
+    both = staged(_written(pairs, words).unionByName(_written(more, words)), "phrase-counts")
+    return single.unionByName(both), sizes
 
 
 def _exact(column: str) -> Column:
