@@ -109,3 +109,22 @@ def test_stages_take_odd_and_no_documents(spark, tmp_path):
             path = str(tmp_path / f"{docs.count()}-{n}")
             done.write.parquet(path)
             docs = spark.read.schema(done.schema).parquet(path)
+
+
+CLASHING = ["__id", "__none", "__hash", "__n", "__row", "__no", "__spans", "__lang", "__score", "__found",
+            "row_no", "fp", "node", "a.b", "extra_0"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"text number {i} with some plain words", "en", "s", 9, *(i * 100 + k for k in range(15)))
+            for i in range(8)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, fields + "".join(f", `{name}` int" for name in CLASHING))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        done = stage(spark, docs, SMALL)
+        assert done.columns == docs.columns
+        done.write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        found = [tuple(row)[5:] for row in docs.collect()]
+        assert found and set(found) <= {row[5:] for row in rows}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(found)
