@@ -1,18 +1,24 @@
 """Embedding near-duplicates by collision counting over one-dimensional projections.
 
-Each vector is projected onto many random lines. Two vectors collide on a line if they lie within a
-window of each other; near vectors collide on most lines, others on few. Pairs with at least as many
-collisions as all but a small share of true pairs have are verified by their cosine. To meet in one
-task without sorting out all pairs, the vectors are cut at the median of one projection after the
-other, each side keeping a margin beyond the cut, until the parts are small; a few independent
-cuttings make up for pairs that a margin misses. Exact copies are one vector with a weight, and a
-part that stays large, as a crowd of near copies does, is compared tile by tile.
+Each vector is projected onto many random lines. On every line the vectors that meet are sorted, and
+those in a window centred on a vector collide with it; near vectors collide on most lines, others on
+few. Pairs with at least as many collisions as all but a small share of true pairs have are verified
+by their cosine.
+
+A window around a vector holds a good part of any line, so whole lines would give pairs without
+number. Vectors therefore meet in cells: a cell is named by which of a few lines its vectors lie
+furthest out on, and on which side, for several groups of lines; and there are several tables of
+cells. Whether a pair shares a cell depends on its cosine alone, not on how many other vectors there
+are or how they are spread, so the number of tables follows from the share of pairs to be found.
+Exact copies are one vector with a weight, and a cell that stays large, as that of a crowd of near
+copies does, is compared tile by tile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import ceil, comb, erf, log, sqrt
 
 import numpy as np
@@ -24,33 +30,34 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import arrow_schema, components, map_batches, prepare, staged
 
 COSINE = 0.95
-# Lines whose collisions are counted, and the share of true pairs their count must keep.
+# Lines whose collisions are counted, and the share of pairs at the least cosine that their count
+# must keep, and that the cells must bring together. The latter holds over all pairs; those of one
+# crowd share their luck, so it is set high enough that hardly any crowd loses one in a hundred.
 LINES = 24
 RECALL = 0.995
-# In units of the distance of two vectors at the least cosine: half the window of a collision, the
-# margin beyond a cut.
+MEETING = 0.999
+# Half the window of a collision, in units of the distance of two vectors at the least cosine.
 WINDOW = 1.5
-MARGIN = 0.75
-CUTTINGS = 2
-# Vectors of a part that is cut no further, and of a tile.
+# Lines of a group, of which the furthest names a vector's part, and most tables of cells: with a
+# cosine so low that more were needed there are fewer groups, and with none one cell for all.
+GROUP = 16
+TABLES = 64
+# Vectors that share a cell when evenly spread, at most, and vectors of a tile.
 PART = 1024
 TILE = 2048
 BLOCK = 512
 SEED = 95
+# Made pairs that tell how often a group of lines names the same part twice.
+TRIALS = 100_000
 
 
 @dataclass(frozen=True)
-class Lines:
-    """Random lines for vectors of one size: those counted on, and one per level of each cutting."""
+class Plan:
+    """How vectors meet: groups of lines that name a cell, tables of cells, least collisions."""
 
-    counted: np.ndarray
-    cut: list[np.ndarray]
-
-
-def lines(size: int, levels: int) -> Lines:
-    made = np.random.default_rng([SEED, size])
-    counted = made.standard_normal((size, LINES))
-    return Lines(counted, [made.standard_normal((size, levels)) for _ in range(CUTTINGS)])
+    groups: int
+    tables: int
+    least: int
 
 
 def distance(cosine: float) -> float:
@@ -72,10 +79,59 @@ def least_collisions(recall: float = RECALL) -> int:
     return 0
 
 
-def levels_for(n: int, cosine: float) -> int:
-    """How often ``n`` evenly spread vectors are cut until a part and its margins hold PART."""
-    kept = 0.5 + min(0.45, MARGIN * distance(cosine) * 0.4)
-    return max(0, ceil(log(max(1, n) / PART) / -log(kept)))
+@cache
+def agreement(cosine: float) -> float:
+    """How often two unit vectors at ``cosine`` lie furthest out on the same side of the same line.
+
+    Their places on a random line are two normal variables with that correlation, whatever their
+    size, so made pairs tell it; three standard errors are taken off.
+    """
+    made = np.random.default_rng([SEED, GROUP])
+    first = made.standard_normal((TRIALS, GROUP))
+    second = cosine * first + sqrt(max(0.0, 1 - cosine * cosine)) * made.standard_normal((TRIALS, GROUP))
+    share = float((_furthest(first) == _furthest(second)).mean())
+    return share - 3 * sqrt(share * (1 - share) / TRIALS)
+
+
+def plan(n: int, cosine: float, exact: bool = False) -> Plan:
+    """For ``n`` vectors: as many groups as make cells of PART, tables for MEETING of the pairs."""
+    if exact:
+        return Plan(0, 1, 0)
+    groups = max(0, ceil(log(max(1, n) / PART) / log(2 * GROUP)))
+    while groups:
+        found = max(0.0, agreement(cosine)) ** groups
+        tables = ceil(log(1 - MEETING) / log(1 - found)) if 0 < found < 1 else TABLES + 1
+        if tables <= TABLES:
+            return Plan(groups, tables, least_collisions())
+        groups -= 1
+    return Plan(0, 1, least_collisions())
+
+
+@cache
+def counted_lines(size: int) -> np.ndarray:
+    return np.random.default_rng([SEED, size]).standard_normal((size, LINES))
+
+
+@cache
+def naming_lines(size: int, groups: int, tables: int) -> np.ndarray:
+    made = np.random.default_rng([SEED, size, groups])
+    return made.standard_normal((size, tables * groups * GROUP))
+
+
+def _furthest(places: np.ndarray) -> np.ndarray:
+    """Along the last axis: the line furthest out, doubled, and one more on its lower side."""
+    line = np.abs(places).argmax(-1)
+    there = np.take_along_axis(places, line[..., None], -1)[..., 0]
+    return 2 * line + (there < 0)
+
+
+def cells_of(units: np.ndarray, how: Plan) -> np.ndarray:
+    """Each unit vector's cell in each table."""
+    if not how.groups:
+        return np.zeros((len(units), how.tables), np.int64)
+    places = units @ naming_lines(units.shape[1], how.groups, how.tables)
+    parts = _furthest(places.reshape(len(units), how.tables, how.groups, GROUP))
+    return parts @ (2 * GROUP) ** np.arange(how.groups, dtype=np.int64)
 
 
 def _unit(vector: list[float | None] | None) -> bytes | None:
@@ -114,98 +170,71 @@ def _by_size(units: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(size), rows, _matrix(units.take(pa.array(rows)))
 
 
-def medians(points: DataFrame, levels: int) -> dict[tuple[int, int, int], float]:
-    """Where each level of each cutting is cut, per size of vector."""
+MEETINGS = "no long, size long, cell long, point long, weight long, cells array<long>, unit binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for size, rows, matrix in _by_size(batch.column(0)):
-                for c, cut in enumerate(lines(size, levels).cut):
-                    n = len(rows) * levels
-                    columns = [
-                        np.full(n, size),
-                        np.full(n, c),
-                        np.tile(np.arange(levels), len(rows)),
-                        (matrix @ cut).ravel(),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in columns], schema=arrow_schema(schema)
-                    )
-
-    schema = "size long, cutting long, level long, place double"
-    rows = points.select("unit").mapInArrow(run, schema).groupBy("size", "cutting", "level")
-    found = rows.agg(F.percentile_approx("place", 0.5, 1000).alias("at")).collect()
-    return {(r.size, r.cutting, r.level): r.at for r in found}
-
-
-PARTS = "cutting long, size long, part long, point long, weight long, masks array<long>, unit binary"
-
-
-def parts(points: DataFrame, levels: int, at: dict, margin: float) -> DataFrame:
-    """A row per vector and part it belongs to. ``masks`` has two numbers per cutting.
 
-    The first has a bit for each level whose lower side the vector belongs to, the second for the
-    upper side; within the margin it belongs to both.
-    """
-    schema = arrow_schema(PARTS)
+def meetings(points: DataFrame, how: Plan) -> DataFrame:
+    """A row per vector and table ``no``: its cell there, and ``cells``, those in all tables."""
+    schema = arrow_schema(MEETINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, rows, matrix in _by_size(batch.column(2)):
-                masks, paths = [], []
-                for c, cut in enumerate(lines(size, levels).cut):
-                    place = matrix @ cut
-                    low = np.zeros(len(rows), np.int64)
-                    high = np.zeros(len(rows), np.int64)
-                    who, path = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-                    for level in range(levels):
-                        off = place[:, level] - at[size, c, level]
-                        below, above = off < margin, off > -margin
-                        below |= ~above
-                        low |= below.astype(np.int64) << level
-                        high |= above.astype(np.int64) << level
-                        up = above[who]
-                        down = below[who]
-                        who = np.concatenate([who[down], who[up]])
-                        path = np.concatenate([path[down], path[up] | 1 << level])
-                    masks += [low, high]
-                    paths.append((who, path))
-                masks = np.stack(masks, 1)
-                for c, (who, path) in enumerate(paths):
-                    for i in range(0, len(who), 4096):
-                        some, own = who[i : i + 4096], path[i : i + 4096]
-                        taken = pa.array(rows[some])
-                        columns = [
-                            pa.array(np.full(len(some), c)),
-                            pa.array(np.full(len(some), size)),
-                            pa.array(own),
-                            batch.column(0).take(taken),
-                            batch.column(1).take(taken),
-                            pa.array(masks[some].tolist(), pa.list_(pa.int64())),
-                            batch.column(2).take(taken),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return points.select("point", "weight", "unit").mapInArrow(run, PARTS)
-
-
-def tiled(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """Parts of more than ``tile`` vectors as pairs of tiles: each vector meets every tile once."""
-    key = ["cutting", "size", "part"]
-    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    placed = rows.join(sizes, key).withColumn(
-        "own", F.pmod(F.xxhash64("point", "part"), F.col("tiles"))
-    )
+                cells = cells_of(matrix, how)
+                point, weight, unit = (batch.column(i).take(pa.array(rows)) for i in range(3))
+                every = pa.array(cells.tolist(), pa.list_(pa.int64()))
+                for no in range(how.tables):
+                    same = [pa.array(np.full(len(rows), x)) for x in (no, size)]
+                    columns = [*same, pa.array(cells[:, no]), point, weight, every, unit]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return points.select("point", "weight", "unit").mapInArrow(run, MEETINGS)
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Cells of more than TILE vectors as pairs of tiles: each vector meets every tile once."""
+    key = ["no", "size", "cell"]
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("point", "no"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     met = placed.select("*", other)
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def _collisions(a: np.ndarray, b: np.ndarray, window: float) -> np.ndarray:
-    """Lines on which each of ``a`` and each of ``b`` lie within a window of each other."""
-    count = np.zeros((len(a), len(b)), np.uint8)
-    for line in range(a.shape[1]):
-        count += np.abs(a[:, line, None] - b[None, :, line]) <= window
+@dataclass(frozen=True)
+class Windows:
+    """Of each query on each line: where its window begins among the sorted others, and its length.
+
+    ``rank`` is where the others stand on each line.
+    """
+
+    rank: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+
+def windows(queries: np.ndarray, others: np.ndarray, half: float) -> Windows:
+    """Sort ``others`` on every line and find the windows centred on ``queries``."""
+    kind = np.uint16 if len(others) < 1 << 16 else np.uint32
+    rank = np.empty((LINES, len(others)), kind)
+    start = np.empty((LINES, len(queries)), kind)
+    length = np.empty((LINES, len(queries)), kind)
+    for line in range(LINES):
+        order = np.argsort(others[:, line])
+        rank[line, order] = np.arange(len(others), dtype=kind)
+        values = others[order, line]
+        start[line] = np.searchsorted(values, queries[:, line] - half, "left")
+        length[line] = np.searchsorted(values, queries[:, line] + half, "right") - start[line]
+    return Windows(rank, start, length)
+
+
+def collisions(found: Windows, rows: slice) -> np.ndarray:
+    """In how many windows of each of the queries ``rows`` each of the others stands."""
+    start, length = found.start[:, rows], found.length[:, rows]
+    count = np.zeros((start.shape[1], found.rank.shape[1]), np.uint8)
+    for line in range(LINES):
+        # Unsigned: a rank before the start of the window becomes a large number.
+        count += found.rank[line][None, :] - start[line][:, None] < length[line][:, None]
     return count
 
 
@@ -227,45 +256,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def link_pairs(met: DataFrame, cosine: float, levels: int) -> DataFrame:
+def link_pairs(met: DataFrame, cosine: float, how: Plan) -> DataFrame:
     """``a, b, n``: what each task found. With b null, ``n`` more links of a; else a link that joins.
 
-    A pair is counted in one place only: in the first cutting that brings it together, on the lower
-    side of each cut that both are below.
+    A pair is counted in one place only: in the first table in which it shares a cell.
     """
-    window = WINDOW * distance(cosine)
-    least = least_collisions()
-    every = (1 << levels) - 1
+    # Rounding must not put a pair on the edge of a window outside it.
+    half = WINDOW * distance(cosine) * (1 + 1e-9) + 1e-9
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        cutting, part = int(group["cutting"].iloc[0]), int(group["part"].iloc[0])
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        no, i, j = (int(group[name].iloc[0]) for name in ("no", "i", "j"))
         unit, own = _matrix(group["unit"]), group["own"].to_numpy()
         point, weight = group["point"].to_numpy(), group["weight"].to_numpy()
-        masks = np.array(group["masks"].tolist(), np.int64).reshape(len(group), -1)
-        place = (unit @ lines(unit.shape[1], levels).counted).astype(np.float32)
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        found_a, found_b = [], []
+        cells = np.array(group["cells"].tolist(), np.int64).reshape(len(group), -1)
+        place = unit @ counted_lines(unit.shape[1])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        seen = windows(place[left], place[right], half)
+        found = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), BLOCK):
-            rows = left[at : at + BLOCK]
-            hit = _collisions(place[rows], place[right], np.float32(window * (1 + 1e-6))) >= least
-            x, y = np.nonzero(hit)
-            x, y = rows[x], right[y]
+            rows = slice(at, at + BLOCK)
+            x, y = np.nonzero(collisions(seen, rows) >= how.least)
+            x, y = left[rows][x], right[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
             for k in range(0, len(x), 1 << 16):
-                some = slice(k, k + (1 << 16))
-                near = np.einsum("ij,ij->i", unit[x[some]], unit[y[some]]) >= cosine
-                found_a.append(x[some][near])
-                found_b.append(y[some][near])
-        a = np.concatenate([*found_a, np.zeros(0, np.int64)]).astype(np.int64)
-        b = np.concatenate([*found_b, np.zeros(0, np.int64)]).astype(np.int64)
-        here = (masks[a, 2 * cutting] & masks[b, 2 * cutting] & part) == 0
-        for c in range(cutting):
-            low = masks[a, 2 * c] & masks[b, 2 * c]
-            here &= (low | masks[a, 2 * c + 1] & masks[b, 2 * c + 1]) != every
-        a, b = a[here], b[here]
+                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                here = (cells[a, :no] != cells[b, :no]).all(1)
+                a, b = a[here], b[here]
+                near = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                found.append(np.stack([a[near], b[near]]))
+        a, b = np.concatenate(found, 1)
         links = np.bincount(a, weight[b], len(point)) + np.bincount(b, weight[a], len(point))
         some = np.flatnonzero(links)
         joins = _forest(point[a], point[b])
@@ -277,32 +297,33 @@ def link_pairs(met: DataFrame, cosine: float, levels: int) -> DataFrame:
             }
         )
 
-    key = ["cutting", "size", "part", "i", "j"]
-    columns = [*key, "own", "point", "weight", "masks", "unit"]
+    key = ["no", "size", "cell", "i", "j"]
+    columns = [*key, "own", "point", "weight", "cells", "unit"]
     return met.select(*columns).groupBy(*key).applyInPandas(compare, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding``.
 
+    At any number of vectors, however spread, at least MEETING times RECALL of the pairs right
+    at ``cosine`` are found, and more of nearer ones; up to PART different vectors all meet. ``exact``
+    lets all vectors meet, whatever the work, and verifies every pair.
+
     ``n_links`` counts the other rows found with at least ``cosine``, ``component_id`` is the
     smallest vec_id reachable over such links, the row's own included. A vector that is null,
     empty, zero or holds a null or a component that is not finite links with nothing, nor do
     vectors of different sizes. Repeated rows are vectors of their own that link. A row without
     vec_id takes part like others; a component without any id is null. ``kept`` is whether both
-    ids are equal, two nulls included.
+    ids are equal, two nulls included. Other columns are not read; an empty table gives no rows.
     """
     prepare(vectors.sparkSession)
     rows = staged(unit_vectors(vectors), "vectors")
     points = rows.where(F.col("unit").isNotNull()).groupBy("unit")
     points = points.agg(F.min("row_no").alias("point"), F.count("*").alias("weight"))
     points = staged(points, "points")
-    n = points.count()
-    levels = levels_for(n, cosine)
-    margin = MARGIN * distance(cosine)
-    cut = medians(points, levels) if levels else {}
-    met = tiled(staged(parts(points, levels, cut, margin), "parts"))
-    found = staged(link_pairs(met, cosine, levels), "pairs")
+    how = plan(points.count(), cosine, exact)
+    met = tiled(staged(meetings(points, how), "meetings"))
+    found = staged(link_pairs(met, cosine, how), "pairs")
     joined = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     classes = points.join(joined, points["point"] == joined["node"], "left")

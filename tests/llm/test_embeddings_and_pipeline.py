@@ -19,29 +19,98 @@ from rillflow.llm import embedding_dedup, queries, simhash, suffix_dedup
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture
-def small_parts(monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PART", 40)
-
-
-def test_links_against_brute_force(spark, small_parts):
+def made_vectors():
     rng = np.random.default_rng(5)
     made = rng.standard_normal((400, 16))
     near = made[:150] + rng.standard_normal((150, 16)) * rng.uniform(0.02, 0.12, (150, 1))
-    crowd = made[0] + rng.standard_normal((60, 16)) * 0.03
-    every = np.concatenate([made, near, crowd, made[:5] * 2])
+    crowd = made[0] + rng.standard_normal((300, 16)) * 0.03
+    return np.concatenate([made, near, crowd, made[:5] * 2])
+
+
+def true_links(vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return unit @ unit.T >= 0.95
+
+
+@pytest.mark.parametrize("part, groups", [(1024, 0), (40, 1), (4, 2)])
+def test_links_against_brute_force(spark, monkeypatch, part, groups):
+    monkeypatch.setattr(embedding_dedup, "PART", part)
+    monkeypatch.setattr(embedding_dedup, "TILE", 100)
+    every = made_vectors()
+    assert embedding_dedup.plan(len(every) - 5, 0.95).groups == groups
     docs = spark.createDataFrame(
         [(i, v.tolist(), i) for i, v in enumerate(every)], "vec_id long, embedding array<double>, node int"
     )
     rows = {r.vec_id: r for r in embedding_dedup.near_duplicates(docs).collect()}
-    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
-    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    true = true_links(every).sum(1) - 1
     found = np.array([rows[i].n_links for i in range(len(every))])
-    assert (found <= true).all() and found.sum() >= 0.95 * true.sum() > 1000
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() > 1000
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows.values())
     assert all(rows[i].component_id <= i for i in rows)
 
 
+def test_exact_links_are_all(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 4)
+    monkeypatch.setattr(embedding_dedup, "TILE", 100)
+    every = made_vectors()
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in embedding_dedup.near_duplicates(docs, exact=True).collect()}
+    true = true_links(every)
+    group = linked_by(true)
+    assert [rows[i].n_links for i in range(len(every))] == (true.sum(1) - 1).tolist()
+    assert [rows[i].component_id for i in range(len(every))] == group
+
+
+def linked_by(true):
+    """The smallest member reachable from each."""
+    group = list(range(len(true)))
+    for start in range(len(true)):
+        todo = [start] if group[start] == start else []
+        while todo:
+            for other in np.flatnonzero(true[todo.pop()]).tolist():
+                if group[other] == other > start:
+                    group[other] = start
+                    todo.append(other)
+    return group
+
+
+def pairs_at(cosine, size, spread, n=2000):
+    """Pairs of unit vectors at one cosine: spread evenly, about one direction, or in a crowd."""
+    rng = np.random.default_rng([9, size])
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    first = unit(rng.standard_normal(size)[None, :] + spread * rng.standard_normal((n, size)))
+    off = rng.standard_normal((n, size))
+    off = unit(off - (off * first).sum(1, keepdims=True) * first)
+    return first, cosine * first + np.sqrt(1 - cosine**2) * off
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
+@pytest.mark.parametrize("size, spread", [(64, 1e6), (64, 1.0), (64, 0.05), (16, 1e6), (768, 1.0)])
+def test_recall_at_the_least_cosine_does_not_fall_with_the_rows(n, size, spread):
+    how = embedding_dedup.plan(n, 0.95)
+    assert how.groups >= 1 and how.tables <= embedding_dedup.TABLES
+    half = embedding_dedup.WINDOW * embedding_dedup.distance(0.95)
+    lines = embedding_dedup.counted_lines(size)
+    for cosine, recall in ((0.95, 0.98), (0.96, 0.99)):
+        first, second = pairs_at(cosine, size, spread)
+        met = (embedding_dedup.cells_of(first, how) == embedding_dedup.cells_of(second, how)).any(1)
+        counted = (np.abs(first @ lines - second @ lines) <= half).sum(1) >= how.least
+        assert (met & counted).mean() >= recall
+
+
+def test_windows_count_as_defined():
+    rng = np.random.default_rng(3)
+    a, b = np.round(rng.standard_normal((2, 70, embedding_dedup.LINES)), 1)
+    seen = embedding_dedup.windows(a, b, 0.45)
+    got = np.concatenate([embedding_dedup.collisions(seen, slice(i, i + 32)) for i in range(0, 70, 32)])
+    assert (got == (np.abs(a[:, None] - b[None]) <= 0.45).sum(2)).all()
+
+
+def test_a_low_cosine_lets_all_meet():
+    assert embedding_dedup.plan(10**6, -0.5).groups == 0
+    assert embedding_dedup.plan(0, 0.95) == embedding_dedup.plan(1000, 0.95)
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [
@@ -73,6 +142,12 @@ def test_queries_match_sql(spark, name):
     assert Counter(tuple(r) for r in got) == expected
 
 
+def test_embeddings_match_sql_when_cut(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 8)
+    assert embedding_dedup.plan(400, 0.95).groups == 2
+    test_queries_match_sql(spark, "op4_embedding_dedup")
+
+
 def test_pipeline_by_hand(spark):
     """All but the languages, which only texts without letters fail, redone in plain Python."""
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
