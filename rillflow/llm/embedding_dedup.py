@@ -38,9 +38,9 @@ RECALL = 0.995
 MEETING = 0.999
 # Half the window of a collision, in units of the distance of two vectors at the least cosine.
 WINDOW = 1.5
-# Lines of a group, of which the furthest names a vector's part, and most tables of cells: with a
-# cosine so low that more were needed there are fewer groups, and with none one cell for all.
-GROUP = 16
+# Most lines of a group, of which the furthest names a vector's part, and most tables of cells: with
+# a cosine so low that more were needed there are fewer groups, and with none one cell for all.
+GROUP = 64
 TABLES = 64
 # Vectors that share a cell when evenly spread, at most, and vectors of a tile.
 PART = 1024
@@ -56,6 +56,7 @@ class Plan:
     """How vectors meet: groups of lines that name a cell, tables of cells, least collisions."""
 
     groups: int
+    lines: int
     tables: int
     least: int
 
@@ -80,31 +81,33 @@ def least_collisions(recall: float = RECALL) -> int:
 
 
 @cache
-def agreement(cosine: float) -> float:
+def agreement(cosine: float, lines: int) -> float:
     """How often two unit vectors at ``cosine`` lie furthest out on the same side of the same line.
 
     Their places on a random line are two normal variables with that correlation, whatever their
     size, so made pairs tell it; three standard errors are taken off.
     """
-    made = np.random.default_rng([SEED, GROUP])
-    first = made.standard_normal((TRIALS, GROUP))
-    second = cosine * first + sqrt(max(0.0, 1 - cosine * cosine)) * made.standard_normal((TRIALS, GROUP))
+    made = np.random.default_rng([SEED, lines])
+    first, other = made.standard_normal((2, TRIALS, lines))
+    second = cosine * first + sqrt(max(0.0, 1 - cosine * cosine)) * other
     share = float((_furthest(first) == _furthest(second)).mean())
     return share - 3 * sqrt(share * (1 - share) / TRIALS)
 
 
 def plan(n: int, cosine: float, exact: bool = False) -> Plan:
-    """For ``n`` vectors: as many groups as make cells of PART, tables for MEETING of the pairs."""
+    """For ``n`` vectors: cells of PART if evenly spread, tables for MEETING of the pairs."""
     if exact:
-        return Plan(0, 1, 0)
-    groups = max(0, ceil(log(max(1, n) / PART) / log(2 * GROUP)))
+        return Plan(0, 0, 1, 0)
+    cells = max(1.0, n / PART)
+    groups = ceil(log(cells) / log(2 * GROUP))
     while groups:
-        found = max(0.0, agreement(cosine)) ** groups
+        lines = min(GROUP, ceil(cells ** (1 / groups) / 2))
+        found = max(0.0, agreement(cosine, lines)) ** groups
         tables = ceil(log(1 - MEETING) / log(1 - found)) if 0 < found < 1 else TABLES + 1
         if tables <= TABLES:
-            return Plan(groups, tables, least_collisions())
+            return Plan(groups, lines, tables, least_collisions())
         groups -= 1
-    return Plan(0, 1, least_collisions())
+    return Plan(0, 0, 1, least_collisions())
 
 
 @cache
@@ -113,9 +116,9 @@ def counted_lines(size: int) -> np.ndarray:
 
 
 @cache
-def naming_lines(size: int, groups: int, tables: int) -> np.ndarray:
-    made = np.random.default_rng([SEED, size, groups])
-    return made.standard_normal((size, tables * groups * GROUP))
+def naming_lines(size: int, how: Plan) -> np.ndarray:
+    made = np.random.default_rng([SEED, size, how.groups])
+    return made.standard_normal((size, how.tables * how.groups * how.lines))
 
 
 def _furthest(places: np.ndarray) -> np.ndarray:
@@ -129,9 +132,9 @@ def cells_of(units: np.ndarray, how: Plan) -> np.ndarray:
     """Each unit vector's cell in each table."""
     if not how.groups:
         return np.zeros((len(units), how.tables), np.int64)
-    places = units @ naming_lines(units.shape[1], how.groups, how.tables)
-    parts = _furthest(places.reshape(len(units), how.tables, how.groups, GROUP))
-    return parts @ (2 * GROUP) ** np.arange(how.groups, dtype=np.int64)
+    places = units @ naming_lines(units.shape[1], how)
+    parts = _furthest(places.reshape(len(units), how.tables, how.groups, how.lines))
+    return parts @ (2 * how.lines) ** np.arange(how.groups, dtype=np.int64)
 
 
 def _unit(vector: list[float | None] | None) -> bytes | None:
@@ -268,7 +271,7 @@ def link_pairs(met: DataFrame, cosine: float, how: Plan) -> DataFrame:
         no, i, j = (int(group[name].iloc[0]) for name in ("no", "i", "j"))
         unit, own = _matrix(group["unit"]), group["own"].to_numpy()
         point, weight = group["point"].to_numpy(), group["weight"].to_numpy()
-        cells = np.array(group["cells"].tolist(), np.int64).reshape(len(group), -1)
+        cells = np.stack(group["cells"].to_numpy())
         place = unit @ counted_lines(unit.shape[1])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         seen = windows(place[left], place[right], half)

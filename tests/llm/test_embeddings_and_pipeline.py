@@ -32,7 +32,7 @@ def true_links(vectors):
     return unit @ unit.T >= 0.95
 
 
-@pytest.mark.parametrize("part, groups", [(1024, 0), (40, 1), (4, 2)])
+@pytest.mark.parametrize("part, groups", [(1024, 0), (40, 1), (2, 2)])
 def test_links_against_brute_force(spark, monkeypatch, part, groups):
     monkeypatch.setattr(embedding_dedup, "PART", part)
     monkeypatch.setattr(embedding_dedup, "TILE", 100)
@@ -143,7 +143,7 @@ def test_queries_match_sql(spark, name):
 
 
 def test_embeddings_match_sql_when_cut(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PART", 8)
+    monkeypatch.setattr(embedding_dedup, "PART", 2)
     assert embedding_dedup.plan(400, 0.95).groups == 2
     test_queries_match_sql(spark, "op4_embedding_dedup")
 
