@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import arrow_schema, map_batches, texts_of
+from rillflow.llm.common import BATCH_ROWS, arrow_schema, map_batches, texts_of
 
 SAMPLES = 64
 # Hex digits of one sample in a fingerprint.
@@ -130,65 +132,109 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return map_batches(texts_of(docs), run, "doc_id long, fingerprint string")
 
 
-def _edges(docs: DataFrame) -> list[int]:
-    """Quantiles of doc_id that cut it into ranges; as many whatever the data."""
-    spark = docs.sparkSession
-    ranges = RANGES_PER_TASK * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, ACCURACY).alias("cuts")).first()
-    return sorted(set(found.cuts or []))
-
-
-def _range_of(ids: pa.Array, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each doc_id, 0 for null, and which are null."""
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    value = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    return np.where(null, 0, np.searchsorted(edges, value, "right")), null
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of (doc_id, hash of the text): an id that many rows have is split by hash.
 
+    From each of ``ids`` on there are as many ranges as ``splits`` says, which rows of that very id
+    share by hash; larger ids go to the last. Rows without id share the first ``nulls`` ranges.
+    """
 
-def _firsts(docs: DataFrame, edges: np.ndarray) -> list[tuple[int, int | None]]:
-    """Smallest doc_id of each range that has rows, null before all others."""
+    ids: np.ndarray
+    splits: np.ndarray
+    nulls: int
+
+    @property
+    def split(self) -> bool:
+        return self.nulls > 1 or bool((self.splits > 1).any())
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        share = hashes.to_numpy(zero_copy_only=False) / 2.0**63
+        starts = np.concatenate([[0], np.cumsum(self.splits)])
+        at = np.searchsorted(self.ids, value, "right")
+        own = np.append(self.ids, 0)[at - 1] == value
+        splits = np.append(self.splits, 1)[at - 1]
+        part = np.where(own, np.minimum(share * splits, splits - 1).astype(np.int64), splits - 1)
+        # What lies below all ids has a range of its own.
+        number = np.where(at > 0, starts[at - 1] + part, -1) + self.nulls + 1
+        first = np.minimum(share * self.nulls, self.nulls - 1).astype(np.int64)
+        return np.where(null, first, number)
+
+
+def _ranges(docs: DataFrame) -> Ranges:
+    """Quantiles of doc_id, as many whatever the data.
+
+    An id that is several of them is split as often, but not into less than a batch of rows.
+    """
+    spark = docs.sparkSession
+    wanted = RANGES_PER_TASK * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / wanted for i in range(1, wanted)]
+    found = docs.agg(
+        F.percentile_approx("doc_id", shares, ACCURACY).alias("cuts"),
+        F.count("*").alias("rows"),
+        F.count("doc_id").alias("ids"),
+    ).first()
+    ids, splits = np.unique(np.array(found.cuts or [], np.int64), return_counts=True)
+    batches = found.rows / wanted / BATCH_ROWS
+    nulls = round(wanted * (found.rows - found.ids) / max(1, found.rows))
+    splits = np.clip(np.ceil(splits * batches).astype(np.int64), 1, splits)
+    return Ranges(ids, splits, max(1, min(nulls, ceil(nulls * batches))))
+
+
+def _firsts(keys: DataFrame, ranges: Ranges) -> list[tuple[int, int | None, int]]:
+    """Each range that has rows, and its smallest doc_id and hash."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        number, null = _range_of(batch.column(0), edges)
-        return {"range_no": number, "doc_id": batch.column(0), "no_id": null}
+        ids, hashes = batch.column(0), batch.column(1)
+        return {"range_no": ranges.of(ids, hashes), "doc_id": ids, "text_hash": hashes}
 
-    rows = map_batches(docs, run, "range_no long, doc_id long, no_id boolean").groupBy("range_no")
-    found = rows.agg(F.min("doc_id").alias("first"), F.max("no_id").alias("no_id")).collect()
-    return sorted(((r.range_no, None if r.no_id else r.first) for r in found), key=lambda r: r[0])
+    rows = map_batches(keys, run, "range_no long, doc_id long, text_hash long").groupBy("range_no")
+    found = rows.agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).collect()
+    return sorted(((r.range_no, *r.first) for r in found), key=lambda r: r[0])
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, range_no, extra`` in order of doc_id within each range of doc_ids.
+    """``doc_id, text, range_no, extra`` in order of doc_id within each range.
 
     Behind each range stand copies of the first rows of the next range with rows (behind the last,
     of the first), marked ``extra``: every document meets its successor in one task, and nothing
-    larger than a batch is held. Null doc_ids come first, repeated ones in order of their texts.
+    larger than a batch is held. Null doc_ids come first. Repeated ones come in order of their
+    texts; if so many rows have one that they fill several ranges, in order of the texts' hashes.
     """
-    ids = texts_of(docs).select("doc_id")
-    edges = np.array(_edges(ids), np.int64)
-    firsts = _firsts(ids, edges)
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
+    plain = texts_of(docs)
+    ranges = _ranges(plain.select("doc_id"))
+    # Without anything to split the first pass over the keys need not read the texts.
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1) if ranges.split else F.lit(0).cast("long")
+    keyed = plain.withColumn("text_hash", hashed)
+    firsts = _firsts(keyed.select("doc_id", "text_hash"), ranges)
+    before = {tuple(first): firsts[k - 1][0] for k, (_, *first) in enumerate(firsts)}
+    heads = pa.array(sorted({first[0] for first in before if first[0] is not None}), pa.int64())
+    has_null = any(first[0] is None for first in before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text", "range_no", "extra"]
-        heads = pa.array(list(before), pa.int64())
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            number = pa.array(_range_of(ids, edges)[0])
-            plain = pa.array(np.zeros(len(ids), bool))
-            yield pa.RecordBatch.from_arrays([ids, text, number, plain], names=names)
-            copied = ids.filter(pc.is_in(ids, heads))
-            if len(copied):
-                target = pa.array([before[i] for i in copied.to_pylist()], pa.int64())
-                again = pa.array(np.ones(len(copied), bool))
-                columns = [copied, text.filter(pc.is_in(ids, heads)), target, again]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, text string, range_no long, extra boolean"
-    order = ["range_no", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = texts_of(docs).mapInArrow(run, schema)
-    return rows.repartition("range_no").sortWithinPartitions(*order)
+            ids, text, hashes = batch.columns
+            same = pa.array(np.zeros(len(ids), bool))
+            number = pa.array(ranges.of(ids, hashes))
+            yield pa.RecordBatch.from_arrays([ids, text, hashes, number, same], schema=wanted)
+            maybe = pc.is_in(ids, heads).fill_null(False)
+            if has_null:
+                maybe = pc.or_(maybe, ids.is_null())
+            rows = zip(*(c.filter(maybe).to_pylist() for c in (ids, text, hashes)))
+            copied = {(i, t, h): before[i, h] for i, t, h in rows if (i, h) in before}
+            if copied:
+                columns = [*zip(*copied), list(copied.values()), [True] * len(copied)]
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, wanted)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
+
+    schema = "doc_id long, text string, text_hash long, range_no long, extra boolean"
+    wanted = arrow_schema(schema)
+    order = ["range_no", "extra", F.col("doc_id").asc_nulls_first(), "text_hash"]
+    rows = keyed.mapInArrow(run, schema).repartition("range_no")
+    rows = rows.sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return rows.select("doc_id", "text", "range_no", "extra")
 
 
 EDITED = (
@@ -209,7 +255,8 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     One row per row of ``docs``, columns as in EDITED; ``near_*`` is the share of equal samples.
     The next document is that with the next doc_id, after the last the first. Null texts count as
     empty, two texts without words are alike. Rows without doc_id come before all others, rows
-    with the same one follow each other in order of their texts.
+    with the same one follow each other, in the order that ``with_neighbours`` gives them. An empty
+    table gives no rows; whole texts are read, whatever their length.
     """
     names = [field.split()[0] for field in EDITED.split(", ")]
 

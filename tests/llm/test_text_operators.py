@@ -312,6 +312,22 @@ def test_edits_of_odd_documents(spark):
     assert fingerprints.compare_edits(no_docs(spark)).count() == 0
 
 
+def test_edits_of_ids_that_a_third_of_all_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BATCH_ROWS", 20)
+    rows = [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, f"text {i} of {i % 7}") for i in range(1500)]
+    docs = spark.createDataFrame(rows + rows[:2] * 40, "doc_id long, text string")
+    ordered = docs.selectExpr("*", "shiftrightunsigned(xxhash64(text), 1) as h").collect()
+    ordered.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    expected = Counter()
+    for i, r in enumerate(ordered):
+        new = fingerprints.edited(r.text, ordered[(i + 1) % len(ordered)].text)
+        expected[r.doc_id, len(r.text), hashlib.sha256(new.encode()).hexdigest()] += 1
+    got = fingerprints.compare_edits(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
+    placed = fingerprints.with_neighbours(docs).groupBy("range_no").count().collect()
+    assert max(r["count"] for r in placed) < len(ordered) / 8
+
+
 # Licenses.
 
 
