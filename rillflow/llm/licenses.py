@@ -1,14 +1,17 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
 A text is reduced to its words. A rule is a regular expression over words, gated by a keyword that
-every match of it holds: only texts with a keyword meet the rules behind it. Detections are word
-intervals; one that lies within another of the same or a better priority is suppressed. The base
-phrases are rules as well, and what they find always stays.
+every match of it holds: only texts with a keyword meet the rules behind it. One pass over a text
+finds the keywords' places; only the words around them go on, so the rules run over stretches of a
+few words however long the text. Detections are word intervals; one that lies within another of the
+same or a better priority is suppressed. The base phrases are rules as well, and what they find
+always stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -45,14 +48,32 @@ class Rule:
         return regex(self.pattern)
 
 
+# What a word may hold, of a text whose letters are not lower-cased yet.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def regex(pattern: str) -> str:
-    """A word pattern over text in which each word has a space of its own on either side."""
+    """A word pattern over text in which each word has a space before it; A-Z count as a-z."""
 
     def one(match: re.Match) -> str:
         part = match.group()
-        return "" if part.isspace() else "(?:" if part == "(" else f" {part} "
+        return "" if part.isspace() else "(?:" if part == "(" else f" {part}"
+
+    return "(?i)" + re.sub(r"[a-z0-9]+|\s+|\(", one, pattern) + f"(?!{_WORD})"
 
-    return re.sub(r"[a-z0-9]+|\s+|\(", one, pattern)
+
+def any_of(texts: set[str]) -> str:
+    """A regular expression for some texts, with what they begin with in common written once."""
+    if texts == {""}:
+        return ""
+    heads: dict[str, set[str]] = {}
+    for text in texts - {""}:
+        heads.setdefault(text[0], set()).add(text[1:])
+    parts = [re.escape(head) + any_of(tails) for head, tails in sorted(heads.items())]
+    if "" not in texts:
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{'|'.join(parts)})?"
 
 
 def _versions(name: str, label: str, versions: str, keyword: str) -> list[Rule]:
@@ -237,42 +258,79 @@ def _rules() -> list[Rule]:
     # Hints of some license or claim.
     for verb in ("licensed", "released", "distributed", "published", "available", "provided"):
         out.append(Rule(f"{verb} under( the| a| an)?( terms of)?", "license-notice", HINT, f"{verb} under"))
-    for sign in ("copyright c", "copyright", "copyrighted", "c copyright"):
+    for sign in ("copyright c", "copyright", "c copyright"):
         out.append(Rule(sign, "copyright", HINT, "copyright"))
+    out.append(Rule("copyrighted", "copyright", HINT, "copyrighted"))
     return list(dict.fromkeys(out))
 
 
 RULES = _rules()
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Stand for one and for many words that are left out.
+_ONE, _MANY = "\x01", "\x02"
+_MANY_WORDS = 64
+_MARK = "\n"
 
 
 def words_text(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased, with one space between them."""
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.trim(F.regexp_replace(lower, _NO_WORD, " "))
+    """Words of a text with one space before each."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _NO_WORD, " "))
+    return F.when(words == "", words).otherwise(F.concat(F.lit(" "), words))
+
 
+def _count(text: Column, sign: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
+def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.transform(F.array(value), function)[0]
 
-def _gate(words: Column, rules: list[Rule]) -> Column:
-    """Whether a text holds any keyword, by the fewest strings that every keyword holds one of."""
-    keys = {r.keyword for r in rules}
-    roots = [r for r in ("licen", "cc", "public", "reserved", "copyright") if any(r in k for k in keys)]
-    rest = sorted(k for k in keys if not any(r in k for r in roots))
-    found = F.lit(False)
-    for part in [*roots, *rest]:
-        found = found | words.contains(part)
-    return found
+
+def _reach(rules: list[Rule]) -> int:
+    """No spelling of any rule has more words."""
+    return max(len(re.findall(r"[a-z0-9]+", rule.pattern)) for rule in rules)
+
+
+def around_keywords(words: Column, rules: list[Rule]) -> Column:
+    """``words`` as far as they lie within reach of a keyword, signs for the rest; null without any.
+
+    Every keyword's place gets a mark in one pass. What stands between two marks keeps as many words
+    at either end as a rule may have, so a match around a keyword keeps all of its words.
+    """
+    keys = any_of({f" {rule.keyword}" for rule in rules})
+    marked = F.regexp_replace(words, f"(?i)(?={keys}(?!{_WORD}))", _MARK)
+    reach = _reach(rules)
+
+    def shortened(part: Column) -> Column:
+        text, gone = part["text"], part["size"] - 2 * reach
+        short = F.concat(
+            F.substring_index(text, " ", reach + 1),
+            F.repeat(F.lit(_MANY), F.floor(gone / _MANY_WORDS).cast("int")),
+            F.repeat(F.lit(_ONE), (gone % _MANY_WORDS).cast("int")),
+            F.lit(" "),
+            F.substring_index(text, " ", -reach),
+        )
+        return F.when(gone > 0, short).otherwise(text)
+
+    def kept(text: Column) -> Column:
+        parts = F.transform(
+            F.split(text, _MARK), lambda p: F.struct(p.alias("text"), _count(p, " ").alias("size"))
+        )
+        return F.when(F.contains(text, F.lit(_MARK)), F.array_join(F.transform(parts, shortened), ""))
+
+    return _bound(marked, kept)
+
+
+def _size(text: Column) -> Column:
+    """Words of a part of ``around_keywords``, those left out included."""
+    return _count(text, " ") + _count(text, _ONE) + _count(text, _MANY) * _MANY_WORDS
 
 
 def detections(marked: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``row_no, rule, start, end`` and the rule's columns: every match of every rule, in words.
 
-    ``marked`` has ``row_no`` and ``padded``, the words with a space on either side of each.
+    ``marked`` has ``row_no`` and ``near``, the words around keywords.
     """
     spark = marked.sparkSession
     table = spark.createDataFrame(
@@ -283,28 +341,21 @@ def detections(marked: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         "rule int, keyword string, regex string, label string, priority int, base boolean, weight double",
     )
     keys = [F.lit(k) for k in sorted({r.keyword for r in rules})]
-    plain = F.replace(F.col("padded"), F.lit("  "), F.lit(" "))
-    held = F.filter(F.array(*keys), lambda k: F.contains(plain, k))
+    near = F.lower("near")
+    held = _bound(near, lambda text: F.filter(F.array(*keys), lambda k: F.contains(text, k)))
     # The rules are as many as are written above, whatever the data.
-    met = marked.select("row_no", "padded", F.explode(held).alias("keyword")).join(
-        F.broadcast(table), "keyword"
-    )
-    matches = F.expr("regexp_extract_all(padded, regex, 0)")
-    gaps = F.expr("split(padded, regex, -1)")
-    hits = met.where(F.expr("padded rlike regex")).select(
-        "row_no", "rule", F.posexplode(F.arrays_zip(gaps.alias("gap"), matches.alias("match")))
+    met = marked.select("row_no", "near", F.explode(held).alias("keyword")).join(
+        F.broadcast(table.select("rule", "keyword", "regex")), "keyword"
     )
-    sized = hits.where("col.match is not null").select(
-        "row_no",
-        "rule",
-        "pos",
-        (_spaces(F.col("col.gap")) / 2).cast("long").alias("before"),
-        (_spaces(F.col("col.match")) / 2).cast("long").alias("size"),
+    # One search per rule: gaps and matches in turn, a gap first; nothing without a match.
+    cut = F.regexp_replace("near", F.col("regex"), F.lit(f"{_MARK}$0{_MARK}"))
+    parts = _bound(cut, lambda text: F.when(F.contains(text, F.lit(_MARK)), F.split(text, _MARK)))
+    sized = met.select("row_no", "rule", F.posexplode(parts).alias("pos", "part")).select(
+        "row_no", "rule", "pos", _size(F.col("part")).cast("long").alias("size")
     )
     so_far = Window.partitionBy("row_no", "rule").orderBy("pos")
     so_far = so_far.rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("before") + F.col("size")).over(so_far).alias("end")
-    placed = sized.select("row_no", "rule", "size", end)
+    placed = sized.withColumn("end", F.sum("size").over(so_far)).where("pos % 2 = 1")
     placed = placed.select("row_no", "rule", (F.col("end") - F.col("size")).alias("start"), "end")
     rules_only = table.select("rule", "label", "priority", "base", "weight")
     return placed.join(F.broadcast(rules_only), "rule")
@@ -334,20 +385,19 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     ``n_base`` counts the places of base phrases, ``first_word`` and ``last_word`` are their
     smallest and largest first words (null without any), ``labels`` holds those of the base and of
     the kept detections, ``score`` is the weight of the surest of them, 0 without any. A null text
-    counts as empty; repeated rows and rows without doc_id are documents of their own.
+    counts as empty; repeated rows and rows without doc_id are documents of their own; an empty table
+    gives none. Very long texts are scanned whole. Of equal intervals the better priority stays, then
+    the earlier rule.
     """
     words = docs.select("doc_id", words_text(F.col("text")).alias("words"))
     words = words.select(
         F.monotonically_increasing_id().alias("row_no"),
         "doc_id",
-        F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words"),
-        F.when(
-            _gate(F.col("words"), rules),
-            F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" ")),
-        ).alias("padded"),
+        _count(F.col("words"), " ").cast("long").alias("n_words"),
+        around_keywords(F.col("words"), rules).alias("near"),
     )
     rows = staged(words, "license-words")
-    marked = rows.where(F.col("padded").isNotNull()).select("row_no", "padded")
+    marked = rows.where(F.col("near").isNotNull()).select("row_no", "near")
     found = resolved(detections(marked, rules))
     stays = F.col("kept") | F.col("base")
     start = F.when(F.col("base"), F.col("start"))
