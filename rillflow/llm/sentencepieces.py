@@ -2,8 +2,8 @@
 
 Normalisation walks the text once: at each place the longest prefix known to the model's compiled
 character map is replaced, any other character stays, and white space becomes the space symbol.
-Every byte of the result remembers the original bytes it came from, so that each piece is projected
-to a span of the original text. Merges never cross the start of a word, since no piece holds a space
+Every byte of the result remembers the original byte it came from, so that each piece is projected
+to a span of the original text: ids, spans and decoded texts all come from this one way. Merges never cross the start of a word, since no piece holds a space
 symbol after another character; words are therefore encoded one by one and remembered.
 """
 
@@ -13,7 +13,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -96,18 +96,13 @@ class PieceEncoder:
             raise ValueError("only BPE models with byte fallback and space-led pieces are known")
         self.line_apart = not any("\n" in n for n in self.id_of)
         self.room = cache_words
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, str, int, str]] = {}
+        # Ids of words seen, four bytes each.
+        self.known: dict[str, bytes] = {}
         self.raw = [self._raw(i) for i in range(len(pieces))]
+        self.id_texts = [str(i) for i in range(len(pieces))]
+        sizes = [1 if k == BYTE else len(n.encode()) for n, k in zip(self.names, self.kinds)]
+        self.sizes = np.array(sizes, np.int64)
         self._fast_merges()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known.clear()
-        self.counts: list[int] = []
-        self.id_texts: list[str] = []
-        self.sizes: list[bytes] = []
-        self.decoded: list[str] = []
 
     def _fast_merges(self) -> None:
         """Merge ranks of pieces of common characters, each written as one byte."""
@@ -123,21 +118,16 @@ class PieceEncoder:
         for name in merged:
             ranks["".join(code[c] for c in name).encode()] = len(ids)
             ids.append(self.id_of[name])
-        self.fast_ids = ids
+        self.fast_ids = np.array(ids, "<u4")
         # A mark between words comes out as a token of its own.
         self.fast = tiktoken.Encoding(
             "pieces", pat_str=f"[^{MARK}]+|{MARK}", mergeable_ranks=ranks, special_tokens={}
         )
-        self.fast_text = [str(i) for i in ids]
-        self.fast_raw = [self.raw[i] for i in ids]
         self.fast_code = str.maketrans({c: own for c, own in code.items() if c != own})
         self.is_fast = re.compile(f"[{re.escape(''.join(code))}]+")
 
     def _merge(self, word: str) -> list[int]:
         """Best-scored merges first, the leftmost of equals, as ids; unknown characters as bytes."""
-        if self.is_fast.fullmatch(word):
-            ranks = self.fast.encode_ordinary(word.translate(self.fast_code))
-            return [self.fast_ids[r] for r in ranks]
         text: list[str | None] = list(word)
         after = list(range(1, len(text) + 1))
         before = list(range(-1, len(text) - 1))
@@ -170,60 +160,59 @@ class PieceEncoder:
                 ids += [self.byte_id[b] for b in part.encode()]
         return ids
 
-    def _piece_sizes(self, ids: Iterable[int]) -> list[int]:
-        """Bytes of the normalised text each piece covers."""
-        return [1 if self.kinds[i] == BYTE else len(self.names[i].encode()) for i in ids]
-
-    def _learn(self, word: str) -> int:
-        ids = self._merge(word)
-        self.known[word] = len(self.counts)
-        self.counts.append(len(ids))
-        self.id_texts.append(",".join(map(str, ids)))
-        self.sizes.append(np.array(self._piece_sizes(ids), "<u4").tobytes())
-        self.decoded.append(_lenient(bytearray(b"".join(map(self.raw.__getitem__, ids)))))
-        return len(self.counts) - 1
-
-    def normalize(self, text: str) -> tuple[str, np.ndarray | None]:
-        """The normalised text, and for each of its bytes and its end the original byte.
-
-        None stands for the plain alignment of a text whose only change is the space symbol.
-        """
-        if not text:
-            return "", None
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words: those of common characters in one call, others one by one."""
+        quick = [word for word in words if self.is_fast.fullmatch(word)]
+        ranks = np.array(self.fast.encode_ordinary(MARK.join(quick).translate(self.fast_code)), np.int64)
+        merged = self.fast_ids[ranks].tobytes()
+        ends = np.append(np.flatnonzero(ranks == ord(MARK)), len(ranks)).tolist()
+        start = 0
+        for word, end in zip(quick, ends):
+            self.known[word] = merged[4 * start : 4 * end]
+            start = end + 1
+        for word in words:
+            if word not in self.known:
+                self.known[word] = np.array(self._merge(word), "<u4").tobytes()
+
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its bytes and its end the original byte."""
+        raw, sign = text.encode(), SPACE.encode()
+        if not raw:
+            return "", np.zeros(1, np.int64)
         if not self.charmap.units and not self.squeeze:
-            return self.prefix + text.replace(" ", SPACE), None
-        raw, out, source, at = text.encode(), bytearray(), [], 0
-        sign = SPACE.encode()
-        parts = []
+            grown = np.ones(len(raw) + 1, np.int64)
+            grown[:-1][np.frombuffer(raw, np.uint8) == 0x20] = len(sign)
+            grown[0] += len(self.prefix.encode())
+            return self.prefix + text.replace(" ", SPACE), np.repeat(np.arange(len(raw) + 1), grown)
+        parts, at = [], 0
         while at < len(raw):
             size, value = self.charmap.longest(raw, at)
             if not size:
                 lead = raw[at]
                 size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
                 value = raw[at : at + size]
-            parts.append((value, at, at + size))
+            parts.append((value, at))
             at += size
-        space_before = self.squeeze
-        begun = False
-        end = len(raw)
-        for value, start, _ in parts:
-            if self.squeeze and space_before:
+        if self.squeeze:
+            head = next((i for i, (value, _) in enumerate(parts) if value != b" "), len(parts))
+            parts = parts[head:]
+            if not parts:
+                return "", np.zeros(1, np.int64)
+        out = bytearray(self.prefix.encode())
+        source = [parts[0][1]] * len(out)
+        end, after_space = len(raw), self.squeeze
+        for value, start in parts:
+            if after_space:
                 value = value.lstrip(b" ")
-            if value and not begun:
-                begun = True
-                out += self.prefix.encode()
-                source += [start] * len(self.prefix.encode())
-            for byte in value:
-                piece = sign if byte == 0x20 else bytes([byte])
-                out += piece
-                source += [start] * len(piece)
             if value:
-                space_before = value.endswith(b" ")
-        if self.squeeze:
-            while out.endswith(sign):
-                del out[-len(sign) :]
-                end = source[len(out)]
-                del source[len(out) :]
+                after_space = self.squeeze and value.endswith(b" ")
+            value = value.replace(b" ", sign)
+            out += value
+            source += [start] * len(value)
+        while self.squeeze and out.endswith(sign):
+            del out[-len(sign) :]
+            end = source[len(out)]
+            del source[len(out) :]
         return out.decode(), np.array([*source, end], np.int64)
 
     def _words(self, normal: str) -> list[str]:
@@ -232,50 +221,26 @@ class PieceEncoder:
             return re.findall(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", normal)
         return re.findall(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", normal)
 
-    def _numbers(self, normal: str) -> list[int]:
+    def _ids(self, normal: str) -> np.ndarray:
         words = self._words(normal)
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) + len(words) > self.room:
-                self._forget()
-            for word in words:
-                if word not in self.known:
-                    self._learn(word)
-            found = list(map(self.known.__getitem__, words))
-        return found
+            new = [word for word, ids in zip(words, found) if ids is None]
+            if len(self.known) + len(new) > self.room:
+                self.known.clear()
+                new = words
+            self._learn(list(dict.fromkeys(new)))
+            found = map(self.known.__getitem__, words)
+        return np.frombuffer(b"".join(found), "<u4")
 
     def encode(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """Ids, and the original byte span ``[start, end)`` of each: one row per id."""
-        normal, aligned = self.normalize(text or "")
-        found = self._numbers(normal)
-        ids = [int(i) for n in found if self.id_texts[n] for i in self.id_texts[n].split(",")]
-        return ids, self._spans(text or "", normal, aligned, found)
-
-    def _spans(
-        self, text: str, normal: str, aligned: np.ndarray | None, found: list[int]
-    ) -> np.ndarray:
-        sizes = np.frombuffer(b"".join(map(self.sizes.__getitem__, found)), "<u4")
-        edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        if aligned is None:
-            edges = self._plain_edges(text, normal, edges)
-        else:
-            edges = aligned[edges]
-        return np.stack([edges[:-1], edges[1:]], 1)
-
-    def _plain_edges(self, text: str, normal: str, edges: np.ndarray) -> np.ndarray:
-        """Original bytes at bytes of the normalised text, where only spaces have grown.
-
-        A space symbol that stands for a space covers one original byte instead of three, and the
-        added first one covers none.
-        """
-        raw = np.frombuffer((self.prefix + text).encode(), np.uint8)
-        lead = len(self.prefix.encode())
-        grown = np.ones(len(raw), np.int64)
-        grown[lead:][raw[lead:] == 0x20] = len(SPACE.encode())
-        if len(raw) == 0:
-            return np.zeros_like(edges)
-        ends = np.cumsum(grown)
-        return np.maximum(np.searchsorted(ends, edges, "right") - lead, 0)
+        normal, source = self.normalize(text or "")
+        ids = self._ids(normal)
+        edges = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.sizes[ids], out=edges[1:])
+        edges = source[edges]
+        return ids.tolist(), np.stack([edges[:-1], edges[1:]], 1)
 
     def _raw(self, i: int) -> bytes:
         """Bytes that an id adds to the decoded text, wherever it stands."""
@@ -288,102 +253,37 @@ class PieceEncoder:
         return self.names[i].replace(SPACE, " ").encode()
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids: byte pieces joined to UTF-8, the added first space taken off."""
-        out = bytearray()
-        first = True
-        for i in ids:
-            if self.kinds[i] == CONTROL:
-                continue
-            raw = self.raw[i]
-            if first and self.prefix and self.kinds[i] == NORMAL and raw.startswith(b" "):
-                raw = raw[1:]
-            out += raw
-            first = False
-        return _lenient(out)
-
-    def _learn_parts(self, parts: Iterable[str]) -> None:
-        """Number of ids, their text, the original bytes and the decoded text of parts of a text.
+        """Text of ids: byte pieces joined to UTF-8, the added first space taken off.
 
-        Parts stand between single spaces and hold whole characters, so each is decoded by itself.
-
-        A part that begins with a line break stands right behind the part before it.
-        """
-        words, quick = [], []
-        for part in parts:
-            broken = part[0] == "\n"
-            own = [w for w in ("\n", part[1:]) if w] if broken else [SPACE + part]
-            words.append((part, own))
-            quick += [w for w in own if self.is_fast.fullmatch(w)]
-        ranks = self.fast.encode_ordinary(MARK.join(quick).translate(self.fast_code))
-        merged = _runs(ranks, ord(MARK))
-        for part, own in words:
-            ids: list[str] = []
-            raw = bytearray()
-            for word in own:
-                if self.is_fast.fullmatch(word):
-                    found = next(merged)
-                    ids += map(self.fast_text.__getitem__, found)
-                    raw += b"".join(map(self.fast_raw.__getitem__, found))
-                else:
-                    slow = self._merge(word)
-                    ids += map(str, slow)
-                    raw += b"".join(map(self.raw.__getitem__, slow))
-            size = len(part.encode()) + (part[0] != "\n")
-            self.parts[part] = len(ids), ",".join(ids), size, _lenient(raw)
-
-    def digest(self, text: str | None) -> tuple[int, str, str, int]:
-        """Number of ids, SHA-256 of the ids and of the decoded text, end of the last piece's span.
-
-        The decoded text is put together from the decoded ids of each word; the added first space
-        is taken off.
+        Models that squeeze white space also lose single spaces in front of the first other piece.
         """
-        text = text or ""
-        spaced = text.replace("\n", " \n") if self.line_apart else text
-        plain = not self.charmap.units and not self.squeeze and self.prefix and SPACE not in text
-        if plain and spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-            parts = spaced.split(" ")
-            found = list(map(self.parts.get, parts))
-            if None in found:
-                new = [part for part, own in zip(parts, found) if own is None]
-                if len(self.parts) + len(new) > self.room:
-                    self.parts.clear()
-                    new = parts
-                self._learn_parts(dict.fromkeys(new))
-                found = map(self.parts.__getitem__, parts)
-            counts, ids, sizes, decoded = zip(*found)
-            return sum(counts), _sha(",".join(ids)), _sha("".join(decoded)[1:]), sum(sizes) - 1
-        normal, aligned = self.normalize(text)
-        found = self._numbers(normal)
-        spans = self._spans(text, normal, aligned, found)
-        decoded = "".join(map(self.decoded.__getitem__, found))
-        if self.prefix and decoded.startswith(" "):
-            decoded = decoded[1:]
+        ids = list(ids)
+        out = b"".join(map(self.raw.__getitem__, ids))
+        lead = 0
+        for i in ids if self.prefix or self.squeeze else ():
+            if self.kinds[i] != CONTROL:
+                lead += self.kinds[i] == NORMAL and self.raw[i].startswith(b" ")
+                if not self.squeeze or self.raw[i] != b" ":
+                    break
+        return _lenient(out[lead:])
+
+    def digest(self, text: str | None) -> tuple[int, str, str, int, str]:
+        """Number of ids, SHA-256 of ids and decoded ids, end of the last span, SHA-256 of spans."""
+        ids, spans = self.encode(text)
         return (
-            sum(map(self.counts.__getitem__, found)),
-            _sha(",".join(map(self.id_texts.__getitem__, found))),
-            _sha(decoded),
+            len(ids),
+            _sha(",".join(map(self.id_texts.__getitem__, ids)).encode()),
+            _sha(self.decode(ids).encode()),
             int(spans[-1, 1]) if len(spans) else 0,
+            _sha(spans.astype("<i8").tobytes()),
         )
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def _runs(ranks: list[int], mark: int) -> Iterator[list[int]]:
-    """The stretches between marks."""
-    at = 0
-    while True:
-        try:
-            stop = ranks.index(mark, at)
-        except ValueError:
-            yield ranks[at:]
-            return
-        yield ranks[at:stop]
-        at = stop + 1
+def _sha(value: bytes) -> str:
+    return hashlib.sha256(value).hexdigest()
 
 
-def _lenient(raw: bytearray) -> str:
+def _lenient(raw: bytes) -> str:
     """UTF-8 text; each byte that fits no character becomes U+FFFD."""
     out, at = [], 0
     while at < len(raw):
@@ -432,19 +332,22 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes`` per row.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, spans_sha256`` per row.
 
-    ``covered_bytes`` is the end of the last piece's span in the original text. A null text counts
-    as empty.
+    ``covered_bytes`` is the end of the last piece's span in the original text; ``spans_sha256`` is
+    taken over start and end of every piece as signed little-endian 64-bit numbers. A null text
+    counts as empty; repeated rows give equal rows, an empty table none; texts of any length are
+    encoded whole.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = [_encoder(model).digest(t) for t in batch.column(1).to_pylist()]
-        names = ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
+        names = ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256")
         columns = dict(zip(names, zip(*found))) if found else dict.fromkeys(names, [])
         return {"doc_id": batch.column(0)} | columns
 
     schema = (
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, "
+        "spans_sha256 string"
     )
     return map_batches(texts_of(docs), run, schema)

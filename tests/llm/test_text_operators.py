@@ -513,6 +513,15 @@ def test_digests_of_odd_documents(spark, library):
 
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
     assert got == Counter((r.doc_id, *expected(r.text)) for r in docs.union(more).collect())
+    encoder = sentencepieces.PieceEncoder(PIECES)
+    for r in rows:
+        assert r.covered_bytes >= 0 and len(r.spans_sha256) == 64
+    by_id = {r.doc_id: r for r in rows if r.doc_id and r.doc_id >= 100}
+    for i, s in enumerate(STRINGS):
+        spans = encoder.encode(s)[1]
+        flat = np.array(spans, "<i8").tobytes()
+        assert by_id[100 + i].spans_sha256 == hashlib.sha256(flat).hexdigest()
+        assert by_id[100 + i].covered_bytes == len(s.encode())
     encoded = sentencepieces.encode(more, PIECES)
     back = {r.doc_id: r.text for r in sentencepieces.decode(encoded, PIECES).collect()}
     assert all(back[100 + i] == s.replace("▁", " ") for i, s in enumerate(STRINGS))
@@ -534,6 +543,38 @@ def test_compiled_character_maps():
     assert charmap.longest(b"plain", 0)[0] == 0
 
 
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nmt_nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_encoding_through_a_character_map(tmp_path, spark, rule, squeeze, prefix):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, rules = (sentencepiece_model_pb2.ModelProto() for _ in range(2))
+    model.ParseFromString(open(PIECES, "rb").read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    model.normalizer_spec.add_dummy_prefix = prefix
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    encoder = sentencepieces.PieceEncoder(str(path))
+    pick = random.Random(7)
+    odd = ["ﬁ", "①", "Ａ", "ｶﾞ", "½", " ", "  ", "\u3000", "\n", "\t", "\x01", "é", "e\u0301", "İ", "ß", "▁",
+           "a", "the", "ﷺ", "🙂", "㍿", "\u200b", "\xa0", "x1"]
+    texts = STRINGS + ["".join(pick.choices(odd, k=pick.randint(1, 30))) for _ in range(1500)]
+    texts += [t for t in list(corpus(spark).values())[:10] if t]
+    for text in texts:
+        ids, spans = encoder.encode(text)
+        assert ids == library.encode(text), text
+        assert encoder.decode(ids) == library.decode(ids), text
+        proto = library.encode(text, return_type="proto").pieces
+        # The library gives all bytes of a character that is spelt in bytes the last one's span.
+        for span, piece in zip(spans.tolist(), proto):
+            if not re.fullmatch("<0x..>", piece.piece):
+                assert span == [piece.begin, piece.end], (text, piece.piece)
+
+
 # Languages.
 
 
