@@ -2,10 +2,12 @@
 
 A batch of changes becomes additive totals by source, language and tokenizer version: an insert
 adds a document and its tokens, a delete takes them off, a revision takes off the old count and adds
-the new one. A batch is committed by writing its totals under its own id; committing it again
-replaces them by the same, so a repeated or half-finished commit changes nothing. Totals are the sum
-over all committed batches, or over a compacted snapshot and the batches after it. Batches are
-numbered from 0 and may come in any order; a snapshot ends before the first number still missing.
+the new one. A batch is committed by writing its totals into a folder of the attempt's own; of a
+batch's folders the newest that was written to its end counts. So a repeated commit changes nothing,
+and one that is lost half-way, by its tasks or by the driver, leaves what was committed before.
+Totals are the sum over all committed batches, or over a compacted snapshot and the batches after
+it. Batches are numbered from 0 and may come in any order; a snapshot ends before the first number
+still missing.
 """
 
 from __future__ import annotations
@@ -74,59 +76,76 @@ def rolled_up(deltas: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Totals under ``path``: a folder per committed batch and one per compacted snapshot."""
+    """Totals under ``path``: folders ``batch-<number>-<attempt>`` and ``snapshot-<number>-<attempt>``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._hadoop(self.path).getFileSystem(configuration)
+
+    def _attempts(self, kind: str) -> dict[int, list[int]]:
+        """Attempts at each number, finished or not."""
+        root, found = self._hadoop(self.path), {}
+        for status in self._files.listStatus(root) if self._files.exists(root) else []:
+            name, *numbers = status.getPath().getName().split("-")
+            if name == kind:
+                found.setdefault(int(numbers[0]), []).append(int(numbers[1]))
+        return found
+
+    def _done(self, kind: str) -> dict[int, str]:
+        """For each number the folder of its newest attempt that was written to the end."""
+        out = {}
+        for number, attempts in self._attempts(kind).items():
+            for attempt in sorted(attempts, reverse=True):
+                folder = f"{self.path}/{kind}-{number}-{attempt}"
+                if self._files.exists(self._hadoop(f"{folder}/_SUCCESS")):
+                    out[number] = folder
+                    break
+        return out
 
-    def _children(self, prefix: str) -> list[int]:
-        """Numbers of the folders ``<prefix><n>`` that were written to the end."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [f.getPath().getName() for f in files.listStatus(root)]
-        done = jvm.org.apache.hadoop.fs.Path
-        return sorted(
-            int(n.removeprefix(prefix))
-            for n in names
-            if n.startswith(prefix) and files.exists(done(f"{self.path}/{n}/_SUCCESS"))
-        )
+    def _write(self, kind: str, number: int, sums: DataFrame) -> None:
+        attempt = max(self._attempts(kind).get(number, []), default=-1) + 1
+        sums.write.parquet(f"{self.path}/{kind}-{number}-{attempt}")
 
     def commit(self, batch_id: int, deltas: DataFrame) -> None:
         """Add a batch; the same batch again replaces itself. Batches that a snapshot holds stay out."""
         if batch_id < 0:
             raise ValueError("batches are numbered from 0")
-        if batch_id <= self._snapshot():
-            return
-        rolled_up(deltas).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
-
-    def _snapshot(self) -> int:
-        return max(self._children("snapshot-"), default=-1)
+        if batch_id > max(self._done("snapshot"), default=-1):
+            self._write("batch", batch_id, rolled_up(deltas))
 
     def totals(self) -> DataFrame:
         """TOTALS over everything committed; empty if nothing is."""
-        snapshot = self._snapshot()
-        return self._sum(snapshot, [n for n in self._children("batch-") if n > snapshot])
+        snapshots, batches = self._done("snapshot"), self._done("batch")
+        last = max(snapshots, default=-1)
+        held = [snapshots[last]] if snapshots else []
+        return self._sum(held + [folder for n, folder in batches.items() if n > last])
 
-    def _sum(self, snapshot: int, batches: list[int]) -> DataFrame:
-        paths = [f"{self.path}/snapshot-{snapshot}"] if snapshot >= 0 else []
-        paths += [f"{self.path}/batch-{n}" for n in batches]
-        if not paths:
+    def _sum(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], TOTALS)
-        return rolled_up(self.spark.read.schema(TOTALS).parquet(*paths))
+        return rolled_up(self.spark.read.schema(TOTALS).parquet(*folders))
 
     def compact(self) -> None:
         """Sum up the batches so far, up to the first that is missing and may still come.
 
-        Earlier folders stay until nobody reads them.
+        What the snapshot before has replaced goes now; what this one replaces stays for those who
+        still read it, until the next one.
         """
-        snapshot, batches = self._snapshot(), set(self._children("batch-"))
-        last = snapshot
+        snapshots, batches = self._done("snapshot"), self._done("batch")
+        before = last = max(snapshots, default=-1)
         while last + 1 in batches:
             last += 1
-        if last > snapshot:
-            held = self._sum(snapshot, list(range(snapshot + 1, last + 1)))
-            held.write.mode("overwrite").parquet(f"{self.path}/snapshot-{last}")
+        if last > before:
+            held = [snapshots[before]] if snapshots else []
+            self._write("snapshot", last, self._sum(held + [batches[n] for n in range(before + 1, last + 1)]))
+            self._release(before)
+
+    def _release(self, replaced: int) -> None:
+        """Remove batches up to a snapshot, and the snapshots before it."""
+        for kind, end in (("batch", replaced + 1), ("snapshot", replaced)):
+            for number, attempts in self._attempts(kind).items():
+                for attempt in attempts if number < end else []:
+                    self._files.delete(self._hadoop(f"{self.path}/{kind}-{number}-{attempt}"), True)

@@ -601,6 +601,47 @@ def test_languages_of_odd_documents(spark):
     assert {r.lang_pred for r in unknown} == {"und"}
 
 
+def test_languages_by_hand(spark):
+    """The method again letter by letter: bound vectors summed in whole numbers, then cosines."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [tuple(r) for r in rows[:150]]
+    rows += [(10_000, "Zürich ﬁ 日本語 naïve", None), (10_001, "a", None), (10_002, "!", "en"), (10_003, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 64
+    signs = np.random.default_rng(language.SEED).integers(0, 2, (language.SYMBOLS, size)) * 2 - 1
+
+    def symbol(char):
+        half = language.SYMBOLS // 2
+        point = ord(char)
+        return 0 if not char.isalpha() else point if point < half else half + point % half
+
+    def vector(text):
+        symbols, out = [0], np.zeros(size, np.int64)
+        for s in map(symbol, (text or "").lower()):
+            symbols += [s] if s or symbols[-1] else []
+        symbols += [0] if symbols[-1] else []
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            out += np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c]
+        return out
+
+    sums = defaultdict(lambda: np.zeros(size, np.int64))
+    for key, text, lang in rows:
+        if lang and zlib.crc32(str(key).encode()) % 4 != 2 and vector(text).any():
+            sums[lang] += vector(text)
+    learned = language.learn(docs, size)
+    assert learned.names == sorted(sums)
+    got = {r.doc_id: r for r in language.identify(docs, learned).collect()}
+    for key, text, _ in rows:
+        own = vector(text)
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[key].lang_pred, got[key].score) == ("und", 0.0)
+            continue
+        cosines = {n: own @ sums[n] / np.linalg.norm(own) / np.linalg.norm(sums[n]) for n in sums}
+        best = max(cosines.values())
+        assert cosines[got[key].lang_pred] == pytest.approx(best, abs=1e-9)
+        assert got[key].score == pytest.approx(max(0.0, best), abs=1e-6)
+
+
 # Personal data.
 
 
@@ -737,6 +778,50 @@ def test_ledger_takes_batches_out_of_order(spark, tmp_path):
         ledger.commit(-1, batches[0])
 
 
+def test_a_lost_commit_leaves_the_ledger_as_it_was(spark, tmp_path):
+    path = tmp_path / "ledger"
+    ledger = token_rollup.Ledger(spark, str(path))
+    batches = [spark.createDataFrame([("a", "en", "t", 1, 10 * 2**n)], token_rollup.TOTALS) for n in range(6)]
+
+    def total():
+        return [r.tokens for r in ledger.totals().collect()]
+
+    def lose_the_driver(kind, number):
+        """What a driver leaves that is lost before its attempt is finished."""
+        folder = sorted(path.glob(f"{kind}-{number}-*"))[-1]
+        attempt = int(folder.name.split("-")[2]) + 1
+        lost = path / f"{kind}-{number}-{attempt}"
+        lost.mkdir()
+        for file in folder.glob("*.parquet"):
+            (lost / file.name).write_bytes(file.read_bytes())
+
+    broken = batches[1].selectExpr(
+        "source", "lang", "tokenizer", "documents", "assert_true(tokens < 0) is null as tokens"
+    ).selectExpr("source", "lang", "tokenizer", "documents", "cast(tokens as long) as tokens")
+    ledger.commit(0, batches[0])
+    ledger.commit(1, batches[1])
+    assert total() == [30]
+    with pytest.raises(Exception):
+        ledger.commit(1, broken)
+    assert total() == [30]
+    lose_the_driver("batch", 1)
+    assert total() == [30]
+    ledger.commit(1, batches[1])
+    assert total() == [30]
+    ledger.compact()
+    lose_the_driver("snapshot", 1)
+    assert total() == [30]
+    for n in range(2, 6):
+        ledger.commit(n, batches[n])
+        ledger.compact()
+        assert total() == [10 * (2 ** (n + 1) - 1)]
+        # The last snapshot, what it replaced, and nothing else, however many batches there were.
+        assert sorted(f.name for f in path.glob("*-*")) == sorted(
+            [f"batch-{n}-0", f"snapshot-{n}-0", f"snapshot-{n - 1}-0"]
+            + (["snapshot-1-1"] if n == 2 else [])
+        )
+
+
 def _every(counts):
     from pyspark.sql import functions as F
 
