@@ -188,8 +188,9 @@ def _predict(profiler: Profiler, prototypes: Prototypes, text: str | None) -> tu
 def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: one row per row of ``docs``.
 
-    ``lang_pred`` is ``und`` and the score 0 for a text that is null or has no letter, and for all
-    texts if nothing was learned. Equal cosines go to the language first in order of names.
+    ``lang_pred`` is ``und`` and the score 0 for a text that is null, empty or has no letter, and for
+    all texts if nothing was learned. Equal cosines go to the language first in order of names.
+    Repeated rows get equal predictions, very long texts are read whole, an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
     dimensions = prototypes.vectors.shape[1]

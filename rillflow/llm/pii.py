@@ -247,7 +247,10 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``row_no, doc_id, found``: base spans and accepted candidates of each row of ``docs``.
 
     Spans are in code points, end exclusive, by kind in the order of KINDS, then by start. A null
-    text counts as empty; repeated rows and rows without doc_id are documents of their own.
+    text counts as empty; repeated rows and rows without doc_id are documents of their own, though an
+    identifier or a pattern met many times counts once. A string of several shapes is a candidate of
+    the first in the order of KINDS only. Very long texts are searched whole; an empty table gives
+    no rows.
     """
     rows = staged(scan(docs), "pii")
     guessed = rows.select("row_no", F.explode("found").alias("s")).where("not s.known")

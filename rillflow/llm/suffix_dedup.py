@@ -312,8 +312,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Words are numbered from 0 and stand between ASCII white space; A-Z count as a-z. Stretches are
     unions of windows of ``min_words`` words that occur at two places or more, in one document or
-    several; those of one document do not touch. Null and short texts have no rows, repeated rows
-    repeat each other, rows without doc_id are documents like others.
+    several; those of one document do not touch. Null, empty and short texts have no rows, repeated
+    rows repeat each other, rows without doc_id are documents like others. Of equal minimisers the
+    leftmost counts, in all copies alike. Very long texts are taken whole; an empty table gives none.
     """
     rows = staged(_numbered(texts_of(docs)), "suffix-rows")
     spans = repeats(rows.select("row_no", "text"), min_words)
@@ -345,8 +346,9 @@ def _in_order(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the stretches that occur earlier: their words are cut out of the text.
 
-    The first window of its kind stays, by doc_id. A text that loses all its words goes; others
-    stay as they are, with ``n_chars`` as long as the new text. Columns are unchanged.
+    The first window of its kind stays, by doc_id; of rows with one id, or without, the one read
+    first. A text that loses all its words goes; others stay as they are, null and empty ones too,
+    with ``n_chars`` as long as the new text. Columns are unchanged; an empty table stays empty.
     """
     names, at = docs.columns, docs.columns.index("text")
     length = names.index("n_chars") if "n_chars" in names else None
