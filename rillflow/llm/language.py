@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from rillflow.llm.common import keeps_columns, map_batches, texts_of
 
@@ -29,9 +29,13 @@ MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 # Sequences whose vectors a Python worker remembers.
 CACHE_SEQUENCES = 16_384
-# Least score of an accepted document. Clean documents of a word or two have scores near 0, so by
-# default only documents without any language go.
-FLOOR = 0.0
+# A document is accepted unless its cosine lies so many standard deviations below the mean of labelled
+# documents of its length: whatever their distribution, at most one in 37 of those does.
+SPREAD = 6.0
+# Labelled documents of a length without which nothing is known of the spread there.
+MIN_LABELLED = 100
+# Cosines are added up as whole numbers of this unit, so that the sums are the same in any order.
+UNIT = 10_000
 
 
 def _letter_table() -> np.ndarray:
@@ -174,15 +178,23 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> Prototypes:
     return Prototypes(names, vectors / np.where(size > 0, size, 1))
 
 
-def _predict(profiler: Profiler, prototypes: Prototypes, text: str | None) -> tuple[str, float]:
+def _nearest(
+    profiler: Profiler, prototypes: Prototypes, text: str | None
+) -> tuple[str, float, int]:
+    """The language with the largest cosine, that cosine, and the number of letter sequences."""
     codes, counts = profiler.sequences(text) if text else ((), ())
     if not len(codes) or not prototypes.names:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, 0
     own = profiler.bundle(codes, counts)
     size = np.linalg.norm(own)
     cosines = prototypes.vectors @ own / (size if size > 0 else 1)
     best = int(cosines.argmax())
-    return prototypes.names[best], float(min(1.0, max(0.0, cosines[best])))
+    return prototypes.names[best], float(cosines[best]), int(counts.sum())
+
+
+def _predict(profiler: Profiler, prototypes: Prototypes, text: str | None) -> tuple[str, float]:
+    name, cosine, _ = _nearest(profiler, prototypes, text)
+    return name, min(1.0, max(0.0, cosine))
 
 
 def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
@@ -211,34 +223,74 @@ def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
 
 
 def with_language(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
-    """``docs`` with two columns more, ``__lang`` and ``__score``, row by row."""
+    """``docs`` with three columns more, row by row: ``__lang``, ``__cosine`` and ``__length``.
+
+    The cosine is not cut at 0. The length is the class of the number of letter sequences: how often
+    that can be halved, -1 for none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
     dimensions = prototypes.vectors.shape[1]
     at = docs.columns.index("text")
-    names = [*docs.columns, "__lang", "__score"]
+    names = [*docs.columns, "__lang", "__cosine", "__length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = _profiler(dimensions)
         for batch in batches:
-            found = [_predict(profiler, shared.value, t) for t in batch.column(at).to_pylist()]
-            named = pa.array([n for n, _ in found], pa.string())
-            scored = pa.array([s for _, s in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, named, scored], names=names)
-
-    more = [StructField("__lang", StringType()), StructField("__score", DoubleType())]
+            found = [_nearest(profiler, shared.value, t) for t in batch.column(at).to_pylist()]
+            named = pa.array([n for n, _, _ in found], pa.string())
+            scored = pa.array([c for _, c, _ in found], pa.float64())
+            length = pa.array([n.bit_length() - 1 for _, _, n in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, named, scored, length], names=names)
+
+    more = [
+        StructField("__lang", StringType()),
+        StructField("__cosine", DoubleType()),
+        StructField("__length", IntegerType()),
+    ]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
-@keeps_columns
-def keep_identified(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """The documents with a language: not ``und``, and a cosine of at least ``floor``.
+def floors(docs: DataFrame, prototypes: Prototypes, spread: float = SPREAD) -> dict[int, float]:
+    """Least cosine of an accepted document per class of length.
+
+    From the documents with a language that nothing was learned from. A class with fewer than
+    MIN_LABELLED of them takes the floor of the next shorter one that has enough, if there is any.
+    Three sums per class reach the driver.
+    """
+    known = docs.where(F.col("lang").isNotNull() & held_out(F.col("doc_id")))
+    found = with_language(texts_of(known), prototypes).where(F.col("__lang") != UNKNOWN)
+    unit = F.round(F.col("__cosine") * UNIT).cast("long")
+    sums = found.select("__length", unit.alias("x")).groupBy("__length").agg(
+        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
+    )
+    learned: dict[int, float] = {}
+    for length, n, s, q in sums.collect():
+        if n >= MIN_LABELLED:
+            learned[length] = (s / n - spread * max(0, n * q - s * s) ** 0.5 / n) / UNIT
+    for length in range(1, 64):
+        if length not in learned and length - 1 in learned:
+            learned[length] = learned[length - 1]
+    return learned
+
 
-    Learned from the documents themselves; if none has a language, all with a letter stay. Columns
-    and rows are otherwise unchanged.
+@keeps_columns
+def keep_identified(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """The documents in one of the learned languages.
+
+    Learned from the documents themselves; if none has a language, all with a letter stay. What goes
+    is ``und``, and documents whose cosine with every language is below the floor of their length,
+    see ``floors``: other languages and scripts, random letters, a few words over and over. Short
+    documents have cosines so far apart that hardly any is below. Columns and rows are otherwise
+    unchanged.
     """
     texts_of(docs)
     prototypes = learn(docs)
     if not prototypes.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = with_language(docs, prototypes)
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= floor)).select(*docs.columns)
+    least = floors(docs, prototypes, spread)
+    found = with_language(docs, prototypes).where(F.col("__lang") != UNKNOWN)
+    if least:
+        floor = F.create_map(*(F.lit(v) for pair in sorted(least.items()) for v in pair))
+        below = F.col("__cosine") < F.element_at(floor, F.col("__length"))
+        found = found.where(~F.coalesce(below, F.lit(False)))
+    return found.select(*docs.columns)

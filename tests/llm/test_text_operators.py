@@ -642,6 +642,27 @@ def test_languages_by_hand(spark):
         assert got[key].score == pytest.approx(max(0.0, best), abs=1e-6)
 
 
+def test_foreign_documents_are_not_identified(spark):
+    """Long texts of no learned language go; all that have one stay, and short texts of any kind."""
+    rng = np.random.default_rng(5)
+    words = {"en": "the and of in that is was for with house river".split(),
+             "de": "der und die über nicht zwischen haus fluß schön werden".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 60)), lang)
+            for i in range(1200) for lang in [("en", "de")[i % 2]]]
+    rows += [(2000 + i, " ".join(rng.choice(words["en"], 2)), None) for i in range(20)]
+    greek = "".join(chr(c) for c in range(0x3B1, 0x3C9))
+    foreign = [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+               for letters in (greek, "bcdfgjkmpqxz") for _ in range(10)]
+    rows += [(3000 + i, text, None) for i, text in enumerate(foreign)]
+    rows += [(4000, "αβγδ", None), (4001, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(docs)
+    kept = {r.doc_id for r in language.keep_identified(docs).collect()}
+    assert kept == {i for i, _, _ in rows if i < 3000 or i == 4000}
+    floors = language.floors(docs, learned)
+    assert floors and all(language.floors(docs, learned, 3.0)[n] > low for n, low in floors.items())
+
+
 # Personal data.
 
 
