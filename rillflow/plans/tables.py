@@ -128,10 +128,12 @@ def invoices(spark: SparkSession, sf_dir: str, page_items: int = PAGE_ITEMS) ->
     ever holds all items of one order: both sides are grouped and joined by order and page.
     ``first_page`` marks one record of each order; whatever must happen once per order goes by it.
     An order without items keeps its invoice. Which orders are large depends on their own items
-    only, so results are the same at any size; the list is joined like any table.
+    only, so results are the same at any size.
     """
     lineitem = table(spark, sf_dir, "lineitem")
-    large = large_orders(lineitem, page_items)
+    # Broadcast: at most one row for every ``page_items`` line items. Joined by shuffles, it would send
+    # all orders and all line items through one more each.
+    large = F.broadcast(large_orders(lineitem, page_items))
     pages = F.coalesce(F.col("pages"), F.lit(1))
     # Numbered at the scan: that spreads copies of one row too, and a repeated task gives the same
     # numbers again. Hashed, since the rows of one order may lie a regular step apart.

@@ -11,12 +11,16 @@ from rillflow.operators.aggregates import prime_rewards
 from rillflow.plans import jobs, tables
 from rillflow.functions.codecs import decode_json
 from rillflow.plans.queries import (
+    SIDE_BY_SIDE,
+    SLOTS,
     q_fan_out_notifications,
     q_fan_out_single_read_notifications,
     q_invoice_flatten,
     q_loyalty_notifications,
+    q_record_flatten,
 )
 from rillflow.schemas import INVOICE, NOTIFICATION
+from rillflow.session import settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +118,18 @@ def test_hot_card_reaches_the_shuffle_as_one_row_per_task(spark):
     plan = prime_rewards(items)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.index("Exchange") < plan.index("partial_sum")
+
+
+def test_the_list_of_large_orders_moves_no_other_table(spark, skewed):
+    """Without broadcasts of Spark's own choice only the list is sent round, to both of its joins."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = tables.invoices(spark, skewed)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2
+
+
+def test_staged_slots_are_written_unsorted(spark, skewed):
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "0")
+    with settings(spark, SIDE_BY_SIDE):
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= SLOTS
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert q_record_flatten(spark, skewed).exceptAll(q_invoice_flatten(spark, skewed)).isEmpty()
