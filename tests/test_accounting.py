@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 from functools import partial
@@ -15,7 +16,9 @@ from helpers import land_json, land_records, reading, records, replay, trade
 from rillflow.functions.codecs import decode_json, decoded_rows, quarantined_rows
 from rillflow.operators.delivery import delivered_once
 from rillflow.plans import jobs
+from rillflow.plans.queries import SLOTS, q_rewards_delivered_once
 from rillflow.schemas import PUBLISHED_LINE, RECORD
+from rillflow.session import scratch_root, settings
 from rillflow.sources.files import json_dir, replay_records
 from rillflow.sources.inference import files_read, kept_schema, new_files, widened
 from rillflow.sources.state import scaled_state, state_operators, state_rows
@@ -235,3 +238,14 @@ def test_running_queries_catch_up_and_stop(spark, tmp_path):
             catch_up(query)
 
 
+
+
+def test_rewards_commit_their_state_once_an_arrival(spark):
+    """No batch without rows, and no more state partitions than four for each core."""
+    with settings(spark, {"spark.sql.shuffle.partitions": "40"}):
+        q_rewards_delivered_once(spark, "/root/testdata/sf0.001").collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    work = max(glob.glob(f"{scratch_root(spark)}/rewards_delivered_once-*"), key=os.path.getmtime)
+    assert sum(name.isdigit() for name in os.listdir(f"{work}/reward/commits")) == SLOTS
+    partitions = sum(name.isdigit() for name in os.listdir(f"{work}/reward/state/0"))
+    assert partitions <= 4 * spark.sparkContext.defaultParallelism < 40
