@@ -13,13 +13,16 @@ then phrases of three and four words all of whose pairs are frequent. Every shar
 own words and pairs are left from the shuffle that sums them, so nothing that grows with the
 vocabulary is broadcast. Where
 nothing is rare, a shard gives at most one row per place and length.
+
+A task's memory is bounded by one shard, however many phrases of it are frequent: rows and words are
+numbered in 32 bits, and phrases are extended and handed over block by block.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from itertools import count
 from typing import NamedTuple
 
@@ -29,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import prepare, staged, typed
+from rillflow.llm.common import LARGE_ROWS, prepare, staged, typed
+from rillflow.session import settings
 
 # Words of the longest phrase; suffixes are sorted by as many words.
 DEPTH = 4
@@ -37,10 +41,16 @@ LEAST = 30
 TOP = 2000
 # Words after which a shard ends, with the document that holds the last: bounds a task's memory.
 SHARD_WORDS = 1 << 21
+# The same for the different words of a task's open shards.
+SHARD_VOCABULARY = 1 << 19
 # A task numbers its shards in so many bits; a word's number within its shard takes 31.
 SHARD_BITS = 12
 # Rows of one Arrow batch of phrases.
 ROWS = 1 << 16
+# Places in a shard whose phrases are extended at once, and rows that are told at once.
+BLOCK = 1 << 18
+# Bytes of one Arrow batch, or a single row if that is larger, as a shard is.
+BATCH_BYTES = 4 << 20
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_ENDS, b"." * len(_ENDS))
@@ -52,17 +62,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_ONE_END).replace(b".", b" . ").split()
 
 
-@contextmanager
-def _single_rows(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of one row: a shard is a row of several MB."""
+def _bounded_batches(spark: SparkSession) -> AbstractContextManager:
+    """Arrow batches of a few MB: shards one at a time, phrases by the thousand."""
     prepare(spark)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    rows, size = "maxRecordsPerBatch", "maxBytesPerBatch"
+    conf = {rows: str(ROWS), size: str(BATCH_BYTES)}
+    return settings(spark, {f"spark.sql.execution.arrow.{key}": value for key, value in conf.items()})
 
 
 def _one_list(values: pa.Array) -> pa.Array:
@@ -79,13 +84,27 @@ def _packed(numbers: np.ndarray, n: int) -> pa.Array:
 
 
 def _unpacked(numbers: pa.Scalar, n: int) -> np.ndarray:
-    return np.frombuffer(numbers.as_buffer(), _width(n)).astype(np.int32)
+    return np.frombuffer(numbers.as_buffer(), _width(n))
+
 
+def _kept(lists: pa.Array, row: int) -> np.ndarray:
+    """What ``_told`` has for a shard, one row for each pair of numbers; not copied."""
+    parts = lists.cast(pa.list_(pa.binary()))[row].values
+    if not len(parts):
+        return np.empty((0, 2), np.int64)
+    _, ends, bytes_ = parts.buffers()
+    ends = np.frombuffer(ends, np.int32)[parts.offset : parts.offset + len(parts) + 1]
+    return np.frombuffer(bytes_, np.uint8)[ends[0] : ends[-1]].view(np.int64).reshape(-1, 2)
 
-def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+
+def shards(
+    docs: DataFrame, shard_words: int = SHARD_WORDS, vocabulary: int = SHARD_VOCABULARY
+) -> DataFrame:
     """``shard, lang, words, counts, text``: ``text`` numbers into ``words``, 0 between pieces.
 
-    ``words`` starts with the separator; ``counts`` says how often each stands in the shard.
+    ``words`` starts with the separator; ``counts`` says how often each stands in the shard. The
+    largest shard of a task ends once all of its open ones have ``shard_words`` words, or
+    ``vocabulary`` different ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +142,13 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                 parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 sizes[lang] += len(found)
                 # One bound for all open shards of the task: there may be many languages.
-                if sum(sizes.values()) >= shard_words:
+                different = sum(len(numbers) for numbers, _ in open_shards.values())
+                if sum(sizes.values()) >= shard_words or different >= vocabulary:
                     yield closed(max(sizes, key=sizes.__getitem__))
         for lang in list(open_shards):
             yield closed(lang)
 
     schema = "shard long, lang string, words array<string>, counts array<long>, text binary"
-    prepare(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary"))
     return rows.mapInArrow(typed(run, schema), schema)
 
@@ -153,30 +172,38 @@ class Phrases(NamedTuple):
         return Phrases(*(column[chosen] for column in self))
 
 
+def _numbers(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.int32)
+
+
 def suffix_rows(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Starts of the suffixes, sorted by ``depth`` words or more; a separator ends a suffix.
 
     ``text`` ends with a separator. Ranks by one word are doubled to two, four and so on, and only
     suffixes that still tie are sorted again. Separators are told apart by their places.
     """
-    order = np.argsort(text, kind="stable")
+    order = np.argsort(text, kind="stable").astype(np.int32)
     sorted_text = text[order]
-    rows = np.arange(len(text))
     fresh = np.concatenate([[True], sorted_text[1:] != sorted_text[:-1]]) | (sorted_text == 0)
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, rows, 0))
+    rank = np.empty(len(text), np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, _numbers(len(text)), 0))
     step = 1
     while step < depth:
         # Rows in groups of more than one; none of them has met its separator yet.
-        tied = rows[~fresh | ~np.concatenate([fresh[1:], [True]])]
+        tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True)).astype(np.int32)
         if not len(tied):
             break
         some = order[tied]
-        keys = rank[some] * len(text) + rank[some + step]
-        within = np.argsort(keys, kind="stable")
+        keys = rank[some].astype(np.int64)
+        keys *= len(text)
+        keys += rank[some + np.int32(step)]
+        # In any order where they still tie.
+        within = np.argsort(keys)
         order[tied] = some = some[within]
         keys = keys[within]
+        del within
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        del keys
         fresh[tied] = new
         rank[some] = np.maximum.accumulate(np.where(new, tied, 0))
         step *= 2
@@ -189,19 +216,29 @@ def last_words(text: np.ndarray) -> np.ndarray:
 
 
 def transform(lasts: np.ndarray) -> Transform:
-    back = np.empty(len(lasts), np.int64)
-    back[np.argsort(lasts, kind="stable")] = np.arange(len(lasts))
+    back = np.empty(len(lasts), np.int32)
+    back[np.argsort(lasts, kind="stable")] = _numbers(len(lasts))
     return Transform(lasts, back)
 
 
 def single_words(lasts: np.ndarray) -> Phrases:
     """The intervals of all single words: the same in both directions."""
-    sizes = np.bincount(lasts)
-    firsts = np.cumsum(sizes) - sizes
-    words = np.flatnonzero(sizes[1:]) + 1
+    sizes = np.bincount(lasts).astype(np.int32)
+    firsts = np.cumsum(sizes, dtype=np.int32) - sizes
+    words = np.flatnonzero(sizes[1:]).astype(np.int32) + 1
     return Phrases(firsts[words], firsts[words], sizes[words], words[:, None])
 
 
+def blocks(phrases: Phrases) -> Iterator[Phrases]:
+    """The phrases in order, those at ``BLOCK`` places at a time, or a single one at more."""
+    ends = np.cumsum(phrases.sizes, dtype=np.int64)
+    at = done = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+        yield phrases.only(slice(at, to))
+        at, done = to, int(ends[to - 1])
+
+
 def _extended(
     index: Transform, firsts: np.ndarray, others: np.ndarray, sizes: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,22 +247,24 @@ def _extended(
     Gives the number of the interval, the word, the new first row, that in the other direction and
     the size.
     """
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    rows = np.arange(len(which)) + np.repeat(firsts - (ends - sizes), sizes)
+    which = np.repeat(_numbers(len(sizes)), sizes)
+    before = np.cumsum(sizes, dtype=np.int32) - sizes
+    rows = _numbers(len(which)) + np.repeat(firsts - before, sizes)
     words = index.lasts[rows]
-    keys = which * (int(index.lasts.max(initial=0)) + 1) + words
+    keys = which.astype(np.int64)
+    keys *= int(words.max(initial=0)) + 1
+    keys += words
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    new_sizes = np.diff(np.append(starts, len(keys)))
+    new_sizes = np.diff(np.append(starts, len(keys))).astype(np.int32)
     first = order[starts]
     real = words[first] > 0
-    starts, new_sizes, first = starts[real], new_sizes[real], first[real]
+    starts, new_sizes, first = starts[real].astype(np.int32), new_sizes[real], first[real]
     of = which[first]
     # Rows of an interval are sorted by the new word in the other direction, separators first.
-    other = others[of] + starts - (ends - sizes)[of]
-    return of, words[first], index.back[rows[first]], other, new_sizes
+    other = others[of] + starts - before[of]
+    return of, words[first].astype(np.int32), index.back[rows[first]], other, new_sizes
 
 
 def left(ahead: Transform, phrases: Phrases) -> Phrases:
@@ -240,42 +279,44 @@ def right(reverse: Transform, phrases: Phrases) -> Phrases:
     return Phrases(others, firsts, sizes, np.column_stack([phrases.words[of], words]))
 
 
-def _inside(rows: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which of ``rows`` lie in one of the intervals, which do not overlap."""
-    order = np.argsort(firsts)
-    at = np.searchsorted(firsts[order], rows, "right") - 1
-    holder = order[np.maximum(at, 0)]
-    return (at >= 0) & (rows < firsts[holder] + sizes[holder])
+def _inside(firsts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` rows lie in one of the intervals, which do not overlap."""
+    steps = np.zeros(n + 1, np.int8)
+    steps[firsts] += 1
+    # Where one interval ends another may start.
+    steps[firsts + sizes] -= 1
+    return np.cumsum(steps[:n], dtype=np.int8).view(bool)
 
 
 def longer(ahead: Transform, reverse: Transform, pairs: Phrases) -> Iterator[Phrases]:
-    """Phrases of three and of four words all of whose pairs are among ``pairs``."""
-    if not len(pairs.sizes):
-        return
-    three = left(ahead, pairs)
-    three = three.only(_inside(three.ahead, pairs.ahead, pairs.sizes))
-    yield three
-    if len(three.sizes):
-        four = right(reverse, three)
-        yield four.only(_inside(four.reverse, pairs.reverse, pairs.sizes))
+    """Phrases of three and of four words all of whose pairs are among ``pairs``, block by block."""
+    in_ahead = _inside(pairs.ahead, pairs.sizes, len(ahead.lasts))
+    in_reverse = _inside(pairs.reverse, pairs.sizes, len(reverse.lasts))
+    for some in blocks(pairs):
+        three = left(ahead, some)
+        three = three.only(in_ahead[three.ahead])
+        yield three
+        for part in blocks(three):
+            four = right(reverse, part)
+            yield four.only(in_reverse[four.reverse])
 
 
 def indexes(texts: DataFrame) -> DataFrame:
     """``shard, ids, ahead, reverse``: the two transforms of every shard.
 
-    ``texts`` has ``shard, text, n_words, no, id``; words whose number is not in the list ``no``
-    become separators, the others have the id at the same place of ``id``.
+    ``texts`` has ``shard, text, n_words, kept``; words whose number is not among the kept become
+    separators, the others have the id beside their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, text, n_words, kept, ids = (batch.column(c)[i] for c in range(5))
-                kept, ids = (column.values.to_numpy() for column in (kept, ids))
+                shard, text, n_words = (batch.column(c)[i] for c in range(3))
+                kept, ids = _kept(batch.column(3), i).T
                 order = np.argsort(kept)
                 kept, ids = kept[order], np.append(-1, ids[order])
-                renumber = np.zeros(n_words.as_py(), np.int32)
-                renumber[kept] = np.arange(1, len(kept) + 1)
+                renumber = np.zeros(n_words.as_py(), _width(len(ids)))
+                renumber[kept] = np.arange(1, len(ids))
                 text = renumber[_unpacked(text, len(renumber))]
                 # A single separator between pieces is enough.
                 text = text[np.concatenate([[True], (text[1:] > 0) | (text[:-1] > 0)])]
@@ -285,7 +326,7 @@ def indexes(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "ahead", "reverse"])
 
     schema = "shard long, ids array<long>, ahead binary, reverse binary"
-    rows = texts.select("shard", "text", "n_words", "no", "id")
+    rows = texts.select("shard", "text", "n_words", "kept")
     return rows.mapInArrow(typed(run, schema), schema)
 
 
@@ -315,41 +356,50 @@ def pairs_of(index: DataFrame) -> DataFrame:
                 shard, ids, reverse = (batch.column(c)[i] for c in range(3))
                 ids = ids.values.to_numpy()
                 reverse = transform(_unpacked(reverse, len(ids)))
-                pairs = right(reverse, single_words(reverse.lasts))
-                yield from _phrase_batches(ids, pairs, shard.as_py())
+                for words in blocks(single_words(reverse.lasts)):
+                    yield from _phrase_batches(ids, right(reverse, words), shard.as_py())
 
     schema = "one long, two long, f long, shard long"
     return index.select("shard", "ids", "reverse").mapInArrow(typed(run, schema), schema)
 
 
+def _chosen(reverse: Transform, ids: np.ndarray, kept: np.ndarray) -> Phrases:
+    """The phrases of two words that are among ``kept``, by ids, all of which the shard holds."""
+    order = np.argsort(ids)
+    sorted_ids = ids[order]
+    keys = np.empty(len(kept), np.int64)
+    for at in range(0, len(kept), ROWS):
+        some = order[np.searchsorted(sorted_ids, kept[at : at + ROWS])]
+        keys[at : at + ROWS] = some @ [len(ids), 1]
+    keys = np.append(np.sort(keys), -1)
+    found = []
+    for words in blocks(single_words(reverse.lasts)):
+        pairs = right(reverse, words)
+        own = pairs.words.astype(np.int64) @ [len(ids), 1]
+        found.append(pairs.only(keys[np.searchsorted(keys[:-1], own)] == own))
+    return Phrases(*(np.concatenate(column) for column in zip(*found)))
+
+
 def longer_of(index: DataFrame) -> DataFrame:
     """``one, two, three, four, f``: each shard's phrases of three and four words.
 
-    ``index`` has besides the transforms the lists ``one`` and ``two``, ids of the words of the pairs
-    that are kept, all of which the shard holds.
+    ``index`` has besides the transforms ``kept``, the ids of the words of the pairs that are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, ahead, reverse, *kept = (batch.column(c)[i] for c in range(5))
+                ids, ahead, reverse = (batch.column(c)[i] for c in range(3))
                 ids = ids.values.to_numpy()
                 ahead, reverse = (transform(_unpacked(x, len(ids))) for x in (ahead, reverse))
-                pairs = right(reverse, single_words(reverse.lasts))
-                order = np.argsort(ids)
-                kept = [
-                    order[np.searchsorted(ids, column.values.to_numpy(), sorter=order)]
-                    for column in kept
-                ]
-                chosen = np.isin(pairs.words @ [len(ids), 1], kept[0] * len(ids) + kept[1])
-                for phrases in longer(ahead, reverse, pairs.only(chosen)):
+                for phrases in longer(ahead, reverse, _chosen(reverse, ids, _kept(batch.column(3), i))):
                     # Word 0, the separator, has the id -1.
-                    missing = np.zeros((len(phrases.sizes), len(PLACES) - phrases.words.shape[1]), int)
+                    missing = np.zeros((len(phrases.sizes), len(PLACES) - phrases.words.shape[1]), np.int32)
                     padded = phrases._replace(words=np.hstack([phrases.words, missing]))
                     yield from _phrase_batches(ids, padded, None)
 
     schema = "one long, two long, three long, four long, f long"
-    return index.select("ids", "ahead", "reverse", "one", "two").mapInArrow(typed(run, schema), schema)
+    return index.select("ids", "ahead", "reverse", "kept").mapInArrow(typed(run, schema), schema)
 
 
 def _written(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -375,12 +425,36 @@ def _frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def _told(places: DataFrame, first: str, second: str) -> DataFrame:
-    """What each shard keeps, as two lists: half as large as one of pairs.
+    """``shard, kept``: what each shard keeps, pairs of 64-bit numbers packed into a few binaries.
 
-    Both lists take their entries row by row, in the same order.
+    Lists of numbers would be gathered as an object for each.
     """
-    lists = (F.collect_list(F.col(name).cast("long")).alias(name) for name in (first, second))
-    return places.groupBy("shard").agg(*lists)
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        shard, *numbers = (column.to_numpy() for column in rows.columns)
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        numbers = np.column_stack([column[order] for column in numbers])
+        ends = (np.append(starts, len(shard)) * numbers[0].nbytes).astype(np.int32)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(numbers)]
+        told = pa.Array.from_buffers(pa.binary(), len(starts), buffers)
+        return pa.RecordBatch.from_arrays([pa.array(shard[starts]), told], ["shard", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= BLOCK:
+                yield packed(pa.Table.from_batches(waiting))
+                waiting.clear()
+        if sum(map(len, waiting)):
+            yield packed(pa.Table.from_batches(waiting))
+
+    schema = "shard long, kept binary"
+    rows = places.select("shard", *(F.col(name).cast("long").alias(name) for name in (first, second)))
+    told = rows.mapInArrow(typed(run, schema), schema)
+    return told.groupBy("shard").agg(F.collect_list("kept").alias("kept"))
 
 
 def count_phrases(
@@ -393,8 +467,8 @@ def count_phrases(
     have no words.
     """
     spark = docs.sparkSession
-    with _single_rows(spark):
-        texts = staged(shards(docs, shard_words), "phrase-shards")
+    with _bounded_batches(spark):
+        texts = staged(shards(docs, shard_words), "phrase-shards", LARGE_ROWS)
     sums = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y) - F.col("counts")[0]
     sizes = texts.select("lang", sums.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     numbered = F.posexplode(F.arrays_zip("words", "counts")).alias("no", "of")
@@ -407,9 +481,9 @@ def count_phrases(
     words = places.groupBy("lang", "word").agg(F.max("f").alias("f"), F.min("id").alias("id"))
     words = staged(words, "phrase-ids")
     kept = _told(places, "no", "id")
-    with _single_rows(spark):
+    with _bounded_batches(spark):
         bare = texts.select("shard", "text", F.size("words").alias("n_words"))
-        index = staged(indexes(bare.join(kept, "shard")), "phrase-index")
+        index = staged(indexes(bare.join(kept, "shard")), "phrase-index", LARGE_ROWS)
         places = staged(_frequent(pairs_of(index), ["one", "two"], least), "phrase-pairs")
         kept = _told(places, "one", "two")
         more = longer_of(index.join(kept, "shard")).groupBy(*PLACES).agg(F.sum("f").alias("f"))

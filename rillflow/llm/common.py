@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import wraps
 from pathlib import Path
 
@@ -15,17 +15,27 @@ from rillflow.session import scratch_dir
 
 # Rows of one Arrow batch: bounds a Python worker's memory where documents are long.
 BATCH_ROWS = 1000
+# For tables whose rows hold several MB each. Parquet keeps a group of rows in memory, to write it and
+# to read it, and left alone looks at its size only after 100 rows.
+LARGE_ROWS = {
+    "parquet.block.size": 4 << 20,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+}
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: computed once, lineage cut."""
+def staged(df: DataFrame, name: str, options: Mapping[str, object] | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: computed once, lineage cut.
+
+    ``options`` are the writer's.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

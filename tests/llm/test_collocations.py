@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from llm.cases import COLUMNS, no_docs, odd_docs
 from rillflow.llm import collocations
+from rillflow.llm.common import LARGE_ROWS, staged
 
 
 def plain(rows, least, top):
@@ -147,3 +151,82 @@ def test_both_directions_find_all_phrases(seed):
     for phrases in collocations.longer(ahead, reverse, some):
         found |= counted(phrases)
     assert found == expected
+
+
+def test_a_shard_takes_memory_by_its_words_only():
+    # Nothing is rare: half a million different phrases of four words.
+    text = np.random.default_rng(1).integers(1, 400, 1 << 20).astype(np.uint16)
+    text[0] = text[-1] = 0
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / len(text)
+
+    lasts, bytes_a_word = peak(lambda: collocations.last_words(text))
+    assert bytes_a_word < 60
+    ahead = collocations.transform(lasts)
+    reverse = collocations.transform(collocations.last_words(text[::-1].copy()))
+    pairs = collocations.right(reverse, collocations.single_words(reverse.lasts))
+    found, bytes_a_word = peak(
+        lambda: sum(len(some.sizes) for some in collocations.longer(ahead, reverse, pairs))
+    )
+    assert found > 1 << 20
+    assert bytes_a_word < 60
+
+
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_phrases_are_extended_in_blocks(monkeypatch, block):
+    text = plain_text(11, 300)
+    ahead = collocations.transform(collocations.last_words(text))
+    reverse = collocations.transform(collocations.last_words(text[::-1].copy()))
+    one = collocations.single_words(reverse.lasts)
+    pairs = collocations.right(reverse, one)
+
+    def counted(found):
+        rows = [(*w, s) for some in found for w, s in zip(some.words.tolist(), some.sizes.tolist())]
+        assert len(rows) == len(set(rows))
+        return sorted(rows)
+
+    whole = counted([pairs]), counted(collocations.longer(ahead, reverse, pairs))
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    parts = list(collocations.blocks(one))
+    assert len(parts) > 1
+    assert all(sum(part.sizes) <= block or len(part.sizes) == 1 for part in parts)
+    assert counted(collocations.right(reverse, part) for part in parts) == whole[0]
+    assert counted(collocations.longer(ahead, reverse, pairs)) == whole[1]
+
+
+def test_large_rows_are_read_a_few_at_a_time(spark):
+    draw = random.Random(3)
+    rows = [(i, bytearray(draw.randbytes(3 << 20))) for i in range(8)]
+    frame = spark.createDataFrame(rows, "n long, text binary").coalesce(1)
+    (file,) = staged(frame, "large", LARGE_ROWS).inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 2
+
+
+def test_shards_are_told_in_binaries(spark):
+    rows = [(n % 5, n, -n << 40) for n in range(1000)]
+    places = spark.createDataFrame(rows, "shard long, one long, two long").repartition(3)
+    told = collocations._told(places, "one", "two").toArrow().combine_chunks()
+    assert pa.types.is_binary(told.schema.field("kept").type.value_type)
+    found = [
+        (shard, *pair)
+        for i, shard in enumerate(told.column("shard").to_pylist())
+        for pair in collocations._kept(told.column("kept").chunk(0), i).tolist()
+    ]
+    assert sorted(found) == sorted(rows)
+
+
+def test_a_shard_ends_with_its_vocabulary(spark):
+    rows = [("en" if n % 3 else "de", f"a{n} b{n} a b.") for n in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found = collocations.shards(docs, vocabulary=20).collect()
+    assert max(len(row.words) for row in found) < 25 < len(rows)
+    words = Counter()
+    for row in found:
+        words.update(dict(zip(row.words[1:], row.counts[1:])))
+    assert words == Counter(w for _, text in rows for w in text.rstrip(".").split())
